@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, quality, sharding, tokenfiles
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op5_token_tables": tokenfiles.op5_token_tables,
     "op7_mixing": mixing.op7_mixing,
     "op8_sharding": sharding.op8_sharding,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_quality": quality.OP1_SQL}
