@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, linededup, mixing, neardup, quality, sharding, tokenfiles
+from . import chat, decontaminate, langid, linededup, lm, mixing, neardup, quality, sharding, tokenfiles
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_mixing": mixing.op7_mixing,
     "op8_sharding": sharding.op8_sharding,
     "op9_chat": chat.op9_chat,
+    "op10_lm_score": lm.op10_lm_score,
 }
 ORACLES: dict[str, str] = {
     "op1_quality": quality.OP1_SQL,
