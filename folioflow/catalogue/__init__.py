@@ -23,3 +23,8 @@ def query(sql: str | None = None, name: str | None = None):
     return put
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from . import grids, htmlq, strings, tabular  # noqa: E402, F401
