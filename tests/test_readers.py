@@ -1,0 +1,167 @@
+"""Readers, sanitiser, translation and sinks on small files made here."""
+
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from folioflow import fixed
+from folioflow.plans import importing, translate
+from folioflow.sinks import docx as docx_sink
+from folioflow.sinks import samples, tables
+from folioflow.sources import docx, html, legacy, markdown, odf, opc, plain, pptx, styles, xlsx
+
+
+def walk_tags(markup):
+    return [n for n, *_ in html.walk(html.parse(markup)) if n.tag]
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("---", "<hr/>"), ("----", "<p>----</p>"), ("- - -", "<hr/>"), ("**a** and *b*", "<p><strong>a</strong> and <em>b</em></p>"), ("1. a\n- b", "<ol><li>a</li></ol><ul><li>b</li></ul>"),
+    ("a|b\n-|-\n1|2", '<table class="doc-datatable"><thead><tr><th>a</th><th>b</th></tr></thead><tbody><tr><td>1</td><td>2</td></tr></tbody></table>'),
+    ("```\n<x>\n# no\n", "<pre><code>&lt;x&gt;\n# no\n</code></pre>"), ("## T\n> q\ntext\nmore", "<h2>T</h2><blockquote>q</blockquote><p>text<br/>more</p>"), ("", ""), ("_em_ ~~s~~", "<p>_em_ <s>s</s></p>"),
+])
+def test_markdown(text, want):
+    assert markdown.to_html(text) == want
+
+
+def test_sanitiser_goldens():
+    assert html.sanitize_html('<form onsubmit=x><p onclick="y" class="k">a<b>c</form>') == '<p class="k">a<b>c</b></p>'
+    assert html.sanitize_html("<script>alert(1)</script><svg><p>x</p></svg>ok<!-- c -->") == "ok"
+    assert html.sanitize_html('<a href="//a" target="_top">x</a>') == '<a rel="noopener noreferrer">x</a>'
+    assert html.sanitize_html('<img src="http://a/x.png" alt="z">') == '<img alt="z">'
+    assert html.sanitize_html('<p style="color: red; foo:1; background:url(x)">t</p>') == '<p style="color: red">t</p>'
+    assert html.sanitize_html("<article><nav><a href='/x'>n</a></nav></article>") == '<a href="/x" rel="noopener noreferrer">n</a>'
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<b onclick=1>", "</b>", "<script>", "</script>", "x & y", "<a href='javascript:1'>", "</a>", "<form>", "<img src=x>", "<!-- c", "-->", "<td style='a:b'>", "&lt;i", "<style>a{b:url(c)}", "</style>"]), max_size=25))
+def test_sanitising_keeps_to_the_policy_and_is_idempotent(parts):
+    once = html.sanitize_html("".join(parts))
+    assert html.sanitize_html(once) == once
+    for n in walk_tags(once):
+        assert n.tag in fixed.TAGS
+        for k, v in n.attrs.items():
+            assert not k.startswith("on") and (k in fixed.ATTRS or k in fixed.TAG_ATTRS.get(n.tag, "").split())
+            assert k != "href" or html.safe_url(v, n.tag, k)
+
+
+def test_text_decoding():
+    assert plain.decode("Привет".encode("cp1251") * 3) == "Привет" * 3
+    assert [plain.decode(b) for b in ("é".encode("utf-8-sig"), b"\xff\xfe" + "é".encode("utf-16-le"), b"\xfe\xff" + "é".encode("utf-16-be"), "é".encode())] == ["é"] * 4
+    assert plain.text_html("a\nb\n\nc") == "<p>a<br/>b</p><p>c</p>" and plain.text_html("") == "<p></p>"
+    assert plain.text_html('{"b":1,"a":[2]}', "json").startswith("<pre>{\n  &quot;b&quot;: 1")
+
+
+def test_paths_numbers_colours():
+    assert opc.resolve("xl/drawings/drawing1.xml", "../media/image1.png") == "xl/media/image1.png" and opc.resolve("a/b.xml", "/c.xml") == "c.xml"
+    assert opc.number("12px") == 12 and opc.number("x", 3) == 3 and opc.emu_px("914400") == 96
+    assert xlsx.reference("AA10") == (9, 26) and xlsx.box("B2:C4") == (1, 1, 3, 2) and xlsx.box("x") is None and xlsx.column_px(8.43, 7) == 59
+    assert styles.tint("#4F81BD", 0) == "#4F81BD" and styles.tint("#000000", 1) == "#FFFFFF" and styles.argb("FF112233") == "#112233" and styles.argb("1") is None
+
+
+def test_tolerant_xml():
+    root = opc.parse_xml(b"<a><b x='1>2'>t</c></b><d>")
+    assert opc.attr(opc.find(root, "b"), "x") == "1>2"
+
+
+def test_sheets():
+    page, warnings = xlsx.to_html(samples.xlsx("T", 3))
+    assert warnings == ["sheets_hidden:1"] and "note" not in page and page.count("<tr") == 3
+    assert '<td colspan="2" style="padding: 2px 4px; overflow-wrap: break-word">T &amp; co</td>' in page
+    sheet = xlsx.Sheet(0, "S", {(0, 0): ("n", "1", None), (9, 9): ("n", " ", None)}, {1: (10, True, None)}, {}, [(0, 0, 0, 2)], {}, [], 50, 20)
+    sheet.anchors = [{"kind": "shape", "text": "note", "from": (0, 1, 0, 0), "to": None, "pos": None, "ext": ("0", "0")}]
+    page = xlsx.sheet_html(sheet, styles.Styles(None, None), {"images_placed": 0})
+    assert 'colspan="2"' in page and page.count("<tr") == 1 and '1<div class="xl-shape">note</div>' in page
+
+
+def test_sheet_styles():
+    xml = opc.parse_xml(b'<styleSheet><fonts><font><sz val="11"/><name val="Calibri"/></font><font><b/><sz val="14"/><color theme="4" tint="-0.25"/><name val="Arial"/></font></fonts><fills><fill/><fill><patternFill patternType="solid"><fgColor indexed="10"/></patternFill></fill></fills><borders><border><top style="thin"/></border></borders><cellXfs><xf fontId="1" fillId="1" borderId="0"><alignment horizontal="center" wrapText="1" indent="2"/></xf></cellXfs></styleSheet>')
+    css, wrap = styles.Styles(xml, None).css(0, True)
+    assert wrap and css.startswith("font-weight: 700; font-size: 14pt; color: #") and "background-color: #FF0000" in css and "border-top: 1px solid #000000" in css
+    assert css.endswith("text-align: center; vertical-align: bottom; padding-left: 22px") and styles.Styles(None, None).css(5, True) == ("text-align: right", False)
+
+
+def test_slides_documents_and_rich_text():
+    page, _ = pptx.to_html(samples.pptx("Head", 1))
+    assert page.index("Head") < page.index("point") and '<li style="margin-left:16px">' in page
+    page, _ = odf.to_html(samples.odt("Head", 5))
+    assert page == '<h2>Head</h2><p>a&nbsp;&nbsp;&nbsp;b<br/>c</p><table class="doc-datatable"><tbody><tr><td><p>5</p></td><td><p>5</p></td></tr></tbody></table>'
+    assert legacy.doc_html(samples.doc("Привет\x13 HYPERLINK \x14там\x15\rдва\x0bстрока\r"))[0] == "<p>Приветтам</p><p>два<br/>строка</p>"
+    assert legacy.doc_html(samples.doc("café\r", "cp1252"))[0] in ("<p>café</p>", "<p>cafй</p>")
+    page, _ = legacy.rtf_html(rb"{\rtf1{\fonttbl{\f0 X;}}{\b bold} ၸ?\'41\par\trowd a\cell b\cell\row after\par}")
+    assert page == '<p><strong>bold</strong> жA</p><table class="doc-datatable"><tbody><tr><td>a</td><td>b</td></tr></tbody></table><p>after</p>'
+    with pytest.raises(ValueError):
+        legacy.doc_html(b"no")
+
+
+def test_docx_round_trip():
+    source = '<h2>T</h2><p>a <strong>b</strong><em>c</em> <a href="http://x/">l</a></p><ul><li>i</li></ul><table><tr><td colspan="2">w</td></tr></table><img src="data:image/png;base64,AAAA">'
+    page, _ = docx.to_html(docx_sink.to_docx(source, "t" * 300))
+    for part in ("<h2>T</h2>", "<strong>b</strong><em>c</em>", '<a href="http://x/">l</a>', '<td colspan="2">', "data:image/png;base64,AAAA"):
+        assert part in page
+
+
+def test_import_of_every_kind(spark):
+    files = [(i, n, b, None) for i, (n, b) in enumerate(samples.one_of_each("Peru", 7).items())]
+    rows = spark.createDataFrame([*files, (99, None, None, None)], "doc_id long, name string, content binary, mime string")
+    got = {r["name"]: r for r in importing.import_files(rows).collect()}
+    kinds = {"a.docx": "docx", "b.xlsx": "xlsx", "c.pptx": "pptx", "d.odt": "odf", "e.doc": "doc", "q.bin": None, "r": "pdf", "s.docx": "doc", "p.docx": "docx", "o.ppt": "ppt", "n.pdf": "pdf"}
+    assert {n: got[n]["kind"] for n in kinds} == kinds
+    assert {n: got[n]["status"] for n in ("n.pdf", "o.ppt", "r", "p.docx", "s.docx", "q.bin")} == {"n.pdf": "unsupported", "o.ppt": "unsupported", "r": "unsupported", "p.docx": "error", "s.docx": "ok", "q.bin": "ok"}
+    assert "Привет" in got["q.bin"]["html"] and got["q.bin"]["warnings"] == ["unknown_kind:bin"]
+    assert "onclick" not in got["j.html"]["html"] and got[None]["status"] == "ok"
+    seen = importing.import_files(rows.filter("name = 'n.pdf'"), {"pdf": lambda b, m: (f"<p>{len(b)}</p>", ["fake"])}).first()
+    assert (seen["status"], seen["html"], seen["warnings"]) == ("ok", "<p>13</p>", ["fake"])
+
+
+def test_translation_keeps_markup_and_blanks(spark):
+    pages = spark.createDataFrame([(1, "<p> Hello <b>you</b></p><pre>code</pre>12"), (2, "<p>2024-01-01</p>"), (3, "<i>x&amp;y</i>"), (4, None)], "doc_id long, html string")
+    got = {r["doc_id"]: r for r in translate.translate_html(pages, "en").collect()}
+    assert got[1]["html"] == "<p> [EN] Hello <b>[EN]you</b></p><pre>code</pre>12" and got[2]["html"] == "<p>2024-01-01</p>"
+    assert got[3]["html"] == "<i>[EN]x&amp;y</i>" and got[4]["html"] is None
+
+    def broken(texts, target):
+        if any("x" in t for t in texts):
+            raise RuntimeError("down")
+        return [t.upper() for t in texts]
+
+    got = {r["doc_id"]: r for r in translate.translate_html(pages, "ja", broken).collect()}
+    assert got[3]["doc_failed"] and got[3]["first_error"] == "down" and got[3]["html"] == "<i>x&amp;y</i>" and "HELLO" in got[1]["html"]
+    with pytest.raises(ValueError):
+        translate.translate_html(pages, "fr")
+    with pytest.raises(ValueError):
+        translate.provider_of("nobody")
+
+
+def test_drafts_and_errors(spark):
+    rows = [("k", "<p>a</p>", None, None, 1), ("k", "<p>b</p>", None, None, 2), ("e", "<p>&nbsp;</p>", None, None, 1), ("l", "<p>a</p>", "x" * 3_500_001, None, 1)]
+    got = tables.drafts_to_keep(spark.createDataFrame(rows, "key string, src string, ja string, en string, t long")).collect()
+    assert [(r["key"], r["src"]) for r in got] == [("k", "<p>b</p>")]
+    log = spark.createDataFrame([(i, i, "a\nb\nc\nd\ne") for i in range(30)], "ts long, id long, stack string")
+    got = tables.last_errors(log).collect()
+    assert [r["ts"] for r in got] == list(range(29, 9, -1)) and got[0]["stack"] == "a\nb\nc\nd"
+
+
+def test_greedy_batches(spark):
+    from folioflow.operators.runs import greedy_batches
+
+    rows = [(1, i, n) for i, n in enumerate((3000, 1500, 10))] + [(2, i, n) for i, n in enumerate((5000, 1))] + [(3, i, 1) for i in range(61)]
+    got = greedy_batches(spark.createDataFrame(rows, "d long, i long, n long"), ["d"], ["i"], "n").orderBy("d", "i").collect()
+    assert [r["batch_id"] for r in got if r["d"] == 1] == [0, 1, 1] and [r["batch_id"] for r in got if r["d"] == 2] == [0, 1]
+    assert [r["batch_id"] for r in got if r["d"] == 3] == [0] * 60 + [1]
+
+
+def test_streams(spark, tmp_path):
+    from folioflow import streaming
+
+    for name, body in (("a.txt", b"one"), ("b.txt", b"one"), ("c.md", b"# two")):
+        (tmp_path / name).write_bytes(body)
+    files = streaming.first_copies(streaming.file_stream(spark, str(tmp_path)))
+    q = streaming.import_stream(files).writeStream.format("memory").queryName("imported").option("checkpointLocation", str(tmp_path / "_cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {re.sub(r"^[ab]", "x", r["name"]): r["html"] for r in spark.table("imported").collect()}
+    assert got == {"x.txt": "<p>one</p>", "c.md": "<h1>two</h1>"}
+    e = spark.createDataFrame([("u", 0.0), ("u", 0.5), ("u", 5.0)], "user string, s double").selectExpr("user", "timestamp_millis(cast(s * 1000 as long)) ts")
+    assert sorted(r["n_writes"] for r in streaming.draft_sessions(e, "user", "ts").collect()) == [1, 2]
