@@ -18,9 +18,11 @@ A shard file holds documents in ascending key order:
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,8 @@ from .common import cut, shared_path, shuffle_partitions
 MAGIC, RESTART, BLOCK, BLOOM_BITS, BLOOM_HASHES = b"FSST", 16, 64 << 10, 10, 7
 _FOOTER = struct.Struct("<QIQIQQI4s")
 _INDEX = struct.Struct("<QII")
-CACHE_PIECES = 1_500_000
+#: Pieces of text that a Python worker remembers, in two generations.
+CACHE_PIECES = 800_000
 
 
 def key_of(doc_id: int, ordinal: int = 0) -> bytes:
@@ -194,48 +197,90 @@ class Reader:
         return None
 
 
-class Encoder:
-    """Ids of whole texts as little-endian bytes.
+#: Characters for which the split pattern below is the tokenizer's own: Latin letters, digits, common
+#: marks and line feeds; no apostrophe, which may begin a contraction.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_PLAIN = re.compile(f"[{_LATIN}0-9.,;:!?()|#*$%&<>/@_+=~\\-\n ]+")
+_SPLIT = re.compile(f" ?[{_LATIN}]+| ?[0-9]+| ?[^\\s{_LATIN}0-9]+|\\s+(?!\\S)|\\s+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters for which a byte-level vocabulary has bytes: printable ones stand for themselves, others are
+    numbered from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class Encoder(dict):
+    """Ids of whole texts as little-endian bytes; as a dict, the ids of a piece after a space.
 
     A byte-level BPE encoding never merges across the place before a run of spaces that ends at a
     non-space: its split pattern starts a piece there, whatever stands further left. So a text is
     cut at those places, each distinct piece is encoded once by the library, and the ids of the
-    pieces are joined. The store of pieces is bounded; a full one is emptied.
+    pieces are joined. Pieces of common characters are split here by the same pattern and go to the
+    library's BPE model as they are; all others go through its whole encoder. The store of pieces is bounded:
+    when the young half is full it becomes the old half, out of which pieces that are met again return.
     """
 
     def __init__(self, path: str, most: int = CACHE_PIECES):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.most = most
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """Pieces that join to the text: each begins with the spaces before its first non-space."""
-        if "  " not in text:
-            head, *rest = text.split(" ")
-            return [head, *[" " + x for x in rest]] if head else [" " + x for x in rest]
-        import re
-
-        return re.findall(r" *[^ ]+| +", text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut_up = [self.pieces(x) if x else [] for x in texts]
-        new = {p for x in cut_up for p in x}.difference(self.known)
-        if len(self.known) + len(new) > self.most:
-            self.known = {}
-            new = {p for x in cut_up for p in x}
-        if new:
-            new = list(new)
-            for i in range(0, len(new), 20_000):
-                part = new[i : i + 20_000]
-                for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    self.known[p] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in cut_up]
+        self.letters = _byte_letters()
+        kind = type(self.tokenizer.pre_tokenizer).__name__ if self.tokenizer.pre_tokenizer else ""
+        self.split_here = kind == "ByteLevel" and self.tokenizer.normalizer is None
+        self.old: dict[str, bytes] = {}
+        self.parts: dict[str, list[int]] = {}
+        self.most = most // 2
+
+    def _part(self, part: str) -> list[int]:
+        """Ids of what the split pattern yields."""
+        ids = self.parts.get(part)
+        if ids is None:
+            model, mapped = self.tokenizer.model, part.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in model.tokenize(mapped)]
+            if len(self.parts) >= self.most // 4:
+                self.parts = {}
+            self.parts[part] = ids
+        return ids
+
+    def ids(self, text: str) -> bytes:
+        if self.split_here and _PLAIN.fullmatch(text):
+            ids = [i for part in _SPLIT.findall(text) for i in self._part(part)]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.ids(" " + piece)
+        self[piece] = ids
+        return ids
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        get, out = self.__getitem__, []
+        for text in texts:
+            if not text:
+                out.append(b"")
+            elif "  " in text:  # runs of spaces: all but the last stand before the piece's own
+                out.append(b"".join([self.ids(p) for p in re.findall(" *[^ ]+| +", text)]))
+            else:
+                head, *rest = text.split(" ")
+                if rest and not rest[-1]:  # a space at the end
+                    rest[-1:] = []
+                    last = self.ids(" ")
+                else:
+                    last = b""
+                out.append((self.ids(head) if head else b"") + b"".join(map(get, rest)) + last)
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -267,11 +312,12 @@ def write_tables(
     Documents are dealt in ranges of doc_id, one range a shard file, and sorted within. A file gets
     its name when it is whole, so a task that is lost and repeated leaves no part of a file.
     Null text: only the end id. Rows with one doc_id are stored each, told apart by an ordinal in
-    the order of their text. Null doc_ids are refused, as a key is needed.
+    the order of a hash of their text. Null doc_ids are refused, as a key is needed.
     """
     n = shards or shuffle_partitions(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = rows.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("_h", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(n, "doc_id", "_h").sortWithinPartitions("doc_id", "_h")
 
     def write(batches):
         fs, base = filesystem(folder)
