@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
+import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,7 +43,7 @@ def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
     and it outlives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
@@ -60,6 +63,28 @@ def remove(spark: SparkSession, path: str) -> None:
     _written[:] = [x for x in _written if x[1] != path]
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """What is written meanwhile goes to Python in Arrow batches of so many rows: for rows with
+    several texts, or large values, of which a worker and its executor hold a batch or two each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of tables that are written down and no longer referred to: it
+    does so when the driver's garbage is collected, which a long step may not wait for."""
+    for _ in range(2):  # Python's references go first
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in list(_written):

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import Batch, blocks, mix
-from .common import cut, drop, remove, shared_path, shuffle_partitions
+from .common import cut, release, remove, shared_path, shuffle_partitions
 
 #: Bytes of text in a block of documents, and for which one partition of counts stands.
-BLOCK_BYTES, COUNT_BYTES = 2 << 20, 12 << 20
+BLOCK_BYTES, COUNT_BYTES = 1 << 20, 12 << 20
 #: Of training documents one in so many is deleted from the counts that fit the mixture weights.
 DELETED = 8
 UNI, BI, DOCS = 0, 1, 2
@@ -27,35 +27,52 @@ TOTALS = "kind int, block long, p int, kept binary, deleted binary, distinct lon
 
 
 def _small(x: np.ndarray) -> bytes:
-    """Counts in as few bytes each as hold them all; no bytes if all are 0."""
-    top = int(x.max()) if len(x) else 0
-    return b"" if not top else x.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32 if top < 2**32 else np.uint64).tobytes()
+    """Counts as a byte each, then 8 bytes for each of 255 and more; no bytes if all are 0."""
+    return np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].astype(np.int64).tobytes() if x.any() else b""
 
 
 def _counts(b: bytes | None, n: int) -> np.ndarray:
     if not b:
         return np.zeros(n, np.int64)
-    return np.frombuffer(b, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(b) // n]).astype(np.int64)
+    x = np.frombuffer(b, np.uint8, n).astype(np.int64)
+    x[x == 255] = np.frombuffer(b, np.int64, (len(b) - n) // 8, n)
+    return x
 
 
-def _low(h: np.ndarray, width: int) -> bytes:
-    return h.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+#: Bits of a hash that tell tokens and bigrams apart within a slice.
+BITS = {UNI: 48, BI: 40}
 
 
-def _from_low(b: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(b) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(b, np.uint8).reshape(-1, width)
-    return out.view(np.uint64).ravel()
+def _place(h: np.ndarray, parts: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slice, place in the slice) of hashes: the integer and the fractional part of h * parts / 2**64."""
+    n, half, low = np.uint64(parts), np.uint64(32), np.uint64(0xFFFFFFFF)
+    p = ((h >> half) * n + (((h & low) * n) >> half)) >> half
+    return p.astype(np.int64), (h * n) >> np.uint64(64 - bits)
 
 
-WIDTH = {UNI: 6, BI: 5}
+def _pack(x: np.ndarray) -> bytes:
+    """Ascending places as differences of as few bytes each as hold them all; first the width, then
+    all lowest bytes and so on, as the highest are nearly all 0."""
+    d = np.diff(x, prepend=np.uint64(0))
+    width = max(1, (int(d.max()).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def _slices(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending hashes go to partitions by their upper half: the partitions met and n+1 bounds."""
-    p = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-    at = np.flatnonzero(np.diff(p)) + 1
-    return (p[np.concatenate([[0], at])], np.concatenate([[0], at, [len(p)]])) if len(p) else (p, np.zeros(1, np.int64))
+def _unpack(b: bytes) -> np.ndarray:
+    width = b[0]
+    out = np.zeros(((len(b) - 1) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(b, np.uint8, offset=1).reshape(width, -1).T
+    return np.cumsum(out.view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _bounds(p: np.ndarray) -> np.ndarray:
+    """Bounds of the runs of equal slices."""
+    return np.concatenate([[0], np.flatnonzero(np.diff(p)) + 1, [len(p)]])
+
+
+def _names(p: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """One number for a slice and a place in it."""
+    return mix(place ^ mix(p.astype(np.uint64) + np.uint64(1)))
 
 
 def _bigrams(ids: np.ndarray, first: np.ndarray, low: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -76,7 +93,7 @@ def gram_rows(documents: DataFrame, split: Column, parts: int) -> DataFrame:
     """Blocks of documents as rows. UNI and BI: what a block asks of partition p of the counts, the
     hashes of its distinct tokens or bigrams with their counts in kept and deleted texts. DOCS: a
     document's tokens as places among its block's distinct tokens. Deleted documents have blocks
-    of their own."""
+    of their own, with odd numbers."""
     names = ["kind", "block", "p", "h", "kept", "deleted", "doc_id", "split", "ids"]
     kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
 
@@ -88,14 +105,15 @@ def gram_rows(documents: DataFrame, split: Column, parts: int) -> DataFrame:
         distinct, ids = np.unique(tokens, return_inverse=True)
         split = np.asarray(batch.column("split"))
         of = np.repeat(split, np.diff(first))
-        low = _from_low(_low(distinct, WIDTH[UNI]), WIDTH[UNI])
+        low = _names(*_place(distinct, parts, BITS[UNI]))
         end = int(np.searchsorted(distinct, _END))
         _, bi, place, _ = _bigrams(ids, first[:-1], low, end)
         for kind, h, where in ((UNI, distinct, ids), (BI, bi, place)):
             kept, deleted = (np.bincount(where[of == s], minlength=len(h)) for s in (KEPT, LEFT_OUT))
-            ps, at = _slices(h, parts)
-            for p, l, r in zip(ps, at[:-1], at[1:], strict=True):
-                yield (kind, number, int(p), _low(h[l:r], WIDTH[kind]), _small(kept[l:r]), _small(deleted[l:r]), None, None, None)
+            p, x = _place(h, parts, BITS[kind])
+            at = _bounds(p)
+            for l, r in zip(at[:-1], at[1:], strict=True):
+                yield (kind, number, int(p[l]), _pack(x[l:r]), _small(kept[l:r]), _small(deleted[l:r]), None, None, None)
         # the width of a place follows from the number of distinct tokens
         packed = ids.astype(np.uint16 if len(distinct) <= 65536 else np.uint32)
         for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
@@ -110,7 +128,7 @@ def gram_rows(documents: DataFrame, split: Column, parts: int) -> DataFrame:
 
         def flush(which: bool):
             nonlocal count
-            rows = list(block(pa.Table.from_batches(waiting[which]).combine_chunks().to_batches()[0], base + count))
+            rows = list(block(pa.Table.from_batches(waiting[which]).combine_chunks().to_batches()[0], base + 2 * count + which))
             waiting[which], held[which], count = [], 0, count + 1
             for i in range(0, len(rows), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 2000], strict=True), kinds, strict=True)], names)
@@ -143,9 +161,9 @@ def count_rows(messages: DataFrame, parts: int) -> DataFrame:
         asked, hs, kept, deleted = [], [], [], []
         for batch in batches:
             for kind, block, p, h, k, d in zip(*[batch.column(c).to_pylist() for c in ("kind", "block", "p", "h", "kept", "deleted")], strict=True):
-                n = len(h) // WIDTH[kind]
+                hs.append(_unpack(h))
+                n = len(hs[-1])
                 asked.append((kind, block, p, n))
-                hs.append(_from_low(h, WIDTH[kind]))
                 kept.append(_counts(k, n).astype(np.float64))
                 deleted.append(_counts(d, n).astype(np.float64))
         if not asked:
@@ -184,7 +202,8 @@ def _each_block(batches):
         low, uni, bi, docs = [], [], [], []
         for step, h, k, d, doc_id, split, ids, p in got:
             if step == 0:
-                low.append(_from_low(h, WIDTH[UNI]))
+                x = _unpack(h)
+                low.append(_names(np.full(len(x), p), x))
             elif step == 1:
                 n = len(low[len(uni)])
                 uni.append((_counts(k, n), _counts(d, n)))
@@ -216,7 +235,7 @@ def _each_block(batches):
 def _token_counts(block, parts: int):
     """For each token of a block: counts of its bigram, its context and itself, each (kept, deleted)."""
     _, uni, bi, ids, before, h, place, *_ = block
-    _, at = _slices(h, parts)
+    at = _bounds(_place(h, parts, BITS[BI])[0])
     pairs = [[], []]
     for (k, d), l, r in zip(bi, at[:-1], at[1:], strict=True):
         pairs[0].append(_counts(k, r - l))
@@ -287,8 +306,8 @@ def score_documents(documents: DataFrame, held_out: Column) -> DataFrame:
     Documents are counted in blocks. A block sends its distinct tokens and bigrams, counted, to the
     partition of their hash and gets counts of the whole corpus back: no word, however frequent,
     makes more than one entry a block, no table is broadcast, and memory is bounded by a block and
-    by a slice of hashes (their number grows with the corpus). Hashes keep 48 bits (tokens) and 40
-    bits (bigrams) below the bits that name the slice.
+    by a slice of hashes (their number grows with the corpus). Within a slice 48 bits tell tokens
+    and 40 bits bigrams apart.
 
     Null and empty texts have the end token alone. A null doc_id is a training document. Rows with
     one doc_id are scored and counted each. An empty table gives no rows.
@@ -298,12 +317,12 @@ def score_documents(documents: DataFrame, held_out: Column) -> DataFrame:
     parts = max(shuffle_partitions(spark), -(-size // COUNT_BYTES))
     split = F.when(held_out, F.lit(TEST)).when(F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(DELETED)) == 0, F.lit(LEFT_OUT)).otherwise(F.lit(KEPT))
     path = shared_path(spark, "grams")
-    gram_rows(documents, split, parts).write.partitionBy("kind").parquet(path)
+    gram_rows(documents, split, parts).write.partitionBy("kind").option("compression", "zstd").parquet(path)
     schema = ", ".join(x for x in GRAMS.split(", ") if not x.startswith("kind"))
     grams = spark.read.schema(schema + ", kind int").parquet(path)
-    asked, docs = grams.filter("kind = 0"), grams.filter("kind = 2")
     totals = cut(count_rows(grams.filter("kind < 2"), parts), "totals")
     remove(spark, f"{path}/kind=1")
+    release(spark)
     grams = spark.read.schema(schema + ", kind int").parquet(path)
     asked, docs = grams.filter("kind = 0"), grams.filter("kind = 2")
     seen = totals.filter("block < 0 and kind = 0").agg(
@@ -311,9 +330,7 @@ def score_documents(documents: DataFrame, held_out: Column) -> DataFrame:
     ).first()
     types, kept, tokens = seen["types"] or 0, seen["kept"] or 0, (seen["kept"] or 0) + (seen["deleted"] or 0)
 
-    gone = docs.filter(F.col("split") == LEFT_OUT)
-    which = gone.select("block").distinct()
-    some = lambda df: df.join(which, "block", "left_semi")
+    odd = F.col("block") % 2 == 1
 
     def bins(batches):
         for block in _each_block(batches):
@@ -323,7 +340,7 @@ def score_documents(documents: DataFrame, held_out: Column) -> DataFrame:
             code, n = np.unique(code, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
 
-    summed = block_rows(gone, some(asked), some(totals)).mapInArrow(bins, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    summed = block_rows(docs.filter(odd), asked.filter(odd), totals.filter(odd)).mapInArrow(bins, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     rows = [(r["code"] >> 20, (r["code"] >> 10 & 1023) - 1, (r["code"] & 1023) - 1, r["n"]) for r in summed.collect()]
     model = spark.sparkContext.broadcast(Mixture(learn_weights(sorted(rows), types), tokens, types))  # 65 x 3 numbers
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
