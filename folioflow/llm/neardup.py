@@ -7,12 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import Batch, blocks, mix, windows
-from .common import cut, drop
-from .components import components
+from .common import cut, drop, small_batches
+from .components import components, merged
 
 #: Rows of ids that are sent to all executors at most (16 bytes each).
 BROADCAST_IDS = 1_000_000
@@ -32,7 +32,7 @@ class Near:
     percent: int = 80
     left: tuple[int, int] = (2, 10)
     right: tuple[int, int] = (3, 14)
-    pivots: int = 3
+    pivots: int = 4
 
 
 def shingles(texts: pa.Array, n: int):
@@ -96,8 +96,8 @@ def sketches(documents: DataFrame, how: Near) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def confirm(documents: DataFrame, pairs: DataFrame, how: Near, several: bool = False) -> DataFrame:
-    """(a, b, common, united) of each pair of doc_ids, from the whole texts.
+def _texts_of_pairs(documents: DataFrame, pairs: DataFrame, several: bool) -> DataFrame:
+    """(a, b, ta, tb): the pairs of doc_ids with their texts; only texts that are needed move.
 
     ``several``: some doc_id has more than one row; equal rows then count once."""
     ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
@@ -107,30 +107,77 @@ def confirm(documents: DataFrame, pairs: DataFrame, how: Near, several: bool = F
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = texts.join(wanted, "id", "left_semi")
     x, y = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "ta", "tb")
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "ta", "tb")
+
+
+def _set_pairs(batches, n: int):
+    """(batch, [(set of a, set of b)]) from batches of texts of pairs; the latest right sets are kept."""
+    known: OrderedDict[int, tuple[str, np.ndarray]] = OrderedDict()
+    for whole in batches:
+        for batch in blocks(whole, "ta"):
+            ids_b, texts_b, out = batch.column("b").to_pylist(), batch.column("tb"), []
+            for i, u in enumerate(shingles(batch.column("ta"), n)):
+                text = texts_b[i].as_py()
+                if known.get(ids_b[i], (None,))[0] != text:
+                    known[ids_b[i]] = (text, next(iter(shingles(texts_b.slice(i, 1), n))))
+                    if len(known) > 8:
+                        known.popitem(last=False)
+                out.append((u, known[ids_b[i]][1]))
+            yield batch, out
+
+
+def confirm(documents: DataFrame, pairs: DataFrame, how: Near, several: bool = False) -> DataFrame:
+    """(a, b, common, united) of each pair of doc_ids, from the whole texts."""
 
     def run(batches):
-        known: OrderedDict[int, tuple[str, np.ndarray]] = OrderedDict()  # sets of the latest right sides
-        for whole in batches:
-            for batch in blocks(whole, "ta"):
-                common, united = [], []
-                lefts = shingles(batch.column("ta"), how.shingle)
-                ids_b, texts_b = batch.column("b").to_pylist(), batch.column("tb")
-                for i, u in enumerate(lefts):
-                    text = texts_b[i].as_py()
-                    if known.get(ids_b[i], (None,))[0] != text:
-                        known[ids_b[i]] = (text, next(iter(shingles(texts_b.slice(i, 1), how.shingle))))
-                        if len(known) > 8:
-                            known.popitem(last=False)
-                    v = known[ids_b[i]][1]
-                    n = len(np.intersect1d(u, v, assume_unique=True))
-                    common.append(n)
-                    united.append(len(u) + len(v) - n)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(united, pa.int64())], ["a", "b", "common", "united"]
-                )
+        for batch, sets in _set_pairs(batches, how.shingle):
+            common = [len(np.intersect1d(u, v, assume_unique=True)) for u, v in sets]
+            united = [len(u) + len(v) - c for (u, v), c in zip(sets, common, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(united, pa.int64())], ["a", "b", "common", "united"])
 
-    return both.mapInArrow(run, "a long, b long, common long, united long")
+    with small_batches(documents.sparkSession):
+        return cut(_texts_of_pairs(documents, pairs, several).mapInArrow(run, "a long, b long, common long, united long"), "tested")
+
+
+def around_hubs(documents: DataFrame, spokes: DataFrame, how: Near, several: bool = False) -> DataFrame:
+    """(x, y): pairs of members of one hub that may be linked though not both are linked with the hub.
+
+    ``spokes``: (a, b), members a and their hub b. With A_x = hub less x and E_x = x less hub, two
+    members share |hub| - |A_x| - |A_y| + |A_x & A_y| + |E_x & E_y| shingles. If y isn't linked with the
+    hub, a link of x and y takes more than ((1-t) A_x + t' E_x) of x's differences in y's, with
+    t' = p / (100 + p) and 1-t = 100 / (100 + p): about half of them. So x sends so few of its
+    differences, rarest in the hub's group first, that y can't share enough without one of these;
+    y sends all. Differences between copies of one text are mostly their own, so few pairs meet.
+    """
+
+    def run(batches):
+        names = ["hub", "member", "linked", "n", "missing", "size", "hub_size", "element"]
+        for batch, sets in _set_pairs(batches, how.shingle):
+            for i, (u, v) in enumerate(sets):
+                common = len(np.intersect1d(u, v, assume_unique=True))
+                linked = 100 * common >= how.percent * (len(u) + len(v) - common)
+                extra, missing = np.setdiff1d(u, v, assume_unique=True), np.setdiff1d(v, u, assume_unique=True)
+                elements = np.concatenate([mix(extra), mix(missing ^ np.uint64(0x1234567))]).view(np.int64)
+                n = len(elements)
+                values = (batch.column("b")[i].as_py(), batch.column("a")[i].as_py(), linked, n, len(missing), len(u), len(v))
+                yield pa.RecordBatch.from_arrays([*[pa.array([x] * n, pa.bool_() if x is linked else pa.int64()) for x in values], pa.array(elements)], names)
+
+    schema = "hub long, member long, linked boolean, n long, missing long, size long, hub_size long, element long"
+    with small_batches(documents.sparkSession):
+        d = cut(_texts_of_pairs(documents, spokes, several).mapInArrow(run, schema), "differences")
+    often = d.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("often"), F.count_if(~F.col("linked")).alias("unlinked"))
+    # an element alone with its member, or with linked members only, meets nobody
+    counted = d.join(often, ["hub", "element"])
+    rank = F.row_number().over(Window.partitionBy("hub", "member").orderBy("often", "element"))
+    p, whole = how.percent, 100 + how.percent
+    least = F.floor((100 * F.col("missing") + p * (F.col("n") - F.col("missing"))) / whole) + 1
+    sent = counted.withColumn("rank", rank).filter((F.col("rank") <= F.col("n") - least + 1) & (F.col("often") > 1) & (F.col("unlinked") > 0))
+    x, y = sent.alias("x"), counted.filter("not linked and often > 1").alias("y")
+    # what this very pair must share, at least; and what is left of x's differences from this one on
+    need = F.ceil(p * (F.col("x.size") + F.col("y.size")) / whole) - F.col("x.hub_size") + F.col("x.missing") + F.col("y.missing")
+    on = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.member") != F.col("y.member"))
+    met = x.join(y, on & (F.col("x.rank") <= F.col("x.n") - need + 1) & (need <= F.col("y.n")))
+    return met.select(F.least("x.member", "y.member").alias("a"), F.greatest("x.member", "y.member").alias("b")).distinct()
 
 
 def near_groups(documents: DataFrame, how: Near = Near()) -> DataFrame:
@@ -140,14 +187,16 @@ def near_groups(documents: DataFrame, how: Near = Near()) -> DataFrame:
     2. Classes that share a table key are compared with the key's least member, a pair once. A
        group of a thousand near copies so yields some thousand pairs, not their square.
     3. Confirmed links make components. Where one key still holds members of several components,
-       its other members serve as pivots: for ``pivots`` rounds the member that comes first by a
-       hash of the round meets those of other components; what then is still apart is compared
-       pair by pair, each pair once, so no link that shares a key is lost.
+       ``pivots`` of its members, each the first by a hash of its own, meet those of other
+       components. For what then is still apart, the key's most linked member is the hub, and
+       :func:`around_hubs` finds all pairs that may be linked, which are confirmed as well. So no
+       link that shares a key is lost, and no group is compared pair by pair.
 
     Null, empty and blank texts have an empty set and are linked with nothing. Rows with one doc_id
     count as one document. A row without doc_id keeps a null component_id. An empty table gives no rows.
     """
-    sketch = cut(sketches(documents, how), "sketch")
+    with small_batches(documents.sparkSession, 2000):
+        sketch = cut(sketches(documents, how), "sketch")
     several = bool(sketch.groupBy("doc_id").count().filter("count > 1").head(1))
     full = sketch.filter("n_shingles > 0 and doc_id is not null")
     classes = cut(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
@@ -163,40 +212,41 @@ def near_groups(documents: DataFrame, how: Near = Near()) -> DataFrame:
     shared = keyed.groupBy("key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = cut(keyed.join(shared, "key"), "members")
     pairs = members.filter("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
-    tested = cut(confirm(documents, pairs, how, several), "tested")
+    tested = confirm(documents, pairs, how, several)
     linked = F.expr(f"100 * common >= {how.percent} * united")
-    edges = tested.filter(linked).select("a", "b")
-    groups = cut(components(edges), "groups")
+    groups = cut(components(tested.filter(linked).select("a", "b")), "groups")
 
-    open_keys = members.filter("n > 2").select("key", "rep").distinct() if several else members.filter("n > 2").select("key", "rep")
-    for step in range(how.pivots + 1):
-        o, g = open_keys.alias("o"), groups.alias("g")
+    open_keys = members.filter("n > 2").select("key", "rep")
+    if several:
+        open_keys = open_keys.distinct()
+    for last in (False, True):
+        o, g = open_keys.select("key", "rep").alias("o"), groups.alias("g")
         placed = o.join(g, F.col("o.rep") == F.col("g.node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-        mixed = placed.groupBy("key").agg(
-            F.min("component").alias("c0"), F.max("component").alias("c1"),
-            F.min(F.struct(F.xxhash64(F.lit(step), "rep").alias("h"), "rep", "component")).alias("pivot"),
-        ).filter("c0 <> c1").select("key", "pivot")
-        before = open_keys
-        open_keys = cut(placed.join(mixed, "key").select("key", "rep", "component", F.col("pivot.rep").alias("p"), F.col("pivot.component").alias("pc")), "open")
-        if step:
-            drop(before)
+        by_hash = [F.min(F.struct(F.xxhash64(F.lit(i), "rep").alias("h"), "rep", "component")).alias(f"p{i}") for i in range(how.pivots)]
+        mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), *by_hash).filter("c0 <> c1")
+        mixed = mixed.select("key", F.array(*[f"p{i}" for i in range(how.pivots)]).alias("ps"))
+        open_keys = cut(placed.join(mixed, "key"), "open")
         if not open_keys.head(1):
             break
-        if step < how.pivots:
-            new = open_keys.filter("component <> pc").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
+        if last:
+            ends = tested.filter(linked).select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
+            w, e = open_keys.alias("w"), ends.alias("e")
+            ranked = w.join(e, F.col("w.rep") == F.col("e.rep"), "left").select("w.key", "w.rep", F.coalesce("e.degree", F.lit(0)).alias("degree"))
+            hubs = ranked.groupBy("key").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("hub"))
+            spokes = cut(open_keys.select("key", "rep").join(hubs, "key").select(F.col("rep").alias("a"), F.col("hub").alias("b")).filter("a <> b").distinct(), "spokes")
+            near = around_hubs(documents, spokes, how, several)
+            new = near.unionByName(spokes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         else:
-            x, y = open_keys.alias("x"), open_keys.alias("y")
-            apart = (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
-            new = x.join(y, (F.col("x.key") == F.col("y.key")) & apart).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+            each = open_keys.select("rep", "component", F.explode("ps").alias("p")).filter("component <> p.component")
+            new = each.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
         done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         new = cut(new.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
         if new.head(1):
-            more = cut(confirm(documents, new, how, several), "tested")
+            more = confirm(documents, new, how, several)
             tested = tested.unionByName(more)
-            if more.filter(linked).head(1):
-                edges = tested.filter(linked).select("a", "b")
-                groups = cut(components(edges), "groups")
-        open_keys = open_keys.select("key", "rep")
+            links = more.filter(linked).select("a", "b")
+            if links.head(1):
+                groups = cut(merged(groups, links), "groups")
     drop(members)
     s, g = sets.distinct().alias("s"), groups.alias("g")
     # rows of one doc_id may have several sets: each set joins that document's component
