@@ -236,6 +236,7 @@ class Encoder(dict):
         self.old: dict[str, bytes] = {}
         self.parts: dict[str, list[int]] = {}
         self.most = most // 2
+        self.marks = {m: self.ids(m) for m in ".,"}
 
     def _part(self, part: str) -> list[int]:
         """Ids of what the split pattern yields."""
@@ -255,10 +256,19 @@ class Encoder(dict):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return array("I", ids).tobytes()
 
+    def _word(self, piece: str) -> bytes | None:
+        """Ids of a space and ASCII letters, with a full stop or comma behind them or not: the commonest pieces."""
+        end = b""
+        if piece[-1:] in (".", ","):
+            end, piece = self.marks[piece[-1]], piece[:-1]
+        if not (piece.isascii() and piece.isalpha()):
+            return None
+        return array("I", [t.id for t in self.tokenizer.model.tokenize("\u0120" + piece)]).tobytes() + end
+
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            ids = self.ids(" " + piece)
+            ids = (self._word(piece) if self.split_here else None) or self.ids(" " + piece)
         self[piece] = ids
         return ids
 
