@@ -9,6 +9,10 @@ from .common import cut, drop, fresh, n_words, ordered_prefix
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2
+#: Rows, one a source, that may be ordered by one task.
+FEW_SOURCES = 100_000
+#: Rows of 16 bytes that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -21,21 +25,16 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     which the rest would reach. Works on one row a source, after a partial aggregation.
     """
     per = cut(sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), "sources")
-    ranked = ordered_prefix(
-        per.withColumn("_null", F.col("source").isNull()), [], [F.col("_null"), F.col("source")], {}, "_i"
-    )
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_i") % len(weights) + 1).cast("int"))
-    capped = ranked.select(
+    capped = _in_order(per, [F.col("source").isNull(), F.col("source")], {}, "_i").select(
         "source", "source_size", weight.alias("_w"), (F.col("source_size") * F.lit(float(cap))).alias("_cap")
     ).withColumn("_ratio", F.col("_cap") / F.col("_w"))
-    total = capped.agg(
-        (F.sum("source_size") * F.lit(share)).alias("_goal"), F.sum("_w").alias("_all_w")
-    )
-    levels = ordered_prefix(
-        capped, [], [F.col("_ratio"), F.col("source").isNull(), F.col("source")], {"_caps": "_cap", "_ws": "_w"}, "_j"
+    total = capped.agg((F.sum("source_size") * F.lit(share)).alias("_goal"), F.sum("_w").alias("_all_w"))
+    levels = _in_order(
+        capped, [F.col("_ratio"), F.col("source").isNull(), F.col("source")], {"_caps": "_cap", "_ws": "_w"}, "_j"
     ).crossJoin(F.broadcast(total))  # one row
     level = (F.col("_goal") - F.col("_caps")) / (F.col("_all_w") - F.col("_ws"))
-    levels = cut(levels.withColumn("_level", level).withColumn("_full", F.col("_ratio") <= F.col("_level")), "levels")
+    levels = levels.withColumn("_level", level).withColumn("_full", F.col("_ratio") <= F.col("_level"))
     # the level of the first source that is not full holds for all that are not
     water = levels.filter(~F.col("_full")).agg(F.min_by("_level", "_j").alias("_water"))
     return levels.crossJoin(F.broadcast(water)).select(
@@ -45,6 +44,19 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     )
 
 
+def _in_order(per: DataFrame, order: list, values: dict[str, str], rank: str) -> DataFrame:
+    """:func:`ordered_prefix` over a row a source; few sources are one task's window."""
+    if per.count() > FEW_SOURCES:
+        return ordered_prefix(per, [], order, values, rank)
+    whole = Window.partitionBy(F.lit(0)).orderBy(*order)
+    before = whole.rowsBetween(Window.unboundedPreceding, -1)
+    return per.select(
+        "*",
+        (F.row_number().over(whole) - 1).cast("long").alias(rank),
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(new) for new, c in values.items()],
+    )
+
+
 def tilts(sizes: DataFrame, targets: DataFrame, cap: int = CAP, steps: int = 60, tolerance: float = 1e-6) -> DataFrame:
     """(source, tilt, mean): the dual's solution for each source.
 
@@ -185,7 +197,7 @@ def entropy_mix(
         found = cut(best, "moves")
         if not found.head(1):
             break
-        moves = found if moves is None else cut(moves.unionByName(found), "moves")
+        moves = found if moves is None else moves.unionByName(found)
     out = mixed if moves is None else _moved(mixed, moves)
     return out.select("doc_id", "source", "size", "source_size", "target", "copies")
 
@@ -200,17 +212,25 @@ def _moved(mixed: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def mix_documents(documents: DataFrame, **how) -> DataFrame:
-    """The mixed corpus: rows of ``documents``, each as often as the mix takes it.
+    """The mixed corpus: rows of ``documents``, each as often as the mix takes it, with their columns.
 
-    Rows with one doc_id and source are told apart by an order of their own (size descending)."""
+    Rows are known by doc_id; where doc_ids repeat or are null, rows get numbers of their own.
+    The table of copies is broadcast up to BROADCAST_ROWS rows, else joined by a shuffle."""
     row, times, one = fresh(documents, "row_no", "copies", "copy")
-    keyed = cut(documents.withColumn(row, F.monotonically_increasing_id()), "keyed")
-    chosen = entropy_mix(keyed.select(F.col(row).alias("doc_id"), "source", "text"), **how)
-    chosen = chosen.filter(F.col("copies") > 0).select(F.col("doc_id").alias(row), F.col("copies").alias(times))
+    unsure = documents.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
+    if unsure.head(1):
+        keyed = cut(documents.withColumn(row, F.monotonically_increasing_id()), "keyed")
+        chosen = entropy_mix(keyed.select(F.col(row).alias("doc_id"), "source", "text"), **how)
+    else:
+        keyed = documents.withColumn(row, F.col("doc_id"))
+        chosen = entropy_mix(documents, **how)
+    chosen = cut(chosen.filter(F.col("copies") > 0).select(F.col("doc_id").alias(row), F.col("copies").alias(times)), "copies")
+    if chosen.count() <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
     return (
         keyed.join(chosen, row)
         .withColumn(one, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
-        .select(*documents.columns)
+        .select(*[F.col(f"`{c}`") for c in documents.columns])
     )
 
 
