@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, fresh
+from .common import cut, drop, fresh, shared_path
 
 SHARDS, SEED, BUCKET_BYTES = 40, 20240607, 32 << 20
 
@@ -52,14 +53,16 @@ def two_pass_shuffle(
         .agg(ordered.alias(items))
         .withColumn(items, F.shuffle(items, seed))
     )
-    placed = gathered.select(bucket, F.posexplode(items).alias(at, "_row")).join(starts, F.col(bucket) == F.col("_b"))
+    placed = gathered.select(bucket, F.posexplode(items).alias(at, "_row")).join(F.broadcast(starts), F.col(bucket) == F.col("_b"))
     base, extra = F.floor(F.col("_all") / F.lit(shards)), F.col("_all") % F.lit(shards)
     place = F.col("_start") + F.col(at)
     wide = extra * (base + 1)  # the first ``extra`` shards have one row more
     first = place < wide
     number = F.when(first, F.floor(place / (base + 1))).otherwise(extra + F.floor((place - wide) / F.greatest(base, F.lit(1))))
     within = F.when(first, place % (base + 1)).otherwise((place - wide) % F.greatest(base, F.lit(1)))
-    return placed.select("_row.*", number.cast("int").alias(shard), within.cast("long").alias(slot)).drop(h)
+    out = placed.select("_row.*", number.cast("int").alias(shard), within.cast("long").alias(slot)).drop(h)
+    out._cut_path = scattered._cut_path
+    return out
 
 
 def _by_hash(a: Column, b: Column) -> Column:
@@ -73,27 +76,27 @@ def _sortable(rows: DataFrame) -> bool:
 
 
 def write_shards(rows: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> None:
-    """Write whole ``rows`` (doc_id, text, ...) as Parquet folders ``shard=0`` ... in slot order."""
-    text_hash = F.xxhash64("text")
-    (
-        two_pass_shuffle(rows, size_of(F.col("text")), [F.col("doc_id"), text_hash], shards, seed, bucket_bytes)
-        .repartitionByRange(shards, "shard", "slot")
-        .sortWithinPartitions("shard", "slot")
-        .write.partitionBy("shard")
-        .parquet(path)
-    )
+    """Write whole ``rows`` (doc_id, text, ...) as Parquet folders ``shard=0`` ... in slot order.
+
+    A bucket holds consecutive slots of one shard or of neighbours, so its task writes them as they are and
+    texts are shuffled once; the files of a folder are in slot order by name and within."""
+    key = [F.col("doc_id"), F.xxhash64("text")]
+    laid = two_pass_shuffle(rows, size_of(F.col("text")), key, shards, seed, bucket_bytes)
+    laid.sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    drop(laid)
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:
-    """The contract's digest. Null text: size 16, crc32 of no bytes (0). Rows with one doc_id stay
-    rows of their own; an empty table gives no rows."""
+    """The contract's digest of shard files: whole ``documents`` are shuffled and written by
+    :func:`write_shards`, and the digest is taken from what is read back. Null text: size 16, crc32 of no
+    bytes (0). Rows with one doc_id stay rows of their own; an empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    digest = docs.select(
+    path = shared_path(spark, "shards")
+    write_shards(docs, path)
+    written = spark.read.schema(T.StructType([*docs.schema, T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])).parquet(path)
+    return written.select(
         "doc_id",
         size_of(F.col("text")).alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-    )
-    out = two_pass_shuffle(digest, F.lit(24), [F.col("doc_id"), F.col("text_crc32")])
-    return out.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -144,3 +144,20 @@ def test_shards_of_few_rows(spark):
     few = sharding.two_pass_shuffle(H.frame(spark, [(1, "a", None, None, 1), (2, None, None, None, 1)]), F.lit(1), [F.col("doc_id")]).collect()
     assert sorted((r["shard"], r["slot"]) for r in few) == [(0, 0), (1, 0)]
     assert sharding.two_pass_shuffle(H.frame(spark, []), F.lit(1), [F.col("doc_id")]).count() == 0
+
+
+def test_sharding_reads_whole_documents_back_from_shards(spark, tmp_path):
+    rows = H.odd_rows() + [(100 + i, f"t{i % 50} " * (1 + i * 37 % 900), None, None, None) for i in range(333)]
+    H.frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.op8_sharding(spark, str(tmp_path)).collect()
+    sharding.write_shards(H.frame(spark, rows), f"{tmp_path}/shards")
+    files = spark.read.parquet(f"{tmp_path}/shards").collect()
+    digest = lambda i, t, shard, slot: (i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), shard, slot)
+    order = lambda r: r[3:]
+    assert sorted(((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in got), key=order) == sorted(
+        (digest(r["doc_id"], r["text"], r["shard"], r["slot"]) for r in files), key=order
+    )
+    assert Counter((r["doc_id"], r["text"]) for r in files) == Counter(r[:2] for r in rows)
+    assert sorted({r["shard"] for r in got}) == list(range(40))
+    H.frame(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert sharding.op8_sharding(spark, f"{tmp_path}/none").count() == 0
