@@ -52,20 +52,23 @@ def link(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, uid, reply_to, linked): for messages that quote earlier ones of their
     conversation, the turn quoted most.
 
-    Passages at level 1 (runs of lines, and each line) are hashed in a normal form (A-Z lowered, blanks
-    squeezed) and meet the latest earlier unquoted passage of that hash; the turn with most quoted words
-    is replied to, the later one of equals. One window over (conversation, hash), for hashes that are
-    quoted at all, finds the latest earlier message, so repeated texts don't multiply.
+    Passages (runs of lines of one level, and each line) are hashed in a normal form (A-Z lowered, blanks
+    squeezed). One at level q meets the latest earlier message that holds that hash at level q - 1, or,
+    where none does, the latest that holds it unquoted. The turn with most words quoted at level 1 is
+    replied to, of equals the one with most at deeper levels, then the later one. One window over (conversation, hash,
+    level), for hashes that are quoted at all, finds the latest earlier message, so repeated texts don't multiply.
     """
     units = cut(_units(messages), "units")
-    quotes = units.filter("q = 1")
-    wanted = quotes.select("conv_id", "h").distinct()
-    own = units.filter("q = 0").join(wanted, ["conv_id", "h"], "left_semi").select("conv_id", "h", "turn", F.col("turn").alias("origin"), F.lit(None).cast("long").alias("uid"), F.lit(0).cast("long").alias("n"))
-    asked = quotes.select("conv_id", "h", "turn", F.lit(None).cast("long").alias("origin"), "uid", "n")
-    earlier = Window.partitionBy("conv_id", "h").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    met = own.unionByName(asked).withColumn("to", F.max("origin").over(earlier)).filter("uid is not null and to is not null")
-    votes = met.groupBy("conv_id", "turn", "uid", "to").agg(F.sum("n").alias("n"))
-    best = votes.groupBy("conv_id", "turn", "uid").agg(F.max(F.struct("n", "to"))["to"].alias("reply_to"), F.sum("n").alias("linked"))
+    quotes = units.filter("q > 0").withColumn("at", F.explode(F.array_distinct(F.array(F.col("q") - 1, F.lit(0)))))
+    wanted = quotes.select("conv_id", "h", "at").distinct()
+    none = F.lit(None).cast("long")
+    own = units.withColumn("at", F.col("q")).join(wanted, ["conv_id", "h", "at"], "left_semi").select("conv_id", "h", "at", "turn", F.col("turn").alias("origin"), none.alias("uid"), F.lit(0).alias("q"), F.lit(0).cast("long").alias("n"))
+    asked = quotes.select("conv_id", "h", "at", "turn", none.alias("origin"), "uid", "q", "n")
+    earlier = Window.partitionBy("conv_id", "h", "at").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    found = own.unionByName(asked).withColumn("to", F.max("origin").over(earlier)).filter("uid is not null and to is not null")
+    met = found.groupBy("conv_id", "turn", "uid", "h", "q", "n").agg(F.max(F.struct("at", "to"))["to"].alias("to"))
+    votes = met.groupBy("conv_id", "turn", "uid", "to").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("q") == 1, F.col("n")).otherwise(0)).alias("n1"))
+    best = votes.groupBy("conv_id", "turn", "uid").agg(F.max(F.struct("n1", "n", "to"))["to"].alias("reply_to"), F.sum("n").alias("linked"))
     return best
 
 

@@ -103,3 +103,19 @@ def test_chat_moves_late_replies_to_their_message(spark):
     got = sorted(thread(spark, rows).collect(), key=lambda r: r["position"])
     assert [r["turn"] for r in got] == [0, 1, 3, 2, 4]
     assert chat.chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_chat_links_deeper_levels(spark):
+    rows = [
+        (1, 0, "a", "the very first words"), (1, 1, "b", "> the very first words\nsecond words"), (1, 2, "c", "the very first words"), (1, 3, "d", "something else"),
+        (1, 4, "e", ">> the very first words\nonly nested"), (1, 5, "f", ">>> something else\nno such level, so the original"), (1, 6, "g", ">>> the very first words\nonly deep"),
+        (1, 7, "h", "> something else\n>> the very first words\n>> the very first words\nlevel 1 goes first"),
+        (2, 0, "a", "question"), (2, 1, "b", "> from another thread\nfirst reply"), (2, 2, "c", "> question\nother reply"), (2, 3, "d", ">> from another thread\nits original is not here"), (2, 4, "e", ">> nobody wrote this\nend"),
+    ]
+    got = {(r["conv_id"], r["turn"]): r for r in thread(spark, rows).collect()}
+    assert len(got) == len(rows)
+    want = {(1, 1): 0, (1, 4): 1, (1, 5): 3, (1, 6): 4, (1, 7): 3, (2, 2): 0, (2, 3): 1}
+    assert {k: r["reply_to"] for k, r in got.items() if r["reply_to"] is not None} == want
+    assert got[1, 4]["n_linked"] == 4 and got[2, 4]["n_linked"] == 0
+    two = sorted((r for k, r in got.items() if k[0] == 2), key=lambda r: r["position"])
+    assert [r["turn"] for r in two] == [0, 1, 3, 4, 2]
