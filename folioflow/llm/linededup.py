@@ -48,25 +48,33 @@ def repeated_lines(documents: DataFrame, least_words: int = LEAST_WORDS) -> Data
        same fingerprint of the same source collapse into one position on a diagonal.
     3. Matches are extended both ways along the diagonal while lines are equal, and all lines of
        the later run are deleted. The first occurrence of a line is never deleted.
+    4. Where matches stop, the last window is grown line by line while the longer run has an
+       earlier occurrence anywhere (:func:`_grown`), so that sources other than the first count.
 
-    A passage that very many documents share costs a row for each of them and is compared with its
-    first occurrence only. Joins are plain equi-joins, whose hot keys adaptive execution splits.
+    Together that is every line of every run of ``least_words`` words or more that occurs earlier: such a
+    run's windows are matched one by one, and what follows its last window is too short for a window
+    of its own.
+
+    A passage that very many documents share costs some rows for each of them and is compared with first
+    occurrences only. Joins are plain equi-joins, whose hot keys adaptive execution splits.
     """
     lines = cut(_lines(documents), "lines")
     frame = Window.partitionBy("doc").orderBy("before").rangeBetween(0, least_words - 1)
     windows = lines.select(
-        "doc", "no",
+        "doc", "no", "before",
         F.sum("n").over(frame).alias("total"),
         F.collect_list("h").over(frame).alias("hs"),  # least_words lines at most
         F.min(F.struct("h", "no")).over(frame)["no"].alias("mark"),
-    ).filter(F.col("total") >= least_words).select("doc", "no", "mark", F.xxhash64("hs").alias("w"))
+    ).withColumn("k", F.size("hs")).withColumn("next", F.lead("k", 1, 0).over(Window.partitionBy("doc").orderBy("before")))
+    # more: lines behind a window that begin before the next window has its words
+    windows = windows.filter(F.col("total") >= least_words).select(
+        "doc", "no", "mark", F.xxhash64("hs").alias("w"), "k", (F.col("next") - F.col("k") + 1).alias("more")
+    )
     windows = cut(windows, "windows")
-    first = windows.groupBy("w").agg(F.min(F.struct("doc", "no")).alias("src"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    first = windows.groupBy("w").agg(F.min(F.struct("doc", "no")).alias("src"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    repeated = cut(windows.join(first.drop("times"), "w").withColumn("later", F.struct("doc", "no") > F.col("src")), "repeated")
     matches = cut(
-        windows.join(first, "w")
-        .filter(F.struct("doc", "no") > F.col("src"))
-        .select("doc", F.col("src.doc").alias("sdoc"), (F.col("no") - F.col("src.no")).alias("off"), "mark")
-        .distinct(),
+        repeated.filter("later").select("doc", F.col("src.doc").alias("sdoc"), (F.col("no") - F.col("src.no")).alias("off"), "mark").distinct(),
         "matches",
     )
     drop(windows)
@@ -83,7 +91,26 @@ def repeated_lines(documents: DataFrame, least_words: int = LEAST_WORDS) -> Data
     diagonal = ["doc", "sdoc", "off"]
     run = marked.withColumn("run", F.col("no") - F.row_number().over(Window.partitionBy(*diagonal).orderBy("no")))
     hit = run.withColumn("any", F.max("hit").over(Window.partitionBy(*diagonal, "run"))).filter("any")
-    return hit.select(F.col("doc.id").alias("doc_id"), F.col("doc.th").alias("th"), "at").distinct()
+    gone = hit.select("doc", "at").unionByName(_grown(lines, repeated))
+    return gone.select(F.col("doc.id").alias("doc_id"), F.col("doc.th").alias("th"), "at").distinct()
+
+
+def _grown(lines: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(doc, at): lines behind a matched window whose next window is not matched, as far as the window
+    and the lines up to there occur earlier in any document.
+
+    All windows equal to such a one grow by each of their next ``more`` lines; a grown window has an earlier
+    equal one where it is not the first of its hash."""
+    later = Window.partitionBy("doc").orderBy("no")
+    ends = repeated.filter("later").withColumn("then", F.lead("no").over(later)).filter("more > 0 and (then is null or then <> no + 1)")
+    members = repeated.filter("more > 0").join(ends.select("w").distinct(), "w", "left_semi")
+    wanted = members.select("doc", "no", "w", F.explode(F.sequence(F.lit(1), F.col("more"))).alias("step"), (F.col("no") + F.col("k") - 1).alias("last")).alias("g")
+    l = lines.alias("l")
+    steps = wanted.join(l, (F.col("g.doc") == F.col("l.doc")) & (F.col("g.last") + F.col("g.step") == F.col("l.no"))).select("g.doc", "g.no", "g.w", "g.step", "l.at", "l.h")
+    so_far = Window.partitionBy("doc", "no").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    grown = cut(steps.select("doc", "no", "at", F.xxhash64("w", F.collect_list("h").over(so_far)).alias("g")), "grown")
+    first = grown.groupBy("g").agg(F.min(F.struct("doc", "no")).alias("src"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    return grown.join(first, "g").filter(F.struct("doc", "no") > F.col("src")).select("doc", "at")
 
 
 def dedupe_lines(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:

@@ -115,3 +115,28 @@ def test_line_dedup_of_repeated_rows_and_nothing(spark):
     out = linededup.dedupe_lines(H.frame(spark, [(1, text, None, None, 0), (1, text, None, None, 0), (2, text, None, None, 0), (None, None, None, None, 0)])).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in out if r["text"] is not None) == [(1, text), (1, text), (2, "")]
     assert linededup.dedupe_lines(H.frame(spark, [])).count() == 0
+
+
+def every_repeat(rows, least):
+    """Lines of all runs of ``least`` words or more that occur earlier, by trying each pair of places."""
+    docs = sorted({(r[0], r[1]) for r in rows})
+    lines = {d: [(i, x.strip(" \t\v\f\r"), len(H.words(x))) for i, x in enumerate(d[1].split("\n")) if H.words(x)] for d in docs}
+    places, gone = [(d, i) for d in docs for i in range(len(lines[d]))], set()
+    for n, (d, i) in enumerate(places):
+        for s, k in places[:n]:
+            run = 0
+            while i + run < len(lines[d]) and k + run < len(lines[s]) and lines[d][i + run][1] == lines[s][k + run][1]:
+                run += 1
+            if sum(x[2] for x in lines[d][i : i + run]) >= least:
+                gone |= {(d[0], x[0]) for x in lines[d][i : i + run]}
+    return gone
+
+
+def test_line_dedup_considers_every_earlier_source(spark):
+    rng, passage = random.Random(9), "l " * 60
+    rows = [(1, passage, "en", "s", 1), (2, f"{passage}\ns of ten words\nmore", "en", "s", 1), (3, f"{passage}\ns of ten words\nother", "en", "s", 1)]
+    stock = [f"{w} " * n for w, n in zip("abcdefg", (9, 1, 4, 12, 2, 6, 3), strict=True)]
+    for n in range(40):
+        rows.append((10 + n, "\n".join(rng.choices(stock[:4] if n % 2 else stock, k=rng.randrange(3, 14))), "en", "s", 1))
+    got = {(r["doc_id"], r["at"]) for r in linededup.repeated_lines(H.frame(spark, rows), 20).collect()}
+    assert (3, 1) in got and got == every_repeat(rows, 20)
