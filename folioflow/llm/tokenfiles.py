@@ -6,11 +6,12 @@ A shard file holds documents in ascending key order:
 
 * data block: entries, then u32 restart offsets and their number. An entry is varint shared,
   varint rest, varint bytes of value, then the key's last ``rest`` bytes, then the value; ``shared`` is how much of
-  the key before it repeats, and is 0 at a restart (every 16 entries). A key is the doc_id as 8
-  bytes, big-endian with the sign flipped, so that byte order is numeric order, then a u32 ordinal
+  the key before it repeats, and is 0 at a restart (every 16 entries). A key is a flag byte (0: null doc_id, which
+  comes first; 1: any other), the doc_id as 8 bytes (null: 0), big-endian with the sign flipped, so that byte order is
+  numeric order, then a u32 ordinal
   that tells equal doc_ids apart. A value is one byte of width (2 or 4), then the ids little-endian.
 * index block: for each data block, its last key and u64 offset, u32 length, u32 crc32 of the block.
-* Bloom filter: u32 number of hashes, then the bits; it holds the 8 bytes of each doc_id.
+* Bloom filter: u32 number of hashes, then the bits; it holds the 8 bytes of each doc_id (null: of 0).
 * footer: u64 offset and u32 length of index and filter each, u64 entries, u64 ids, u32 crc32 of the
   index and filter, "FSST".
 """
@@ -35,13 +36,13 @@ from .common import cut, shared_path, shuffle_partitions
 
 MAGIC, RESTART, BLOCK, BLOOM_BITS, BLOOM_HASHES = b"FSST", 16, 64 << 10, 10, 7
 _FOOTER = struct.Struct("<QIQIQQI4s")
-_INDEX = struct.Struct("<QII")
+_INDEX, _KEY = struct.Struct("<QII"), 13
 #: Pieces of text that a Python worker remembers, in two generations.
 CACHE_PIECES = 800_000
 
 
-def key_of(doc_id: int, ordinal: int = 0) -> bytes:
-    return struct.pack(">QI", (doc_id + (1 << 63)) & (2**64 - 1), ordinal)
+def key_of(doc_id: int | None, ordinal: int = 0) -> bytes:
+    return struct.pack(">BQI", doc_id is not None, ((doc_id or 0) + (1 << 63)) & (2**64 - 1), ordinal)
 
 
 def _varint(n: int) -> bytes:
@@ -85,7 +86,7 @@ class Writer:
         self.out.write(b)
         self.at += len(b)
 
-    def add(self, doc_id: int, ordinal: int, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ordinal: int, ids: np.ndarray) -> None:
         key = key_of(doc_id, ordinal)
         if key <= self.last:
             raise ValueError("keys must ascend")
@@ -101,7 +102,7 @@ class Writer:
         self.block += value
         self.last, self.n = key, self.n + 1
         self.entries, self.ids = self.entries + 1, self.ids + len(ids)
-        self.keys.append(doc_id)
+        self.keys.append(doc_id or 0)
         if len(self.block) >= BLOCK:
             self._flush()
 
@@ -154,8 +155,8 @@ class Reader:
         if magic != MAGIC or zlib.crc32(rest) != crc or bloom_at != index_at + index_n:
             raise ValueError("damaged shard")
         self.blocks = []
-        for i in range(0, index_n, 12 + _INDEX.size):
-            self.blocks.append((rest[i : i + 12], *_INDEX.unpack_from(rest, i + 12)))
+        for i in range(0, index_n, _KEY + _INDEX.size):
+            self.blocks.append((rest[i : i + _KEY], *_INDEX.unpack_from(rest, i + _KEY)))
         self.bits = np.unpackbits(np.frombuffer(rest, np.uint8, offset=index_n + 4))
 
     def _block(self, i: int) -> bytes:
@@ -169,12 +170,13 @@ class Reader:
     def scan(self):
         for i in range(len(self.blocks)):
             for key, ids in _entries(self._block(i)):
-                yield struct.unpack(">Q", key[:8])[0] - (1 << 63), struct.unpack(">I", key[8:])[0], ids
+                given, doc_id, ordinal = struct.unpack(">BQI", key)
+                yield doc_id - (1 << 63) if given else None, ordinal, ids
 
-    def may_hold(self, doc_id: int) -> bool:
-        return bool(self.bits[_bloom_places(np.array([doc_id], np.int64).view(np.uint64), len(self.bits))].all())
+    def may_hold(self, doc_id: int | None) -> bool:
+        return bool(self.bits[_bloom_places(np.array([doc_id or 0], np.int64).view(np.uint64), len(self.bits))].all())
 
-    def get(self, doc_id: int, ordinal: int = 0) -> np.ndarray | None:
+    def get(self, doc_id: int | None, ordinal: int = 0) -> np.ndarray | None:
         """Ids of the document: Bloom filter, binary search over blocks, then over restarts."""
         if not self.may_hold(doc_id):
             return None
@@ -322,7 +324,7 @@ def write_tables(
     Documents are dealt in ranges of doc_id, one range a shard file, and sorted within. A file gets
     its name when it is whole, so a task that is lost and repeated leaves no part of a file.
     Null text: only the end id. Rows with one doc_id are stored each, told apart by an ordinal in
-    the order of a hash of their text. Null doc_ids are refused, as a key is needed.
+    the order of a hash of their text. Null doc_ids come first, with a key of their own.
     """
     n = shards or shuffle_partitions(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -331,12 +333,10 @@ def write_tables(
 
     def write(batches):
         fs, base = filesystem(folder)
-        name, part, out, w, first, last, ordinal = None, None, None, None, None, None, 0
+        name, part, out, w, last, ordinal = None, None, None, None, (), 0
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            if batch.column("doc_id").null_count:
-                raise ValueError("a document without doc_id has no key")
             if w is None:
                 fs.create_dir(base, recursive=True)
                 from pyspark import TaskContext

@@ -161,3 +161,22 @@ def test_sharding_reads_whole_documents_back_from_shards(spark, tmp_path):
     assert sorted({r["shard"] for r in got}) == list(range(40))
     H.frame(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert sharding.op8_sharding(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_token_tables_keep_null_doc_ids(spark):
+    rows = [(None, "a row without id", None, None, 0), (-5, "below nought", None, None, 0), (0, "nought", None, None, 0), (7, None, None, None, 0)]
+    got = tokenfiles.token_tables(H.frame(spark, rows), PATH).collect()
+    e, at, want = tokenfiles.encoder(PATH), 0, []
+    for doc_id, text, *_ in rows:
+        ids = np.array([*e.tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        want.append((doc_id, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+    out, ids = io.BytesIO(), np.arange(3, dtype="<u4")
+    w = tokenfiles.Writer(out)
+    for key in ((None, 0), (None, 1), (-(1 << 63), 0), (0, 0)):
+        w.add(*key, ids + len(w.keys))
+    w.close()
+    r = tokenfiles.Reader(io.BytesIO(out.getvalue()), len(out.getvalue()))
+    assert [k[:2] for k in r.scan()] == [(None, 0), (None, 1), (-(1 << 63), 0), (0, 0)]
+    assert (r.get(None, 1) == ids + 1).all() and (r.get(0) == ids + 3).all()
