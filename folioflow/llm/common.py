@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import os
+import re
 import tempfile
 import time
 import uuid
@@ -23,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset
-    (a single machine, as in tests), a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session on this
+    machine alone (master local) gets a folder of its own; on a cluster that is an error, as no local folder is shared."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         given = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", f"folioflow-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", given)
     return given
@@ -64,12 +67,12 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 500):
-    """What is written meanwhile goes to Python in Arrow batches of so many rows: for rows with
-    several texts, or large values, of which a worker and its executor hold a batch or two each."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def small_batches(spark: SparkSession, megabytes: int = 4):
+    """What is written meanwhile goes to Python in Arrow batches of so many bytes (or one longer row),
+    of which a worker and its executor hold a batch or two each, however many rows that is."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    spark.conf.set(key, str(megabytes << 20))
     try:
         yield
     finally:

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import Batch, blocks, mix, windows
-from .common import cut, drop, small_batches
+from .common import cut, drop, fresh, ordered_prefix, small_batches
 from .components import components, merged
 
-#: Rows of ids that are sent to all executors at most (16 bytes each).
+#: Rows of ids that are sent to all executors at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Members whose sets are compared with one copy of their hub's.
+HUB_PART = 500
+#: Words of 64 bits in the bitmap that stands for a member's differences with its hub.
+BITMAP = 8
 
 
 @dataclass(frozen=True)
@@ -54,6 +57,12 @@ def shingles(texts: pa.Array, n: int):
             yield np.zeros(0, np.uint64)
 
 
+def set_hashes(u: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set."""
+    x = mix(u)
+    return int(x.sum(dtype=np.uint64).view(np.int64)), int(mix(x ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64).view(np.int64))
+
+
 def sketches(documents: DataFrame, how: Near) -> DataFrame:
     """(doc_id, n_shingles, s1, s2, left, right): set size, set hash in two halves, keys of both collections."""
     rng = np.random.Generator(np.random.PCG64(7))
@@ -73,9 +82,8 @@ def sketches(documents: DataFrame, how: Near) -> DataFrame:
                 n, s1, s2, left, right = [], [], [], [], []
                 for u in shingles(batch.column("text"), how.shingle):
                     n.append(len(u))
-                    x = mix(u)
-                    s1.append(int(x.sum(dtype=np.uint64).view(np.int64)))
-                    s2.append(int(mix(x ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64).view(np.int64)))
+                    for half, value in zip((s1, s2), set_hashes(u), strict=True):
+                        half.append(value)
                     if not len(u):
                         left.append([])
                         right.append([])
@@ -96,114 +104,248 @@ def sketches(documents: DataFrame, how: Near) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def _texts_of_pairs(documents: DataFrame, pairs: DataFrame, several: bool) -> DataFrame:
-    """(a, b, ta, tb): the pairs of doc_ids with their texts; only texts that are needed move.
-
-    ``several``: some doc_id has more than one row; equal rows then count once."""
-    ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    if several:
-        texts = texts.dropDuplicates(["id", "text"])
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = texts.join(wanted, "id", "left_semi")
-    x, y = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "ta", "tb")
-
-
-def _set_pairs(batches, n: int):
-    """(batch, [(set of a, set of b)]) from batches of texts of pairs; the latest right sets are kept."""
-    known: OrderedDict[int, tuple[str, np.ndarray]] = OrderedDict()
-    for whole in batches:
-        for batch in blocks(whole, "ta"):
-            ids_b, texts_b, out = batch.column("b").to_pylist(), batch.column("tb"), []
-            for i, u in enumerate(shingles(batch.column("ta"), n)):
-                text = texts_b[i].as_py()
-                if known.get(ids_b[i], (None,))[0] != text:
-                    known[ids_b[i]] = (text, next(iter(shingles(texts_b.slice(i, 1), n))))
-                    if len(known) > 8:
-                        known.popitem(last=False)
-                out.append((u, known[ids_b[i]][1]))
-            yield batch, out
-
-
-def confirm(documents: DataFrame, pairs: DataFrame, how: Near, several: bool = False) -> DataFrame:
-    """(a, b, common, united) of each pair of doc_ids, from the whole texts."""
+def class_sets(documents: DataFrame, wanted: DataFrame, how: Near, several: bool) -> DataFrame:
+    """(rep, set): packed shingle hashes, ascending, of the classes ``wanted`` (rep, first, s1, s2), each from
+    one of its documents, ``first``. ``several``: a doc_id may have rows with other texts."""
 
     def run(batches):
-        for batch, sets in _set_pairs(batches, how.shingle):
-            common = [len(np.intersect1d(u, v, assume_unique=True)) for u, v in sets]
-            united = [len(u) + len(v) - c for (u, v), c in zip(sets, common, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(united, pa.int64())], ["a", "b", "common", "united"])
-
-    with small_batches(documents.sparkSession):
-        return cut(_texts_of_pairs(documents, pairs, several).mapInArrow(run, "a long, b long, common long, united long"), "tested")
-
-
-def around_hubs(documents: DataFrame, spokes: DataFrame, how: Near, several: bool = False) -> DataFrame:
-    """(x, y): pairs of members of one hub that may be linked though not both are linked with the hub.
-
-    ``spokes``: (a, b), members a and their hub b. With A_x = hub less x and E_x = x less hub, two
-    members share |hub| - |A_x| - |A_y| + |A_x & A_y| + |E_x & E_y| shingles. If y isn't linked with the
-    hub, a link of x and y takes more than ((1-t) A_x + t' E_x) of x's differences in y's, with
-    t' = p / (100 + p) and 1-t = 100 / (100 + p): about half of them. So x sends so few of its
-    differences, rarest in the hub's group first, that y can't share enough without one of these;
-    y sends all. Differences between copies of one text are mostly their own, so few pairs meet.
-    """
+        for whole in batches:
+            for batch in blocks(whole, "text"):
+                sets = list(shingles(batch.column("text"), how.shingle))
+                hashes = np.array([set_hashes(u) for u in sets], np.int64).reshape(-1, 2).T
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id"), pa.array(hashes[0]), pa.array(hashes[1]), pa.array([u.tobytes() for u in sets], pa.binary())], ["id", "s1", "s2", "set"]
+                )
 
-    def run(batches):
-        names = ["hub", "member", "linked", "n", "missing", "size", "hub_size", "element"]
-        for batch, sets in _set_pairs(batches, how.shingle):
-            for i, (u, v) in enumerate(sets):
-                common = len(np.intersect1d(u, v, assume_unique=True))
-                linked = 100 * common >= how.percent * (len(u) + len(v) - common)
-                extra, missing = np.setdiff1d(u, v, assume_unique=True), np.setdiff1d(v, u, assume_unique=True)
-                elements = np.concatenate([mix(extra), mix(missing ^ np.uint64(0x1234567))]).view(np.int64)
-                n = len(elements)
-                values = (batch.column("b")[i].as_py(), batch.column("a")[i].as_py(), linked, n, len(missing), len(u), len(v))
-                yield pa.RecordBatch.from_arrays([*[pa.array([x] * n, pa.bool_() if x is linked else pa.int64()) for x in values], pa.array(elements)], names)
-
-    schema = "hub long, member long, linked boolean, n long, missing long, size long, hub_size long, element long"
+    ids = wanted.select(F.col("first").alias("id")).distinct()
+    texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids, "id", "left_semi")
     with small_batches(documents.sparkSession):
-        d = cut(_texts_of_pairs(documents, spokes, several).mapInArrow(run, schema), "differences")
-    often = d.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("often"), F.count_if(~F.col("linked")).alias("unlinked"))
-    # an element alone with its member, or with linked members only, meets nobody
-    counted = d.join(often, ["hub", "element"])
-    rank = F.row_number().over(Window.partitionBy("hub", "member").orderBy("often", "element"))
+        found = texts.mapInArrow(run, "id long, s1 long, s2 long, set binary")
+        if not several:  # a class is named by its first document
+            return cut(found.select(F.col("id").alias("rep"), "set"), "packs")
+        f, w = found.alias("f"), wanted.alias("w")
+        on = (F.col("f.id") == F.col("w.first")) & (F.col("f.s1") == F.col("w.s1")) & (F.col("f.s2") == F.col("w.s2"))
+        return cut(f.join(w, on).select("w.rep", "f.set").dropDuplicates(["rep"]), "packs")
+
+
+def _against_hubs(sets: DataFrame, pairs: DataFrame, run, schema: str, tag: str) -> DataFrame:
+    """Rows that ``run`` makes of (hub, member, hub's set, member's set), for ``pairs`` (a, b): member and hub.
+
+    A hub's set moves once for HUB_PART members and leads them, so that no pair carries two sets and no hub, however
+    many members it has, is one task's."""
+
+    def each(batches):
+        at, v = None, None
+        for batch in batches:
+            out = []
+            columns = [batch.column(c).to_pylist() for c in ("hub", "part", "member", "set")]
+            for hub, part, member, packed in zip(*columns, strict=True):
+                u = np.frombuffer(packed, np.uint64)
+                if member is None:
+                    at, v = (hub, part), u
+                else:
+                    if at != (hub, part):
+                        raise ValueError("a hub's set must lead its members")
+                    out.append((hub, member, v, u))
+            if out:
+                yield run(out)
+
+    parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HUB_PART).alias("parts"))
+    dealt = pairs.join(parts, "b").select(F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), "parts").alias("part"), F.col("a").alias("member"))
+    d, s = dealt.alias("d"), sets.alias("s")
+    members = d.join(s, F.col("d.member") == F.col("s.rep")).select("d.hub", "d.part", "d.member", "s.set")
+    h = dealt.select("hub", "part").distinct().alias("h")
+    hubs = h.join(s, F.col("h.hub") == F.col("s.rep")).select("h.hub", "h.part", F.lit(None).cast("long").alias("member"), "s.set")
+    beside = members.unionByName(hubs).repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("member").asc_nulls_first())
+    with small_batches(sets.sparkSession):
+        return cut(beside.mapInArrow(each, schema), tag)
+
+
+def _linked(u: np.ndarray, v: np.ndarray, percent: int) -> tuple[int, bool]:
+    common = len(np.intersect1d(u, v, assume_unique=True))
+    return common, 100 * common >= percent * (len(u) + len(v) - common)
+
+
+def confirm(sets: DataFrame, pairs: DataFrame, how: Near) -> DataFrame:
+    """(a, b, linked) of each pair of classes, from their whole sets."""
+
+    def run(rows):
+        hubs, members, _, _ = zip(*rows, strict=True)
+        linked = [_linked(u, v, how.percent)[1] for _, _, v, u in rows]
+        return pa.RecordBatch.from_arrays([pa.array(members, pa.int64()), pa.array(hubs, pa.int64()), pa.array(linked)], ["a", "b", "linked"])
+
+    return _against_hubs(sets, pairs, run, "a long, b long, linked boolean", "tested")
+
+
+def differences(sets: DataFrame, spokes: DataFrame, how: Near) -> DataFrame:
+    """For each member and hub: linked, n differences, how many are missing from the member, sizes, a bitmap of
+    the differences and their hashes."""
+    names = ["hub", "member", "linked", "n", "missing", "size", "hub_size", *(f"b{i}" for i in range(BITMAP)), "elements"]
+
+    def run(rows):
+        out = [[] for _ in names]
+        for hub, member, v, u in rows:
+            extra, missing = np.setdiff1d(u, v, assume_unique=True), np.setdiff1d(v, u, assume_unique=True)
+            elements = np.concatenate([mix(extra), mix(missing ^ np.uint64(0x1234567))])
+            bits = np.zeros(BITMAP, np.uint64)
+            place = elements % np.uint64(64 * BITMAP)
+            np.bitwise_or.at(bits, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+            row = (hub, member, _linked(u, v, how.percent)[1], len(elements), len(missing), len(u), len(v), *bits.view(np.int64).tolist(), elements.view(np.int64))
+            for column, value in zip(out, row, strict=True):
+                column.append(value)
+        kinds = [pa.bool_() if c == "linked" else pa.list_(pa.int64()) if c == "elements" else pa.int64() for c in names]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
+
+    schema = ", ".join(f"{c} {'boolean' if c == 'linked' else 'array<long>' if c == 'elements' else 'long'}" for c in names)
+    return _against_hubs(sets, spokes, run, schema, "differences")
+
+
+def postings(found: DataFrame, how: Near) -> DataFrame:
+    """(hub, element, member, rank, statistics): the differences by which members of one hub may meet.
+
+    With A_x = hub less x and E_x = x less hub, two members share |hub| - |A_x| - |A_y| + |A_x & A_y| +
+    |E_x & E_y| shingles, so a link needs so many common differences (:func:`_need`). Members that are both linked
+    with the hub are in one component; what remains are pairs with an unlinked member. ``rank`` counts a member's differences,
+    those first that can't be common, then the rarest in the hub's group: the first common difference of a
+    pair leaves need - 1 others behind it in both, which bounds its rank in both."""
+    e = found.select("hub", "member", "linked", F.explode("elements").alias("element"))
+    often = e.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("often"), F.count_if(~F.col("linked")).alias("unlinked"))
+    useful = e.drop("linked").join(often.filter("often > 1 and unlinked > 0").drop("unlinked"), ["hub", "element"])
+    own = Window.partitionBy("hub", "member")
+    ranked = useful.select("hub", "member", "element", F.row_number().over(own.orderBy("often", "element")).alias("r"), F.count(F.lit(1)).over(own).alias("m"))
     p, whole = how.percent, 100 + how.percent
-    least = F.floor((100 * F.col("missing") + p * (F.col("n") - F.col("missing"))) / whole) + 1
-    sent = counted.withColumn("rank", rank).filter((F.col("rank") <= F.col("n") - least + 1) & (F.col("often") > 1) & (F.col("unlinked") > 0))
-    x, y = sent.alias("x"), counted.filter("not linked and often > 1").alias("y")
-    # what this very pair must share, at least; and what is left of x's differences from this one on
-    need = F.ceil(p * (F.col("x.size") + F.col("y.size")) / whole) - F.col("x.hub_size") + F.col("x.missing") + F.col("y.missing")
-    on = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.member") != F.col("y.member"))
-    met = x.join(y, on & (F.col("x.rank") <= F.col("x.n") - need + 1) & (need <= F.col("y.n")))
-    return met.select(F.least("x.member", "y.member").alias("a"), F.greatest("x.member", "y.member").alias("b")).distinct()
+    weight = 100 * F.col("missing") + p * (F.col("n") - F.col("missing"))
+    rows = ranked.join(found.drop("elements"), ["hub", "member"]).withColumn("rank", F.col("n") - F.col("m") + F.col("r")).drop("r", "m")
+    # with an unlinked partner more than weight / whole are common; the least that an unlinked one may share with any
+    sent = F.col("rank") <= F.col("n") - F.floor(weight / whole)
+    asked = ~F.col("linked") & (F.col("rank") <= F.col("n") - F.greatest(F.lit(1), F.ceil((weight - (100 - p) * F.col("hub_size")) / whole)) + 1)
+    return cut(rows.withColumn("sent", sent).withColumn("asked", asked).filter("sent or asked"), "postings")
+
+
+def _need(x: str, y: str, percent: int) -> Column:
+    """Differences that two members have to share for a link."""
+    shared = F.ceil(percent * (F.col(f"{x}.size") + F.col(f"{y}.size")) / (100 + percent))
+    return shared - F.col(f"{x}.hub_size") + F.col(f"{x}.missing") + F.col(f"{y}.missing")
+
+
+def _plausible(x: str, y: str, percent: int) -> Column:
+    """Whether two members of one hub can share as many differences as a link needs: each bit in which their
+    bitmaps differ is a difference that they don't share."""
+    apart = sum((F.bit_count(F.col(f"{x}.b{i}").bitwiseXOR(F.col(f"{y}.b{i}"))) for i in range(BITMAP)), F.lit(0))
+    return F.col(f"{x}.n") + F.col(f"{y}.n") - apart >= 2 * _need(x, y, percent)
+
+
+def _placed(rows: DataFrame, node: str, groups: DataFrame) -> DataFrame:
+    """``rows`` with the component of ``node``."""
+    r, g = rows.alias("r"), groups.alias("g")
+    return r.join(g, F.col(f"r.{node}") == F.col("g.node"), "left").select("r.*", F.coalesce("g.component", f"r.{node}").alias("component"))
+
+
+def _pairs(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+class Links:
+    """What is known of the links between classes: pairs that were tested, and the components so far."""
+
+    def __init__(self, sets: DataFrame, how: Near):
+        self.sets, self.how, self.tested, self.groups = sets, how, None, None
+
+    def add(self, tested: DataFrame) -> bool:
+        """Take up tested pairs; whether one of them is a link."""
+        self.tested = tested if self.tested is None else self.tested.unionByName(tested)
+        links = tested.filter("linked").select("a", "b")
+        if self.groups is None:
+            self.groups = cut(components(links), "groups")
+            return True
+        if not links.head(1):
+            return False
+        self.groups = cut(merged(self.groups, links), "groups")
+        return True
+
+    def test(self, pairs: DataFrame) -> bool:
+        """Test those of ``pairs`` (a, b) that are not tested yet; whether there was a link."""
+        if self.tested is not None:
+            known = self.tested.select(*_pairs("a", "b"))
+            pairs = cut(pairs.select(*_pairs("a", "b")).distinct().join(known, ["a", "b"], "left_anti"), "pairs")
+            if not pairs.head(1):
+                return False
+        return self.add(confirm(self.sets, pairs, self.how))
+
+    def degrees(self) -> DataFrame:
+        ends = self.tested.filter("linked").select(F.explode(F.array("a", "b")).alias("node"))
+        return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+
+
+def _open(keys: DataFrame, links: Links, pivots: int) -> DataFrame:
+    """(key, rep, component, ps): members of keys that hold several components, with the key's pivots."""
+    placed = _placed(keys.select("key", "rep"), "rep", links.groups)
+    by_hash = [F.min(F.struct(F.xxhash64(F.lit(i), "rep").alias("h"), "rep", "component")).alias(f"p{i}") for i in range(pivots)]
+    mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), *by_hash).filter("c0 <> c1")
+    return cut(placed.join(mixed.select("key", F.array(*[f"p{i}" for i in range(pivots)]).alias("ps")), "key"), "open")
+
+
+def _around_hubs(keys: DataFrame, links: Links) -> None:
+    """Find every link between members of one key that are still in different components.
+
+    The key's most linked member is the hub. All members are compared with it; which others may be linked follows
+    from their differences with the hub (:func:`postings`). First, members that have a difference in common meet
+    one of them, so that a family within the group becomes one component without being compared pair by pair; what
+    then is plausible between components is tested pair by pair."""
+    how = links.how
+    k, e = keys.select("key", "rep").alias("k"), links.degrees().alias("e")
+    ranked = k.join(e, F.col("k.rep") == F.col("e.node"), "left").select("k.key", "k.rep", F.coalesce("e.degree", F.lit(0)).alias("degree"))
+    hubs = ranked.groupBy("key").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("hub"))
+    spokes = cut(keys.select("key", "rep").join(hubs, "key").select(F.col("rep").alias("a"), F.col("hub").alias("b")).filter("a <> b").distinct(), "spokes")
+    found = differences(links.sets, spokes, how)
+    links.add(found.select(F.col("member").alias("a"), F.col("hub").alias("b"), "linked"))
+    meet = postings(found, how)
+    stats = ["member", "linked", "n", "missing", "size", "hub_size", "component", *(f"b{i}" for i in range(BITMAP))]
+    for i in range(3):
+        placed = _placed(meet, "member", links.groups)
+        first = placed.groupBy("hub", "element").agg(F.min(F.struct(F.xxhash64(F.lit(i), "member").alias("h"), F.struct(*stats).alias("p"))).alias("m"))
+        both = placed.alias("x").join(first.select("hub", "element", "m.p.*").alias("y"), ["hub", "element"])
+        both = both.filter((F.col("x.component") != F.col("y.component")) & _plausible("x", "y", how.percent))
+        if not links.test(both.select(F.col("x.member").alias("a"), F.col("y.member").alias("b"))):
+            break
+    placed = cut(_placed(meet, "member", links.groups), "postings")
+    x, y = placed.filter("sent").alias("x"), placed.filter("asked").alias("y")
+    need = _need("x", "y", how.percent)
+    on = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.component") != F.col("y.component"))
+    on = on & (F.col("x.linked") | (F.col("x.member") < F.col("y.member")))
+    on = on & (F.col("x.rank") <= F.col("x.n") - need + 1) & (F.col("y.rank") <= F.col("y.n") - need + 1) & _plausible("x", "y", how.percent)
+    links.test(x.join(y, on).select(F.col("x.member").alias("a"), F.col("y.member").alias("b")))
+    drop(meet, placed, found, spokes)
 
 
 def near_groups(documents: DataFrame, how: Near = Near()) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``documents``.
 
-    1. Documents with equal sets become one class, named by its least doc_id.
-    2. Classes that share a table key are compared with the key's least member, a pair once. A
-       group of a thousand near copies so yields some thousand pairs, not their square.
+    1. Documents with equal sets become one class. The sets of classes that share a table key with another are
+       written down once, packed; pairs are compared on these.
+    2. Such classes are compared with the key's least member, a pair once. A group of a thousand near
+       copies so yields some thousand pairs, not their square.
     3. Confirmed links make components. Where one key still holds members of several components,
        ``pivots`` of its members, each the first by a hash of its own, meet those of other
-       components. For what then is still apart, the key's most linked member is the hub, and
-       :func:`around_hubs` finds all pairs that may be linked, which are confirmed as well. So no
-       link that shares a key is lost, and no group is compared pair by pair.
+       components. What then is still apart meets around the key's most linked member
+       (:func:`_around_hubs`). So no link between components that share a key is lost, and no group is compared pair by pair.
 
     Null, empty and blank texts have an empty set and are linked with nothing. Rows with one doc_id
     count as one document. A row without doc_id keeps a null component_id. An empty table gives no rows.
     """
-    with small_batches(documents.sparkSession, 2000):
+    with small_batches(documents.sparkSession):
         sketch = cut(sketches(documents, how), "sketch")
-    several = bool(sketch.groupBy("doc_id").count().filter("count > 1").head(1))
+    several = bool(sketch.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").head(1))
     full = sketch.filter("n_shingles > 0 and doc_id is not null")
-    classes = cut(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    sets = cut(full.select("doc_id", "s1", "s2", "n_shingles").join(classes, ["s1", "s2", "n_shingles"]).select("doc_id", "rep"), "sets")
-    reps = full.join(classes.select("s1", "s2", F.col("n_shingles"), F.col("rep")), ["s1", "s2", "n_shingles"]).filter("doc_id = rep")
+    same = ["s1", "s2", "n_shingles"]
+    classes = full.groupBy(*same).agg(F.min("doc_id").alias("first"))
+    # where a doc_id has several texts, classes are numbered, else named by their first document
+    classes = cut(ordered_prefix(classes, [], [F.col(c) for c in same], {}, "rep") if several else classes.withColumn("rep", F.col("first")), "classes")
+    sets = cut(full.select("doc_id", *same).join(classes, same).select("doc_id", "rep"), "sets")
+    reps = full.join(classes, same).filter("doc_id = first").select("rep", "left", "right")
     if several:
-        reps = reps.dropDuplicates(["rep", "s1", "s2"])
+        reps = reps.dropDuplicates(["rep"])
     keyed = (
         reps.select("rep", F.explode("left").alias("l"), "right")
         .select("rep", "l", F.explode("right").alias("r"))
@@ -211,57 +353,45 @@ def near_groups(documents: DataFrame, how: Near = Near()) -> DataFrame:
     )
     shared = keyed.groupBy("key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = cut(keyed.join(shared, "key"), "members")
-    pairs = members.filter("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
-    tested = confirm(documents, pairs, how, several)
-    linked = F.expr(f"100 * common >= {how.percent} * united")
-    groups = cut(components(tested.filter(linked).select("a", "b")), "groups")
-
-    open_keys = members.filter("n > 2").select("key", "rep")
-    if several:
-        open_keys = open_keys.distinct()
-    for last in (False, True):
-        o, g = open_keys.select("key", "rep").alias("o"), groups.alias("g")
-        placed = o.join(g, F.col("o.rep") == F.col("g.node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-        by_hash = [F.min(F.struct(F.xxhash64(F.lit(i), "rep").alias("h"), "rep", "component")).alias(f"p{i}") for i in range(how.pivots)]
-        mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), *by_hash).filter("c0 <> c1")
-        mixed = mixed.select("key", F.array(*[f"p{i}" for i in range(how.pivots)]).alias("ps"))
-        open_keys = cut(placed.join(mixed, "key"), "open")
-        if not open_keys.head(1):
-            break
-        if last:
-            ends = tested.filter(linked).select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
-            w, e = open_keys.alias("w"), ends.alias("e")
-            ranked = w.join(e, F.col("w.rep") == F.col("e.rep"), "left").select("w.key", "w.rep", F.coalesce("e.degree", F.lit(0)).alias("degree"))
-            hubs = ranked.groupBy("key").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("hub"))
-            spokes = cut(open_keys.select("key", "rep").join(hubs, "key").select(F.col("rep").alias("a"), F.col("hub").alias("b")).filter("a <> b").distinct(), "spokes")
-            near = around_hubs(documents, spokes, how, several)
-            new = near.unionByName(spokes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        else:
-            each = open_keys.select("rep", "component", F.explode("ps").alias("p")).filter("component <> p.component")
-            new = each.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
-        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        new = cut(new.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-        if new.head(1):
-            more = confirm(documents, new, how, several)
-            tested = tested.unionByName(more)
-            links = more.filter(linked).select("a", "b")
-            if links.head(1):
-                groups = cut(merged(groups, links), "groups")
+    wanted = classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "first", "s1", "s2")
+    packs = class_sets(documents, cut(wanted, "wanted"), how, several)
+    links = Links(packs, how)
+    links.test(members.filter("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct())
+    keys = _open(members.filter("n > 2"), links, how.pivots)
     drop(members)
-    s, g = sets.distinct().alias("s"), groups.alias("g")
-    # rows of one doc_id may have several sets: each set joins that document's component
-    of_class = s.join(g, F.col("s.rep") == F.col("g.node"), "left").select("s.doc_id", F.coalesce("g.component", "s.rep").alias("component_id"))
-    if several:
-        own = components(of_class.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
-        of_class = of_class.select("doc_id").distinct().join(own.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
-    out = sketch.select("doc_id", "n_shingles").alias("d").join(of_class.alias("c"), F.col("d.doc_id") == F.col("c.doc_id"), "left")
-    return out.select("d.doc_id", "d.n_shingles", F.coalesce("c.component_id", "d.doc_id").alias("component_id"))
+    if keys.head(1):
+        each = keys.select("rep", "component", F.explode("ps").alias("p")).filter("component <> p.component")
+        links.test(each.select(F.col("rep").alias("a"), F.col("p.rep").alias("b")))
+        keys = _open(keys, links, how.pivots)
+        if keys.head(1):
+            _around_hubs(keys, links)
+    drop(packs)
+    of_class = _placed(sets, "rep", links.groups).select("doc_id", "component")
+    if several:  # a component is named by its least doc_id, and a doc_id joins the components of its texts
+        least = of_class.groupBy("component").agg(F.min("doc_id").alias("least"))
+        named = cut(of_class.join(least, "component").select("doc_id", "least").distinct(), "named")
+        own = components(named.select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
+        of_class = _placed(named.select("doc_id").distinct(), "doc_id", own)
+    d, c = sketch.select("doc_id", "n_shingles").alias("d"), of_class.alias("c")
+    out = d.join(c, F.col("d.doc_id") == F.col("c.doc_id"), "left")
+    return out.select("d.doc_id", "d.n_shingles", F.coalesce("c.component", "d.doc_id").alias("component_id"))
 
 
 def drop_near(documents: DataFrame, how: Near = Near(shingle=5)) -> DataFrame:
-    """The rows of ``documents`` less all but the least doc_id of each group, with their columns."""
+    """The rows of ``documents`` that stay when of each group only the least doc_id does, with their columns.
+
+    Rows without doc_id and null, empty or blank texts stay. Of rows that are equal in doc_id and text one stays.
+    An empty table gives no rows; columns named like ours don't clash.
+    """
     gone = near_groups(documents, how).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    left = documents.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    rows = documents.filter("doc_id is not null and text is not null")
+    if not rows.groupBy("doc_id").count().filter("count > 1").head(1):
+        return left
+    again = fresh(left, "again")[0]
+    alone = F.col("doc_id").isNull() | F.col("text").isNull()
+    first = F.row_number().over(Window.partitionBy("doc_id", "text", F.when(alone, F.monotonically_increasing_id())).orderBy(F.xxhash64(*[c for c, k in left.dtypes if "map<" not in k])))
+    return left.withColumn(again, first).filter(F.col(again) == 1).drop(again)
 
 
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:
