@@ -7,9 +7,9 @@ A shard file holds documents in ascending key order:
 * data block: entries, then u32 restart offsets and their number. An entry is varint shared,
   varint rest, varint bytes of value, then the key's last ``rest`` bytes, then the value; ``shared`` is how much of
   the key before it repeats, and is 0 at a restart (every 16 entries). A key is a flag byte (0: null doc_id, which
-  comes first; 1: any other), the doc_id as 8 bytes (null: 0), big-endian with the sign flipped, so that byte order is
-  numeric order, then a u32 ordinal
-  that tells equal doc_ids apart. A value is one byte of width (2 or 4), then the ids little-endian.
+  comes first; 1: any other), the doc_id as 8 bytes (null: 0) and a hash of the text as 8 bytes, both big-endian with
+  the sign flipped, so that byte order is numeric order, then a u32 ordinal that tells equal rows apart; so keys are
+  unique over all shards. A value is one byte of width (2 or 4), then the ids little-endian.
 * index block: for each data block, its last key and u64 offset, u32 length, u32 crc32 of the block.
 * Bloom filter: u32 number of hashes, then the bits; it holds the 8 bytes of each doc_id (null: of 0).
 * footer: u64 offset and u32 length of index and filter each, u64 entries, u64 ids, u32 crc32 of the
@@ -18,6 +18,7 @@ A shard file holds documents in ascending key order:
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -32,17 +33,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, shared_path, shuffle_partitions
+from .arrowtext import blocks
+from .common import cut, drop, shared_path, shuffle_partitions, small_batches
 
 MAGIC, RESTART, BLOCK, BLOOM_BITS, BLOOM_HASHES = b"FSST", 16, 64 << 10, 10, 7
 _FOOTER = struct.Struct("<QIQIQQI4s")
-_INDEX, _KEY = struct.Struct("<QII"), 13
+_INDEX, _KEY = struct.Struct("<QII"), struct.Struct(">BQQI")
+#: Bytes of ids in a shard file.
+SHARD_BYTES = 256 << 20
 #: Pieces of text that a Python worker remembers, in two generations.
 CACHE_PIECES = 800_000
 
 
-def key_of(doc_id: int | None, ordinal: int = 0) -> bytes:
-    return struct.pack(">BQI", doc_id is not None, ((doc_id or 0) + (1 << 63)) & (2**64 - 1), ordinal)
+def key_of(doc_id: int | None, text_hash: int = 0, ordinal: int = 0) -> bytes:
+    flip = lambda n: (n + (1 << 63)) & (2**64 - 1)
+    return _KEY.pack(doc_id is not None, flip(doc_id or 0), flip(text_hash), ordinal)
+
+
+def packed(ids: np.ndarray) -> bytes:
+    """The value of an entry."""
+    wide = ids.size and int(ids.max()) > 0xFFFF
+    return (b"\4" + ids.astype("<u4").tobytes()) if wide else (b"\2" + ids.astype("<u2").tobytes())
 
 
 def _varint(n: int) -> bytes:
@@ -79,15 +90,16 @@ class Writer:
 
     def __init__(self, out):
         self.out, self.at, self.block, self.restarts, self.n = out, 0, bytearray(), [], 0
-        self.last, self.index, self.ids, self.entries, self.keys = b"", bytearray(), 0, 0, []
+        self.first, self.last, self.index, self.ids, self.entries, self.keys = b"", b"", bytearray(), 0, 0, []
         self._put(MAGIC)
 
     def _put(self, b: bytes) -> None:
         self.out.write(b)
         self.at += len(b)
 
-    def add(self, doc_id: int | None, ordinal: int, ids: np.ndarray) -> None:
-        key = key_of(doc_id, ordinal)
+    def add(self, doc_id: int | None, text_hash: int, ordinal: int, value: bytes) -> None:
+        """``value``: :func:`packed` ids."""
+        key = key_of(doc_id, text_hash, ordinal)
         if key <= self.last:
             raise ValueError("keys must ascend")
         shared = 0
@@ -96,12 +108,11 @@ class Writer:
         else:
             while shared < len(key) and key[shared] == self.last[shared]:
                 shared += 1
-        wide = ids.size and int(ids.max()) > 0xFFFF
-        value = (b"\4" + ids.astype("<u4").tobytes()) if wide else (b"\2" + ids.astype("<u2").tobytes())
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:]
         self.block += value
         self.last, self.n = key, self.n + 1
-        self.entries, self.ids = self.entries + 1, self.ids + len(ids)
+        self.entries, self.ids = self.entries + 1, self.ids + (len(value) - 1) // value[0]
+        self.first = self.first or key
         self.keys.append(doc_id or 0)
         if len(self.block) >= BLOCK:
             self._flush()
@@ -155,8 +166,8 @@ class Reader:
         if magic != MAGIC or zlib.crc32(rest) != crc or bloom_at != index_at + index_n:
             raise ValueError("damaged shard")
         self.blocks = []
-        for i in range(0, index_n, _KEY + _INDEX.size):
-            self.blocks.append((rest[i : i + _KEY], *_INDEX.unpack_from(rest, i + _KEY)))
+        for i in range(0, index_n, _KEY.size + _INDEX.size):
+            self.blocks.append((rest[i : i + _KEY.size], *_INDEX.unpack_from(rest, i + _KEY.size)))
         self.bits = np.unpackbits(np.frombuffer(rest, np.uint8, offset=index_n + 4))
 
     def _block(self, i: int) -> bytes:
@@ -168,35 +179,40 @@ class Reader:
         return b
 
     def scan(self):
+        """(doc_id, text_hash, ordinal, ids) in ascending order."""
         for i in range(len(self.blocks)):
             for key, ids in _entries(self._block(i)):
-                given, doc_id, ordinal = struct.unpack(">BQI", key)
-                yield doc_id - (1 << 63) if given else None, ordinal, ids
+                given, doc_id, text_hash, ordinal = _KEY.unpack(key)
+                yield doc_id - (1 << 63) if given else None, text_hash - (1 << 63), ordinal, ids
 
     def may_hold(self, doc_id: int | None) -> bool:
         return bool(self.bits[_bloom_places(np.array([doc_id or 0], np.int64).view(np.uint64), len(self.bits))].all())
 
-    def get(self, doc_id: int | None, ordinal: int = 0) -> np.ndarray | None:
-        """Ids of the document: Bloom filter, binary search over blocks, then over restarts."""
+    def get(self, doc_id: int | None) -> list[np.ndarray]:
+        """Ids of each row with the doc_id: Bloom filter, binary search over blocks, then over restarts."""
         if not self.may_hold(doc_id):
-            return None
-        key, low, high = key_of(doc_id, ordinal), 0, len(self.blocks)
+            return []
+        key, low, high = key_of(doc_id, -(1 << 63)), 0, len(self.blocks)
+        own, out = key[:9], []
         while low < high:
             mid = (low + high) // 2
             low, high = (mid + 1, high) if self.blocks[mid][0] < key else (low, mid)
-        if low == len(self.blocks):
-            return None
-        block = self._block(low)
-        (n,) = struct.unpack_from("<I", block, len(block) - 4)
-        restarts = struct.unpack_from(f"<{n}I", block, len(block) - 4 - 4 * n)
-        a, b = 0, n
-        while b - a > 1:
-            mid = (a + b) // 2
-            a, b = (mid, b) if next(_entries(block, restarts[mid]))[0] <= key else (a, mid)
-        for k, ids in _entries(block, restarts[a]):
-            if k >= key:
-                return ids if k == key else None
-        return None
+        for i in range(low, len(self.blocks)):
+            block, a = self._block(i), 0
+            if i == low:
+                (n,) = struct.unpack_from("<I", block, len(block) - 4)
+                restarts = struct.unpack_from(f"<{n}I", block, len(block) - 4 - 4 * n)
+                first, last = 0, n
+                while last - first > 1:
+                    mid = (first + last) // 2
+                    first, last = (mid, last) if next(_entries(block, restarts[mid]))[0] <= key else (first, mid)
+                a = restarts[first]
+            for k, ids in _entries(block, a):
+                if k[:9] > own:
+                    return out
+                if k[:9] == own:
+                    out.append(ids)
+        return out
 
 
 #: Characters for which the split pattern below is the tokenizer's own: Latin letters, digits, common
@@ -217,7 +233,8 @@ def _byte_letters() -> dict[int, str]:
 class Encoder(dict):
     """Ids of whole texts as little-endian bytes; as a dict, the ids of a piece after a space.
 
-    A byte-level BPE encoding never merges across the place before a run of spaces that ends at a
+    Texts that hold an added token, such as an end-of-text mark, go to the library whole, and so do all if the tokenizer
+    isn't a plain byte-level one. A byte-level BPE encoding never merges across the place before a run of spaces that ends at a
     non-space: its split pattern starts a piece there, whatever stands further left. So a text is
     cut at those places, each distinct piece is encoded once by the library, and the ids of the
     pieces are joined. Pieces of common characters are split here by the same pattern and go to the
@@ -231,14 +248,17 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.letters = _byte_letters()
-        kind = type(self.tokenizer.pre_tokenizer).__name__ if self.tokenizer.pre_tokenizer else ""
-        self.split_here = kind == "ByteLevel" and self.tokenizer.normalizer is None
+        made = json.loads(self.tokenizer.to_str())
+        before = made["pre_tokenizer"] or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        self.plain = plain and made["model"]["type"] == "BPE" and not made["normalizer"] and not made["truncation"] and not made["padding"]
+        added = [re.escape(t["content"]) for t in made["added_tokens"]]
+        self.added = re.compile("|".join(added)) if added else None
         self.old: dict[str, bytes] = {}
         self.parts: dict[str, list[int]] = {}
         self.most = most // 2
-        self.marks = {m: self.ids(m) for m in ".,"}
+        self.marks = {m: self.whole(m) for m in ".,"}
 
     def _part(self, part: str) -> list[int]:
         """Ids of what the split pattern yields."""
@@ -252,11 +272,13 @@ class Encoder(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
-        if self.split_here and _PLAIN.fullmatch(text):
+        if _PLAIN.fullmatch(text):
             ids = [i for part in _SPLIT.findall(text) for i in self._part(part)]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return array("I", ids).tobytes()
+            return array("I", ids).tobytes()
+        return self.whole(text)
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, piece: str) -> bytes | None:
         """Ids of a space and ASCII letters, with a full stop or comma behind them or not: the commonest pieces."""
@@ -270,7 +292,7 @@ class Encoder(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            ids = (self._word(piece) if self.split_here else None) or self.ids(" " + piece)
+            ids = self._word(piece) or self.ids(" " + piece)
         self[piece] = ids
         return ids
 
@@ -282,6 +304,8 @@ class Encoder(dict):
         for text in texts:
             if not text:
                 out.append(b"")
+            elif not self.plain or (self.added and self.added.search(text)):
+                out.append(self.whole(text))
             elif "  " in text:  # runs of spaces: all but the last stand before the piece's own
                 out.append(b"".join([self.ids(p) for p in re.findall(" *[^ ]+| +", text)]))
             else:
@@ -312,58 +336,85 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-MANIFEST = "shard int, path string, documents long, ids long"
+MANIFEST = "shard int, path string, documents long, ids long, first_key binary, last_key binary"
+
+
+def encoded(documents: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
+    """(doc_id, h, n, value): a hash of the text, the number of ids and the ids, packed. Null text: only the end id."""
+
+    def run(batches):
+        ids_of = encoder(tokenizer)
+        for whole in batches:
+            for batch in blocks(whole, "text", 1 << 20):
+                ids = [np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)) for x in ids_of.encode(batch.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), batch.column("h"), pa.array([len(x) for x in ids], pa.int64()), pa.array([packed(x) for x in ids], pa.binary())], ["doc_id", "h", "n", "value"]
+                )
+
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
+    with small_batches(documents.sparkSession, 8):
+        return cut(rows.mapInArrow(run, "doc_id long, h long, n long, value binary"), "encoded")
 
 
 def write_tables(
     documents: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shards: int | None = None
 ) -> DataFrame:
     """Encode ``documents`` and write shard files to ``folder``; return the manifest (shard, path,
-    documents, ids), whose order is the order of ids.
+    documents, ids, first_key, last_key), whose order is the order of ids.
 
-    Documents are dealt in ranges of doc_id, one range a shard file, and sorted within. A file gets
-    its name when it is whole, so a task that is lost and repeated leaves no part of a file.
-    Null text: only the end id. Rows with one doc_id are stored each, told apart by an ordinal in
-    the order of a hash of their text. Null doc_ids come first, with a key of their own.
+    Texts are encoded where they are read and only their ids move, dealt in ranges of (doc_id, hash of the text), one range a
+    shard file of some SHARD_BYTES. A file gets its name, which no other attempt uses, when it is whole; the manifest
+    names the files that count. Rows with one doc_id are stored each, in the order of their text's hash, and equal
+    rows are told apart by an ordinal. Null doc_ids come first. No rows: no shard and an empty manifest.
     """
-    n = shards or shuffle_partitions(documents.sparkSession)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("_h", F.xxhash64("text"))
-    dealt = rows.repartitionByRange(n, "doc_id", "_h").sortWithinPartitions("doc_id", "_h")
+    ids = encoded(documents, tokenizer, end_id)
+    size = ids.agg(F.sum(F.octet_length("value")).alias("b")).first()["b"] or 0
+    n = shards or max(shuffle_partitions(documents.sparkSession), -(-size // SHARD_BYTES))
+    dealt = ids.select("doc_id", "h", "value").repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h")
 
     def write(batches):
         fs, base = filesystem(folder)
-        name, part, out, w, last, ordinal = None, None, None, None, (), 0
+        part, out, w, last, ordinal = None, None, None, None, 0
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            if w is None:
-                fs.create_dir(base, recursive=True)
-                from pyspark import TaskContext
-
-                shard = TaskContext.get().partitionId()
-                name, part = f"{base}/shard-{shard:06d}.sst", f"{base}/_part-{shard:06d}-{uuid.uuid4().hex}"
-                out = fs.open_output_stream(part)
-                w = Writer(out)
-            ids_of = encoder(tokenizer)
-            keys = batch.column("doc_id").to_pylist()
-            for i in range(0, len(keys), 500):
-                some = batch.column("text").slice(i, 500).to_pylist()
-                for key, ids in zip(keys[i : i + 500], ids_of.encode(some), strict=True):
-                    ordinal = ordinal + 1 if key == last else 0
-                    last = key
-                    w.add(key, ordinal, np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id)))
+            for doc_id, h, value in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "h", "value")], strict=True):
+                if w is None:
+                    from pyspark import TaskContext
+
+                    fs.create_dir(base, recursive=True)
+                    shard, own = TaskContext.get().partitionId(), uuid.uuid4().hex
+                    part = f"{base}/_part-{own}"
+                    out = fs.open_output_stream(part)
+                    w = Writer(out)
+                ordinal = ordinal + 1 if (doc_id, h) == last else 0
+                last = (doc_id, h)
+                w.add(doc_id, h, ordinal, value)
         if w is not None:
             w.close()
             out.close()
-            if fs.get_file_info(name).type != pafs.FileType.NotFound:
-                fs.delete_file(name)  # of an earlier attempt
+            name = f"{base}/shard-{shard:06d}-{own}.sst"
             fs.move(part, name)
             yield pa.RecordBatch.from_pydict(
-                {"shard": pa.array([shard], pa.int32()), "path": [name], "documents": pa.array([w.entries], pa.int64()), "ids": pa.array([w.ids], pa.int64())}
+                {
+                    "shard": pa.array([shard], pa.int32()), "path": [name], "documents": pa.array([w.entries], pa.int64()), "ids": pa.array([w.ids], pa.int64()),
+                    "first_key": pa.array([w.first], pa.binary()), "last_key": pa.array([w.last], pa.binary()),
+                }
             )
 
-    return cut(dealt.mapInArrow(write, MANIFEST), "manifest")
+    with small_batches(documents.sparkSession, 8):
+        manifest = cut(dealt.mapInArrow(write, MANIFEST), "manifest")
+    drop(ids)
+    return manifest
+
+
+def lookup(manifest: DataFrame, folder: str, doc_id: int | None) -> list[np.ndarray]:
+    """Ids of each row with the doc_id, from the shards whose range of keys holds it."""
+    own = bytearray(key_of(doc_id)[:9])
+    hit = manifest.filter((F.substring("first_key", 1, 9) <= F.lit(own)) & (F.substring("last_key", 1, 9) >= F.lit(own)))
+    fs, out = filesystem(folder)[0], []
+    for row in hit.orderBy("shard").select("path").collect():  # one shard, or those that the rows of a repeated doc_id fill
+        with fs.open_input_file(row["path"]) as f:
+            out += Reader(f, f.size()).get(doc_id)
+    return out
 
 
 def read_tables(manifest: DataFrame, folder: str) -> DataFrame:
@@ -372,7 +423,7 @@ def read_tables(manifest: DataFrame, folder: str) -> DataFrame:
     ``start`` counts the ids before a document: running sums over the manifest (a row a shard), then
     within the file."""
     before = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    todo = manifest.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
+    todo = manifest.select("shard", "path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"))
     todo = todo.repartition(shuffle_partitions(manifest.sparkSession), "shard")
     schema = T.StructType(
         [T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())]
@@ -384,7 +435,7 @@ def read_tables(manifest: DataFrame, folder: str) -> DataFrame:
             for row in batch.to_pylist():
                 cols, at = ([], [], [], []), row["start"]
                 with fs.open_input_file(row["path"]) as f:
-                    for doc_id, _, ids in Reader(f, f.size()).scan():
+                    for doc_id, _, _, ids in Reader(f, f.size()).scan():
                         values = (doc_id, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
                         for c, v in zip(cols, values, strict=True):
                             c.append(v)

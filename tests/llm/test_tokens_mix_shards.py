@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from folioflow.llm import mixing, sharding, tokenfiles
+from folioflow.llm.common import shared_path
 
 from . import helpers as H
 
@@ -15,17 +16,37 @@ P = pytest.importorskip("public_tokenizers")
 PATH = P.path("byte_bpe_50k.json")
 
 
+def fresh():
+    """The tokenizer as the library reads it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(PATH)
+
+
+PLAIN = fresh()
+
+
+def plain_ids(text):
+    return PLAIN.encode(text or "", add_special_tokens=False).ids
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'ab.,1é²ªµ 　—#|<>"), st.characters(codec="utf-8")), max_size=40))
 def test_pieces_encode_as_whole_texts(text):
     e = tokenfiles.encoder(PATH)
-    assert e.encode([text])[0] == np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert e.encode([text])[0] == np.array(plain_ids(text), "<u4").tobytes()
+
+
+def test_special_tokens_encode_as_the_library_does():
+    e = tokenfiles.encoder(PATH)
+    for text in ("<|endoftext|> hi", "a <|endoftext|>b", "x  <|endoftext|><|endoftext|>", "<|endoftext|", "plain <|endoftext |>", "<|endoftext|>"):
+        assert e.encode([text])[0] == np.array(plain_ids(text), "<u4").tobytes(), text
 
 
 def test_store_of_pieces_stays_bounded():
     e = tokenfiles.Encoder(PATH, most=40)
     texts = [f"alpha{i} beta{i % 3} gamma" for i in range(200)]
-    whole = [np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    whole = [np.array(plain_ids(t), "<u4").tobytes() for t in texts]
     assert [e.encode([t])[0] for t in texts] == whole
     assert len(e) <= 40 and len(e.old) <= 40
 
@@ -36,16 +57,17 @@ def test_shard_format_round_trip():
     for i in range(-300, 3000, 3):
         for o in range(1 + (i % 7 == 0)):
             ids = rng.integers(0, 70_000 if i % 5 == 0 else 50_000, rng.integers(0, 300)).astype("<u4")
-            w.add(i, o, ids)
+            w.add(i, 5 - i, o, tokenfiles.packed(ids))
             want[i, o] = ids
     w.close()
     r = tokenfiles.Reader(io.BytesIO(out.getvalue()), len(out.getvalue()))
     assert len(r.blocks) > 3
-    scanned = {(i, o): ids for i, o, ids in r.scan()}
+    scanned = {(i, o): ids for i, h, o, ids in r.scan() if h == 5 - i}
     assert scanned.keys() == want.keys() and all((scanned[k] == want[k]).all() for k in want)
-    for k in want:
-        assert (r.get(*k) == want[k]).all()
-    assert r.get(1) is None and r.get(10**9) is None and r.get(-300, 5) is None
+    for i, o in want:
+        found = r.get(i)
+        assert len(found) == 1 + (i % 7 == 0) and (found[o] == want[i, o]).all()
+    assert r.get(1) == [] and r.get(10**9) == [] and r.get(-10**9) == []
     assert sum(r.may_hold(i) for i in range(10_000, 20_000)) < 300
     bad = bytearray(out.getvalue())
     bad[100] ^= 1
@@ -53,16 +75,16 @@ def test_shard_format_round_trip():
         list(tokenfiles.Reader(io.BytesIO(bytes(bad)), len(bad)).scan())
     with pytest.raises(ValueError):
         w2 = tokenfiles.Writer(io.BytesIO())
-        w2.add(2, 0, ids)
-        w2.add(1, 0, ids)
+        w2.add(2, 0, 0, tokenfiles.packed(ids))
+        w2.add(1, 0, 0, tokenfiles.packed(ids))
 
 
 def test_token_tables_equal_plain_encoding(spark):
     rows = [r for r in H.odd_rows() if r[0] is not None]
     got = tokenfiles.token_tables(H.clashing(H.frame(spark, rows)), PATH).collect()
-    e, at, want = tokenfiles.encoder(PATH), 0, []
+    at, want = 0, []
     for r in sorted(rows, key=lambda r: r[0]):
-        ids = np.array([*e.tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4")
+        ids = np.array([*plain_ids(r[1]), 0], "<u4")
         want.append((r[0], at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     assert sorted(map(tuple, got)) == sorted(want)
@@ -166,17 +188,29 @@ def test_sharding_reads_whole_documents_back_from_shards(spark, tmp_path):
 def test_token_tables_keep_null_doc_ids(spark):
     rows = [(None, "a row without id", None, None, 0), (-5, "below nought", None, None, 0), (0, "nought", None, None, 0), (7, None, None, None, 0)]
     got = tokenfiles.token_tables(H.frame(spark, rows), PATH).collect()
-    e, at, want = tokenfiles.encoder(PATH), 0, []
+    at, want = 0, []
     for doc_id, text, *_ in rows:
-        ids = np.array([*e.tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        ids = np.array([*plain_ids(text), 0], "<u4")
         want.append((doc_id, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
     out, ids = io.BytesIO(), np.arange(3, dtype="<u4")
     w = tokenfiles.Writer(out)
     for key in ((None, 0), (None, 1), (-(1 << 63), 0), (0, 0)):
-        w.add(*key, ids + len(w.keys))
+        w.add(key[0], 9, key[1], tokenfiles.packed(ids + len(w.keys)))
     w.close()
     r = tokenfiles.Reader(io.BytesIO(out.getvalue()), len(out.getvalue()))
-    assert [k[:2] for k in r.scan()] == [(None, 0), (None, 1), (-(1 << 63), 0), (0, 0)]
-    assert (r.get(None, 1) == ids + 1).all() and (r.get(0) == ids + 3).all()
+    assert [(k[0], k[2]) for k in r.scan()] == [(None, 0), (None, 1), (-(1 << 63), 0), (0, 0)]
+    assert (r.get(None)[1] == ids + 1).all() and (r.get(0)[0] == ids + 3).all()
+
+
+def test_lookup_over_the_manifest(spark):
+    rows = H.odd_rows() + [(40, f"many rows of one id {i}", None, None, 1) for i in range(60)] + [(50 + i, f"t {i}", None, None, 1) for i in range(200)] + [(40, "twice", None, None, 1)] * 2
+    folder = shared_path(spark, "lookup")
+    manifest = tokenfiles.write_tables(H.clashing(H.frame(spark, rows)), folder, PATH, shards=7)
+    files = manifest.orderBy("shard").collect()
+    assert len(files) > 3 and all(a["last_key"] < b["first_key"] for a, b in zip(files[:-1], files[1:], strict=True))
+    for doc_id in (None, 1, 10, 40, 99, 249):
+        got = sorted(x.tolist() for x in tokenfiles.lookup(manifest, folder, doc_id))
+        assert got == sorted([*plain_ids(r[1]), 0] for r in rows if r[0] == doc_id)
+    assert tokenfiles.lookup(manifest, folder, 10**6) == []
