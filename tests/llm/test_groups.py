@@ -62,35 +62,6 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def brute_lines(rows, least):
-    docs = sorted({(r[0] is not None, r[0], r[1]) for r in rows if r[1] is not None}, key=repr)
-    docs = sorted(docs, key=lambda d: (d[0], d[1] or 0))
-    lines = {d: [(i, x.strip(" \t\v\f\r"), len(H.words(x))) for i, x in enumerate(d[2].split("\n")) if H.words(x)] for d in docs}
-
-    def windows(d):
-        for i in range(len(lines[d])):
-            total, j = 0, i
-            while j < len(lines[d]) and total < least:
-                total += lines[d][j][2]
-                j += 1
-            if total >= least:
-                yield i, tuple(x[1] for x in lines[d][i:j])
-
-    first, gone = {}, set()
-    for d in docs:
-        for i, w in windows(d):
-            if w not in first:
-                first[w] = (d, i)
-                continue
-            s, k = first[w]
-            for step in (1, -1):
-                a, b = i, k
-                while 0 <= a < len(lines[d]) and 0 <= b < len(lines[s]) and lines[d][a][1] == lines[s][b][1]:
-                    gone.add((d[1], d[2], lines[d][a][0]))
-                    a, b = a + step, b + step
-    return gone
-
-
 def test_line_dedup_equals_brute_force(spark):
     rng = random.Random(2)
     passages = [[f"p{k} " * rng.randrange(3, 9) + str(j) for j in range(6)] for k in range(5)]
@@ -100,7 +71,7 @@ def test_line_dedup_equals_brute_force(spark):
         rows.append((50 + n, "\n".join(text), "en", "s", 1))
     df = H.clashing(H.frame(spark, rows))
     texts = {(r[0]): r[1] for r in rows}
-    want = {(i, at) for i, _, at in brute_lines(rows, 20)}
+    want = every_repeat(rows, 20)
     got = {(r["doc_id"], r["at"]) for r in linededup.repeated_lines(df, 20).collect()}
     assert want and got == want
     out = linededup.dedupe_lines(df, 20)
@@ -119,7 +90,7 @@ def test_line_dedup_of_repeated_rows_and_nothing(spark):
 
 def every_repeat(rows, least):
     """Lines of all runs of ``least`` words or more that occur earlier, by trying each pair of places."""
-    docs = sorted({(r[0], r[1]) for r in rows})
+    docs = sorted({(r[0], r[1]) for r in rows if r[1] is not None})
     lines = {d: [(i, x.strip(" \t\v\f\r"), len(H.words(x))) for i, x in enumerate(d[1].split("\n")) if H.words(x)] for d in docs}
     places, gone = [(d, i) for d in docs for i in range(len(lines[d]))], set()
     for n, (d, i) in enumerate(places):
@@ -140,3 +111,79 @@ def test_line_dedup_considers_every_earlier_source(spark):
         rows.append((10 + n, "\n".join(rng.choices(stock[:4] if n % 2 else stock, k=rng.randrange(3, 14))), "en", "s", 1))
     got = {(r["doc_id"], r["at"]) for r in linededup.repeated_lines(H.frame(spark, rows), 20).collect()}
     assert (3, 1) in got and got == every_repeat(rows, 20)
+
+
+def test_line_dedup_is_linear_in_equal_lines(spark):
+    import time
+
+    rows = [(1, "\n".join(["five words on a line"] * 20_000), None, None, 0), (2, "own words\n" + "\n".join(["five words on a line"] * 500), None, None, 0)]
+    began = time.time()
+    got = linededup.repeated_lines(H.frame(spark, rows)).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in got} == {1: 19_999, 2: 500}
+    assert time.time() - began < 60
+
+
+def around_threshold(n, size=100, seed=3):
+    """Copies of one text with so many words replaced that some are just linked with it and some just not; the new
+    words come from a small stock, so that copies that aren't linked share some of them."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(size)]
+    for i in range(n):
+        copy = list(base)
+        for _ in range(rng.randrange(1, size // 6)):
+            copy[rng.randrange(size)] = f"r{rng.randrange(300)}"
+        yield (i, " ".join(copy), "en", "s", 1)
+
+
+def test_a_group_around_the_threshold_equals_brute_force(spark, monkeypatch):
+    rows = list(around_threshold(500))
+    want = brute_groups(rows)
+    assert 20 < sum(i != c for i, c in want.items()) < 480
+    pairs = []
+    test = neardup.Links.test
+    monkeypatch.setattr(neardup.Links, "test", lambda self, p: pairs.append(p.count()) or test(self, p))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_groups(H.frame(spark, rows)).collect()}
+    assert got == want
+    assert sum(pairs) < 500 * 40  # of 124,750 pairs
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)  # ids joined by a shuffle
+    some = rows[:60]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_groups(H.frame(spark, some)).collect()}
+    assert got == brute_groups(some)
+
+
+def test_families_within_a_group_become_one_component(spark):
+    rng, rows = random.Random(4), []
+    base = [f"b{i}" for i in range(120)]
+    for family in range(3):  # families share most of one text but are not linked with each other
+        own = list(base)
+        for i in range(family, 120, 9):
+            own[i] = f"f{family}x{i}"
+        for _ in range(60):
+            copy = list(own)
+            for _ in range(rng.randrange(0, 5)):
+                copy[rng.randrange(120)] = f"r{rng.randrange(10_000)}"
+            rows.append((len(rows), " ".join(copy), "en", "s", 1))
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_groups(H.frame(spark, rows)).collect()}
+    assert got == brute_groups(rows) and len(set(got.values())) == 3
+
+
+def test_planted_pairs_just_above_the_threshold_are_found(spark):
+    rng, rows, n = random.Random(8), [], 0
+    while n < 400:
+        base = [f"p{n}w{i}" for i in range(rng.randrange(60, 200))]
+        copy = list(base)
+        for _ in range(len(base) // 20):
+            copy[rng.randrange(len(base))] = f"n{n}x{rng.randrange(10_000)}"
+        a, b = set(zip(base, base[1:], strict=False)), set(zip(copy, copy[1:], strict=False))
+        if 0.80 <= len(a & b) / len(a | b) <= 0.85:
+            rows += [(n, " ".join(base), "en", "s", 1), (n + 1, " ".join(copy), "en", "s", 1)]
+            n += 2
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_groups(H.frame(spark, rows)).collect()}
+    assert all(got[i] == got[i + 1] == i for i in range(0, n, 2))
+
+
+def test_of_equal_rows_one_stays(spark):
+    rows = [(1, "one two three four five six", "en", "a", 1)] * 3 + [(1, "other text of the same id but long enough", "en", "a", 1), (2, None, None, None, None), (2, None, None, None, None), (None, "no id", None, None, 1), (None, "no id", None, None, 1)]
+    left = neardup.drop_near(H.clashing(H.frame(spark, rows)), neardup.Near(shingle=2)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left) == sorted([(1, rows[0][1]), (1, rows[3][1]), (2, ""), (2, ""), (0, "no id"), (0, "no id")])
