@@ -35,7 +35,6 @@ class Near:
     percent: int = 80
     left: tuple[int, int] = (2, 10)
     right: tuple[int, int] = (3, 14)
-    pivots: int = 4
 
 
 def shingles(texts: pa.Array, n: int):
@@ -201,26 +200,31 @@ def differences(sets: DataFrame, spokes: DataFrame, how: Near) -> DataFrame:
     return _against_hubs(sets, spokes, run, schema, "differences")
 
 
+#: What is known of a member beside its hub.
+_MEMBER = ["member", "component", "linked", "n", "missing", "size", "hub_size", *(f"b{i}" for i in range(BITMAP))]
+
+
 def postings(found: DataFrame, how: Near) -> DataFrame:
-    """(hub, element, member, rank, statistics): the differences by which members of one hub may meet.
+    """(hub, element, rank, member and what is known of it): the differences by which members of one hub, in different
+    components, may meet.
 
     With A_x = hub less x and E_x = x less hub, two members share |hub| - |A_x| - |A_y| + |A_x & A_y| +
     |E_x & E_y| shingles, so a link needs so many common differences (:func:`_need`). Members that are both linked
     with the hub are in one component; what remains are pairs with an unlinked member. ``rank`` counts a member's differences,
-    those first that can't be common, then the rarest in the hub's group: the first common difference of a
+    those first that no member of another component has, then the rarest in the hub's group: the first common difference of a
     pair leaves need - 1 others behind it in both, which bounds its rank in both."""
-    e = found.select("hub", "member", "linked", F.explode("elements").alias("element"))
-    often = e.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("often"), F.count_if(~F.col("linked")).alias("unlinked"))
-    useful = e.drop("linked").join(often.filter("often > 1 and unlinked > 0").drop("unlinked"), ["hub", "element"])
+    e = found.select("hub", *_MEMBER, F.explode("elements").alias("element"))
+    often = e.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("often"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    useful = e.join(often.filter("c0 <> c1").drop("c0", "c1"), ["hub", "element"])
     own = Window.partitionBy("hub", "member")
-    ranked = useful.select("hub", "member", "element", F.row_number().over(own.orderBy("often", "element")).alias("r"), F.count(F.lit(1)).over(own).alias("m"))
+    rank = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("often", "element"))
     p, whole = how.percent, 100 + how.percent
     weight = 100 * F.col("missing") + p * (F.col("n") - F.col("missing"))
-    rows = ranked.join(found.drop("elements"), ["hub", "member"]).withColumn("rank", F.col("n") - F.col("m") + F.col("r")).drop("r", "m")
     # with an unlinked partner more than weight / whole are common; the least that an unlinked one may share with any
     sent = F.col("rank") <= F.col("n") - F.floor(weight / whole)
     asked = ~F.col("linked") & (F.col("rank") <= F.col("n") - F.greatest(F.lit(1), F.ceil((weight - (100 - p) * F.col("hub_size")) / whole)) + 1)
-    return cut(rows.withColumn("sent", sent).withColumn("asked", asked).filter("sent or asked"), "postings")
+    rows = useful.withColumn("rank", rank).drop("often").withColumn("sent", sent).withColumn("asked", asked)
+    return cut(rows.filter("sent or asked"), "postings")
 
 
 def _need(x: str, y: str, percent: int) -> Column:
@@ -278,45 +282,47 @@ class Links:
         return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def _open(keys: DataFrame, links: Links, pivots: int) -> DataFrame:
-    """(key, rep, component, ps): members of keys that hold several components, with the key's pivots."""
+def _open(keys: DataFrame, links: Links) -> DataFrame:
+    """(key, rep, component): members of keys that hold several components."""
     placed = _placed(keys.select("key", "rep"), "rep", links.groups)
-    by_hash = [F.min(F.struct(F.xxhash64(F.lit(i), "rep").alias("h"), "rep", "component")).alias(f"p{i}") for i in range(pivots)]
-    mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), *by_hash).filter("c0 <> c1")
-    return cut(placed.join(mixed.select("key", F.array(*[f"p{i}" for i in range(pivots)]).alias("ps")), "key"), "open")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1")
+    return cut(placed.join(mixed.select("key"), "key"), "open")
 
 
 def _around_hubs(keys: DataFrame, links: Links) -> None:
     """Find every link between members of one key that are still in different components.
 
-    The key's most linked member is the hub. All members are compared with it; which others may be linked follows
+    The hub of a component is its most linked node; that of a key is the most linked one of its members' components,
+    so that the keys of one group have one hub. All members are compared with it; which others may be linked follows
     from their differences with the hub (:func:`postings`). First, members that have a difference in common meet
-    one of them, so that a family within the group becomes one component without being compared pair by pair; what
+    one or two of them, so that a family within the group becomes one component without being compared pair by pair; what
     then is plausible between components is tested pair by pair."""
     how = links.how
-    k, e = keys.select("key", "rep").alias("k"), links.degrees().alias("e")
-    ranked = k.join(e, F.col("k.rep") == F.col("e.node"), "left").select("k.key", "k.rep", F.coalesce("e.degree", F.lit(0)).alias("degree"))
-    hubs = ranked.groupBy("key").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("hub"))
+    g, e = links.groups.alias("g"), links.degrees().alias("e")
+    nodes = g.join(e, F.col("g.node") == F.col("e.node")).select("g.component", "g.node", "e.degree")
+    best = nodes.groupBy("component").agg(F.max(F.struct("degree", (-F.col("node")).alias("hub"))).alias("best")).select("component", "best.*")
+    k, t = keys.select("key", "rep", "component").alias("k"), best.alias("t")
+    ranked = k.join(t, "component", "left").select("k.key", "k.rep", F.coalesce("t.degree", F.lit(0)).alias("degree"), F.coalesce("t.hub", -F.col("k.rep")).alias("hub"))
+    hubs = ranked.groupBy("key").agg((-F.max(F.struct("degree", "hub"))["hub"]).alias("hub"))
     spokes = cut(keys.select("key", "rep").join(hubs, "key").select(F.col("rep").alias("a"), F.col("hub").alias("b")).filter("a <> b").distinct(), "spokes")
     found = differences(links.sets, spokes, how)
     links.add(found.select(F.col("member").alias("a"), F.col("hub").alias("b"), "linked"))
-    meet = postings(found, how)
-    stats = ["member", "linked", "n", "missing", "size", "hub_size", "component", *(f"b{i}" for i in range(BITMAP))]
-    for i in range(3):
-        placed = _placed(meet, "member", links.groups)
-        first = placed.groupBy("hub", "element").agg(F.min(F.struct(F.xxhash64(F.lit(i), "member").alias("h"), F.struct(*stats).alias("p"))).alias("m"))
-        both = placed.alias("x").join(first.select("hub", "element", "m.p.*").alias("y"), ["hub", "element"])
-        both = both.filter((F.col("x.component") != F.col("y.component")) & _plausible("x", "y", how.percent))
-        if not links.test(both.select(F.col("x.member").alias("a"), F.col("y.member").alias("b"))):
-            break
-    placed = cut(_placed(meet, "member", links.groups), "postings")
-    x, y = placed.filter("sent").alias("x"), placed.filter("asked").alias("y")
+    meet = postings(_placed(found, "member", links.groups), how)
+    pairs = None
+    for i in range(2):
+        first = meet.groupBy("hub", "element").agg(F.min(F.struct(F.xxhash64(F.lit(i), "member").alias("h"), F.struct(*_MEMBER).alias("p"))).alias("m"))
+        x, y = meet.alias("x"), first.select("hub", "element", "m.p.*").alias("y")
+        on = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.component") != F.col("y.component"))
+        both = x.join(y, on & _plausible("x", "y", how.percent)).select(F.col("x.member").alias("a"), F.col("y.member").alias("b"))
+        pairs = both if pairs is None else pairs.unionByName(both)
+    now = cut(_placed(meet.drop("component"), "member", links.groups), "postings") if links.test(pairs) else meet
+    x, y = now.filter("sent").alias("x"), now.filter("asked").alias("y")
     need = _need("x", "y", how.percent)
     on = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.component") != F.col("y.component"))
     on = on & (F.col("x.linked") | (F.col("x.member") < F.col("y.member")))
     on = on & (F.col("x.rank") <= F.col("x.n") - need + 1) & (F.col("y.rank") <= F.col("y.n") - need + 1) & _plausible("x", "y", how.percent)
     links.test(x.join(y, on).select(F.col("x.member").alias("a"), F.col("y.member").alias("b")))
-    drop(meet, placed, found, spokes)
+    drop(meet, now, found, spokes)
 
 
 def near_groups(documents: DataFrame, how: Near = Near()) -> DataFrame:
@@ -326,10 +332,9 @@ def near_groups(documents: DataFrame, how: Near = Near()) -> DataFrame:
        written down once, packed; pairs are compared on these.
     2. Such classes are compared with the key's least member, a pair once. A group of a thousand near
        copies so yields some thousand pairs, not their square.
-    3. Confirmed links make components. Where one key still holds members of several components,
-       ``pivots`` of its members, each the first by a hash of its own, meet those of other
-       components. What then is still apart meets around the key's most linked member
-       (:func:`_around_hubs`). So no link between components that share a key is lost, and no group is compared pair by pair.
+    3. Confirmed links make components. Where one key still holds members of several components, these meet around the
+       most linked node of a component (:func:`_around_hubs`). So no link between components that share a key is
+       lost, and no group is compared pair by pair.
 
     Null, empty and blank texts have an empty set and are linked with nothing. Rows with one doc_id
     count as one document. A row without doc_id keeps a null component_id. An empty table gives no rows.
@@ -357,14 +362,10 @@ def near_groups(documents: DataFrame, how: Near = Near()) -> DataFrame:
     packs = class_sets(documents, cut(wanted, "wanted"), how, several)
     links = Links(packs, how)
     links.test(members.filter("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct())
-    keys = _open(members.filter("n > 2"), links, how.pivots)
+    keys = _open(members.filter("n > 2"), links)
     drop(members)
     if keys.head(1):
-        each = keys.select("rep", "component", F.explode("ps").alias("p")).filter("component <> p.component")
-        links.test(each.select(F.col("rep").alias("a"), F.col("p.rep").alias("b")))
-        keys = _open(keys, links, how.pivots)
-        if keys.head(1):
-            _around_hubs(keys, links)
+        _around_hubs(keys, links)
     drop(packs)
     of_class = _placed(sets, "rep", links.groups).select("doc_id", "component")
     if several:  # a component is named by its least doc_id, and a doc_id joins the components of its texts
