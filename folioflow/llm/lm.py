@@ -12,15 +12,17 @@ from pyspark.sql import functions as F
 from .arrowtext import Batch, blocks, mix
 from .common import cut, release, remove, shared_path, shuffle_partitions
 
-#: Bytes of text in a block of documents, and for which one partition of counts stands.
-BLOCK_BYTES, COUNT_BYTES = 1 << 20, 12 << 20
+#: Bytes of text in a block of documents, and for which one slice of the counts stands.
+BLOCK_BYTES, COUNT_BYTES = 4 << 20, 16 << 20
+#: Tasks that count at most; beyond that, each counts several slices, one after another.
+MOST_TASKS = 20_000
 #: Of training documents one in so many is deleted from the counts that fit the mixture weights.
 DELETED = 8
 UNI, BI, DOCS = 0, 1, 2
 KEPT, LEFT_OUT, TEST = 0, 1, 2
 _END = np.uint64(0x0E2D0E2D0E2D0E2D)
 #: Bins of a factor 2**(1/8) for the estimates that the mixture weights are learned from.
-_FINE, _LEAST = 8, -64
+_FINE, _LEAST = 8, -40
 _TEXTS = pa.schema([("doc_id", pa.int64()), ("split", pa.int32()), ("text", pa.large_string())])
 GRAMS = "kind int, block long, p int, h binary, kept binary, deleted binary, doc_id long, split int, ids binary"
 TOTALS = "kind int, block long, p int, kept binary, deleted binary, distinct long, all_kept long, all_deleted long"
@@ -152,36 +154,43 @@ def gram_rows(documents: DataFrame, split: Column, parts: int) -> DataFrame:
 
 
 def count_rows(messages: DataFrame, parts: int) -> DataFrame:
-    """Answers to the blocks: counts over all documents, in the order of the question. A partition
-    holds one slice of the hashes, which every block has counted within itself before."""
+    """Answers to the blocks: counts over all documents, in the order of the question. A slice of the hashes is
+    counted at a time; every block has counted it within itself before, so a hash, however frequent, has one entry a block."""
     names = ["kind", "block", "p", "kept", "deleted", "distinct", "all_kept", "all_deleted"]
     kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
-    def run(batches):
-        asked, hs, kept, deleted = [], [], [], []
-        for batch in batches:
-            for kind, block, p, h, k, d in zip(*[batch.column(c).to_pylist() for c in ("kind", "block", "p", "h", "kept", "deleted")], strict=True):
-                hs.append(_unpack(h))
-                n = len(hs[-1])
-                asked.append((kind, block, p, n))
-                kept.append(_counts(k, n).astype(np.float64))
-                deleted.append(_counts(d, n).astype(np.float64))
-        if not asked:
-            return
+    def answers(slice_):
+        """Rows of one slice: (kind, p, blocks, hashes, kept, deleted)."""
+        kind, p, blocks_, hs, kept, deleted = slice_
+        sizes = [len(x) for x in hs]
         distinct, place = np.unique(np.concatenate(hs), return_inverse=True)
-        del hs
-        k = np.bincount(place, np.concatenate(kept)).astype(np.int64)
-        d = np.bincount(place, np.concatenate(deleted)).astype(np.int64)
-        out, at = [(asked[0][0], -1, asked[0][2], None, None, int(((k + d) > 0).sum()), int(k.sum()), int(d.sum()))], 0
-        for kind, block, p, n in asked:
+        hs.clear()
+        k = np.bincount(place, np.concatenate([_counts(x, n) for x, n in zip(kept, sizes, strict=True)])).astype(np.int64)
+        d = np.bincount(place, np.concatenate([_counts(x, n) for x, n in zip(deleted, sizes, strict=True)])).astype(np.int64)
+        out, at = [(kind, -1, p, None, None, int(((k + d) > 0).sum()), int(k.sum()), int(d.sum()))], 0
+        for block, n in zip(blocks_, sizes, strict=True):
             own = place[at : at + n]
             out.append((kind, block, p, _small(k[own]), _small(d[own]), None, None, None))
             at += n
         for i in range(0, len(out), 2000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 2000], strict=True), kinds, strict=True)], names)
 
-    dealt = messages.select("kind", "block", "p", "h", "kept", "deleted").repartitionById(2 * parts, (F.col("kind") * parts + F.col("p")).cast("int"))
-    return dealt.mapInArrow(run, TOTALS)
+    def run(batches):
+        now = None
+        for batch in batches:
+            for kind, block, p, h, k, d in zip(*[batch.column(c).to_pylist() for c in ("kind", "block", "p", "h", "kept", "deleted")], strict=True):
+                if now is None or now[:2] != (kind, p):
+                    if now:
+                        yield from answers(now)
+                    now = (kind, p, [], [], [], [])
+                for column, value in zip(now[2:], (block, _unpack(h), k, d), strict=True):
+                    column.append(value)
+        if now:
+            yield from answers(now)
+
+    tasks = min(2 * parts, MOST_TASKS)
+    dealt = messages.select("kind", "block", "p", "h", "kept", "deleted").repartitionById(tasks, ((F.col("kind") * parts + F.col("p")) % tasks).cast("int"))
+    return dealt.sortWithinPartitions("kind", "p").mapInArrow(run, TOTALS)
 
 
 def block_rows(docs: DataFrame, asked: DataFrame, totals: DataFrame) -> DataFrame:
@@ -306,7 +315,8 @@ def score_documents(documents: DataFrame, held_out: Column) -> DataFrame:
     Documents are counted in blocks. A block sends its distinct tokens and bigrams, counted, to the
     partition of their hash and gets counts of the whole corpus back: no word, however frequent,
     makes more than one entry a block, no table is broadcast, and memory is bounded by a block and
-    by a slice of hashes (their number grows with the corpus). Within a slice 48 bits tell tokens
+    by a slice of hashes (their number grows with the corpus; a slice holds a token that is in every block as often as there
+    are blocks, 32 bytes each). Messages are a row a block and slice that it touches. Within a slice 48 bits tell tokens
     and 40 bits bigrams apart.
 
     Null and empty texts have the end token alone. A null doc_id is a training document. Rows with
