@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import blocks, mix, text_bytes
@@ -18,13 +19,14 @@ UNKNOWN = "und"
 class Kernel:
     """n-grams of 1 to ``longest`` bytes of lower-cased text, present or not, in ``width`` hashed
     places; ``landmarks`` span the Nyström space, ``ridge`` weighs the penalty. ``sample`` bounds the
-    labelled rows that are fitted, shared evenly by the languages."""
+    labelled rows that are fitted, shared evenly by the languages; ``languages`` how many, those with most rows, are learned."""
 
     longest: int = 4
-    width: int = 8192
+    width: int = 16384
     landmarks: int = 128
     ridge: float = 1e-3
     sample: int = 2048
+    languages: int = 256
 
 
 #: Letters to lower case; other ASCII is one blank; bytes of longer characters stay.
@@ -66,9 +68,9 @@ class Model:
         x = flags.astype(np.float32)
         norm = np.sqrt(np.maximum(x.sum(axis=1), 1))
         x /= norm[:, None]
-        step = max(1, len(x) // k.landmarks)
-        by_label = np.argsort(np.array(labels), kind="stable")  # landmarks of all languages
-        self.marks = np.ascontiguousarray(x[by_label[::step][: k.landmarks]].T)
+        by_label = np.argsort(np.array(labels), kind="stable")  # landmarks of all languages, from first to last
+        chosen = np.unique(np.linspace(0, len(x) - 1, min(len(x), k.landmarks)).round().astype(np.int64))
+        self.marks = np.ascontiguousarray(x[by_label[chosen]].T)
         gram = self.marks.T @ self.marks
         values, vectors = np.linalg.eigh(gram.astype(np.float64))
         good = values > 1e-6 * values[-1]
@@ -90,18 +92,19 @@ class Model:
 
 
 def learn(labelled: DataFrame, k: Kernel = Kernel()) -> Model | None:
-    """Fit on a sample of (doc_id, text, lang) of at most ``k.sample`` rows or so, of each language
-    those whose hashed doc_id comes first; None without a labelled text. Texts become flags on the
-    executors, so the driver gets ``k.width`` bits a row, however long the texts are."""
-    rows = labelled.filter("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """Fit on a sample of (doc_id, text, lang): of each language the ``k.sample`` / languages rows that come first by a
+    hash of doc_id and text. None without a labelled text.
+
+    The bound is hard: null or repeated doc_ids and equal rows count as rows like others. Languages beyond ``k.languages``
+    (those with fewest rows, of equals the later name) are not learned. Texts become flags on the executors, so the driver gets
+    ``k.width`` bits a row, however long the texts are. Null texts and labels are left out."""
+    rows = labelled.filter("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(k.languages).collect()
     if not counts:
         return None
-    each, parts = max(8, k.sample // len(counts)), 1 << 30
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(parts, each * parts // n))).otherwise(share)
-    chosen = rows.filter(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(parts)) < share)
+    each, parts = max(1, k.sample // len(counts)), 1 << 30
+    shares = [(r["lang"], int(min(parts, (2 * each + 64) * parts // r["n"] + 1))) for r in counts]
+    hashed = rows.withColumn("h", F.xxhash64("doc_id", "text"))
 
     def run(batches):
         for whole in batches:
@@ -111,7 +114,19 @@ def learn(labelled: DataFrame, k: Kernel = Kernel()) -> Model | None:
                 out = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(packed, pa.binary())], ["doc_id", "lang", "flags"])
                 yield out.filter(pa.array(letters))
 
-    got = chosen.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, lang string, flags binary").collect()
+    def taken(shares: list[tuple[str, int]]) -> list:
+        """Rows of these languages: those with a hash below the share, and of them exactly the first."""
+        known = F.broadcast(rows.sparkSession.createDataFrame(shares, "lang string, share long"))  # a row a language
+        some = hashed.join(known, "lang").filter(F.pmod("h", F.lit(parts)) < F.col("share")).drop("share")
+        first = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(parts)), "h"))
+        chosen = some.withColumn("place", first).filter(F.col("place") <= each).drop("place", "h")
+        return chosen.mapInArrow(run, "doc_id long, lang string, flags binary").collect()
+
+    got = taken(shares)
+    # where few different rows make up a language, chance may leave some out: then all of its rows compete
+    found = Counter(r["lang"] for r in got)
+    if short := [(r["lang"], parts) for r, (_, share) in zip(counts, shares, strict=True) if share < parts and found[r["lang"]] < min(each, r["n"])]:
+        got = [r for r in got if r["lang"] not in dict(short)] + taken(short)
     if not got:
         return None
     got = sorted(got, key=lambda r: (r["lang"], r["doc_id"] or 0, bytes(r["flags"])))
