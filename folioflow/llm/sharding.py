@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, drop, fresh, shared_path
+from .common import cut, fresh, shared_path
 
 SHARDS, SEED, BUCKET_BYTES = 40, 20240607, 32 << 20
+#: Rows of one key that share a bucket.
+EQUAL_ROWS = 4096
 
 
 def size_of(text: Column) -> Column:
@@ -19,33 +21,39 @@ def size_of(text: Column) -> Column:
 def two_pass_shuffle(
     rows: DataFrame, size: Column, key: list[Column], shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES
 ) -> DataFrame:
-    """``rows`` with ``shard`` (0 to shards-1) and ``slot`` (gapless from 0 in each shard).
+    """``rows`` with ``shard`` (0 to shards-1) and ``slot`` (gapless from 0 in each shard); where columns of these names are
+    there, ours have underscores before them.
 
-    Pass one scatters rows over buckets by a seeded hash of ``key`` and writes them to the shared
-    folder; there are as many buckets as keep a bucket near ``bucket_bytes``, and ``shards`` at
-    least. Pass two puts each bucket in an order that depends only on its rows, applies a
+    Pass one scatters whole rows over buckets by a seeded hash of ``key``: it is an exchange, whose map tasks write a row into
+    its bucket's part of their files, and there are as many buckets as keep a bucket near ``bucket_bytes``, and ``shards`` at
+    least. Pass two takes a bucket a task, puts it in an order that depends only on its rows, applies a
     Fisher-Yates shuffle (``shuffle`` with a seed) in memory, and lays buckets one after
-    another; that order is cut into shards whose counts differ by one at most. A bucket is one task's partition,
-    which makes the permutation a function of seed, bucket and rows: lost tasks and reruns repeat it.
+    another; that order is cut into shards whose counts differ by one at most. So the permutation is a function of seed, bucket
+    and rows: lost tasks and reruns repeat it.
 
-    ``key`` should tell rows apart: rows equal in it share a bucket.
+    Rows equal in ``key`` share a bucket unless there are more than EQUAL_ROWS: then they are dealt over as many more
+    buckets by their place in the input, so no bucket outgrows memory. Null keys are keys like others; an empty table gives no rows.
     """
-    spark = rows.sparkSession
-    h, bucket, items, at, n_col = fresh(rows, "hash", "bucket", "items", "at", "n")
-    shard, slot = "shard", "slot"
+    h, bucket, items, at, n_col, share = fresh(rows, "hash", "bucket", "items", "at", "n", "share")
+    shard, slot = fresh(rows, "shard", "slot")
     hashed = rows.withColumn(h, F.xxhash64(F.lit(seed), *key))
+    hot = hashed.groupBy(h).agg(F.ceil(F.count(F.lit(1)) / EQUAL_ROWS).alias(share)).filter(F.col(share) > 1)
+    if hot.head(1):
+        place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col(share))
+        hashed = hashed.join(hot, h, "left").withColumn(h, F.when(F.col(share).isNull(), F.col(h)).otherwise(F.xxhash64(h, place))).drop(share)
+        hashed = cut(hashed, "scatter")  # the places are drawn once
     total = rows.agg(F.sum(size).alias("b")).first()["b"] or 0
     buckets = max(shards, -(-int(total) // bucket_bytes))
-    scattered = cut(hashed.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed + 1), h), F.lit(buckets)).cast("int")), "scatter")
+    scattered = hashed.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed + 1), h), F.lit(buckets)).cast("int"))
     counts = scattered.groupBy(bucket).agg(F.count(F.lit(1)).alias(n_col))
     # one row a bucket: its first place in the whole order, and the number of rows in all
     before = Window.partitionBy(F.lit(0)).orderBy(bucket)
-    starts = counts.select(
+    starts = cut(counts.select(
         F.col(bucket).alias("_b"),
         (F.sum(n_col).over(before) - F.col(n_col)).alias("_start"),
         F.sum(n_col).over(Window.partitionBy(F.lit(0))).alias("_all"),
-    )
-    whole = F.struct(F.col(h), *[F.col(c) for c in rows.columns])
+    ), "starts")
+    whole = F.struct(F.col(h), *[F.col(f"`{c}`") for c in rows.columns])
     ordered = F.array_sort(F.collect_list(whole)) if _sortable(rows) else F.array_sort(F.collect_list(whole), _by_hash)
     gathered = (
         scattered.repartitionById(buckets, F.col(bucket))
@@ -60,9 +68,7 @@ def two_pass_shuffle(
     first = place < wide
     number = F.when(first, F.floor(place / (base + 1))).otherwise(extra + F.floor((place - wide) / F.greatest(base, F.lit(1))))
     within = F.when(first, place % (base + 1)).otherwise((place - wide) % F.greatest(base, F.lit(1)))
-    out = placed.select("_row.*", number.cast("int").alias(shard), within.cast("long").alias(slot)).drop(h)
-    out._cut_path = scattered._cut_path
-    return out
+    return placed.select("_row.*", number.cast("int").alias(shard), within.cast("long").alias(slot)).drop(h)
 
 
 def _by_hash(a: Column, b: Column) -> Column:
@@ -79,11 +85,12 @@ def write_shards(rows: DataFrame, path: str, shards: int = SHARDS, seed: int = S
     """Write whole ``rows`` (doc_id, text, ...) as Parquet folders ``shard=0`` ... in slot order.
 
     A bucket holds consecutive slots of one shard or of neighbours, so its task writes them as they are and
-    texts are shuffled once; the files of a folder are in slot order by name and within."""
+    texts are shuffled once; the files of a folder are in slot order by name and within. Null ids and texts, repeated rows
+    and empty tables are rows, or none, like others."""
     key = [F.col("doc_id"), F.xxhash64("text")]
     laid = two_pass_shuffle(rows, size_of(F.col("text")), key, shards, seed, bucket_bytes)
-    laid.sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)
-    drop(laid)
+    shard, slot = laid.columns[-2:]
+    laid.sortWithinPartitions(shard, slot).write.option("compression", "zstd").partitionBy(shard).parquet(path)
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:
