@@ -75,15 +75,17 @@ def link(messages: DataFrame) -> DataFrame:
 def chat(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn, role, position, reply_to, n_quoted, n_linked, content, chat) of each message.
 
-    A message replies to the one it quotes most (:func:`link`), else to the one before it in its
-    conversation. ``position`` (from 0) is the order of replies: a message, then its replies by
-    turn, each with its own replies. ``content`` is the text without quoted lines.
-    ``chat`` is the turn ready to be joined in order of position.
-
-    The order is computed on runs: messages that follow the one before form a run, a run that
-    answers message p of another comes after all that follows p there. So a run's sort key is the
-    key of its parent's run with (-p, first turn) appended, found in as many rounds as branches are
-    nested. Ranks are counted by ranges, so a conversation of any length is no single task's.
+    ``reply_to`` is the turn that a message quotes most (:func:`link`), null where it quotes none of its conversation;
+    such a message follows the one before it. ``position`` (from 0) is the order of replies: a message, then those that follow
+    it, then its other replies by turn, each with its own. ``content`` is the text without quoted lines.
+    ``chat`` is the turn ready to be joined in order of position (:func:`assembled`). A quote of a part of a line
+    has no hash in common with the line and links nothing.
+
+    The order is computed on runs: messages that follow the one before form a run, and a run that
+    answers message p of another comes after all that follows p there. Runs are a tree, and their order is that of
+    a walk around it, ranked by pointer doubling (:func:`_walk`): rounds grow with the logarithm of a conversation's runs, and
+    rows have a fixed size. Ranks are counted by ranges, so a conversation of any length is no single task's. Texts
+    move once, at the end.
 
     Null texts are empty. Rows without conv_id or turn make no links and come first, in a
     conversation of their own. Equal (conv_id, turn) rows stay rows of their own, ordered by role and text. An empty table
@@ -97,65 +99,82 @@ def chat(conversations: DataFrame) -> DataFrame:
     parsed = cut(parse(base), "parsed")
     usable = parsed.filter("conv_id is not null and turn is not null")
     quoting = usable.filter(F.exists("lines", lambda x: x["q"] > 0))
-    m = parsed.select("conv_id", "turn", "role", "uid", "body", F.xxhash64("text").alias("th"), F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + (x["q"] > 0).cast("long")).alias("n_quoted"))
-    # only conversations in which something is quoted take part in linking
-    links = cut(link(usable.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi")), "links")
+    m = parsed.select("conv_id", "turn", "role", "uid", F.xxhash64("text").alias("th"))
     order = [F.col("turn"), F.col("role"), F.col("th"), F.col("uid")]
-    numbered = cut(ordered_prefix(m, ["conv_id"], order, {}, "no"), "numbered")
-    n, k = numbered.alias("n"), links.alias("k")
-    joined = n.join(k, F.col("n.uid") == F.col("k.uid"), "left").select("n.*", "k.reply_to", F.coalesce("k.linked", F.lit(0)).alias("n_linked"))
-    # the first row of the turn that is replied to
-    firsts = numbered.filter("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min("no").alias("first_no"))
-    j, f = joined.alias("j"), firsts.alias("f")
-    parents = cut(
-        j.join(f, (F.col("j.conv_id") == F.col("f.conv_id")) & (F.col("j.reply_to") == F.col("f.turn")), "left").select("j.*", F.col("f.first_no").alias("p")), "parents"
-    )
-    # a run starts at the first message and at each reply to another than the message before
-    starts = parents.filter("no = 0 or (p is not null and p <> no - 1)").select("conv_id", "no", "p")
-    runs = cut(starts.withColumn("key", F.when(F.col("p").isNull(), F.array(F.col("no")))), "runs")
-    if runs.filter("p is not null").head(1):
-        whole = _run_of(parents, runs)
-        runs = _keys(runs, whole)
-        placed = whole.alias("w").join(runs.alias("r"), F.col("w.conv_id").eqNullSafe(F.col("r.conv_id")) & (F.col("w.run") == F.col("r.no"))).select("w.uid", "r.key")
-        keyed = parents.join(placed, "uid")
+    numbered = cut(ordered_prefix(m, ["conv_id"], order, {}, "no").select("conv_id", "turn", "uid", "no"), "numbered")
+    if quoting.head(1):
+        # only conversations in which something is quoted take part in linking
+        links = cut(link(usable.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi")), "links")
+        places = _places(numbered, links)
     else:
-        keyed = parents.withColumn("key", F.array(F.lit(0).cast("long")))
-    ranked = ordered_prefix(keyed.drop("th"), ["conv_id"], [F.col("key"), F.col("no")], {}, "position")
-    return ranked.select(
+        places = numbered.select("uid", F.col("no").alias("position"), F.lit(None).cast("long").alias("reply_to"), F.lit(0).cast("long").alias("n_linked"))
+    n_quoted = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + (x["q"] > 0).cast("long"))
+    return parsed.withColumn("n_quoted", n_quoted).join(places, "uid").select(
         "conv_id", "turn", "role", "position", "reply_to", "n_quoted", "n_linked", F.col("body").alias("content"),
         F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.col("body"), F.lit("\n")).alias("chat"),
     )
 
 
-def _run_of(parents: DataFrame, runs: DataFrame) -> DataFrame:
-    """(uid, conv_id, no, run): the start of each message's run, for conversations that branch;
-    others are one run. Ranked by ranges as well: the number of starts up to a message names its run."""
-    flagged = parents.select("uid", "conv_id", "no", ((F.col("no") == 0) | (F.col("p").isNotNull() & (F.col("p") != F.col("no") - 1))).cast("long").alias("s"))
-    counted = ordered_prefix(flagged, ["conv_id"], [F.col("no")], {"prior": "s"}, "_r")
+def _places(numbered: DataFrame, links: DataFrame) -> DataFrame:
+    """(uid, position, reply_to, n_linked) of each message."""
+    n, k = numbered.alias("n"), links.alias("k")
+    joined = n.join(k, F.col("n.uid") == F.col("k.uid"), "left").select("n.*", "k.reply_to", F.coalesce("k.linked", F.lit(0)).cast("long").alias("n_linked"))
+    # the first row of the turn that is replied to
+    firsts = numbered.filter("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min("no").alias("first_no"))
+    j, f = joined.alias("j"), firsts.alias("f")
+    on = (F.col("j.conv_id") == F.col("f.conv_id")) & (F.col("j.reply_to") == F.col("f.turn"))
+    parents = cut(j.join(f, on, "left").select("j.*", F.col("f.first_no").alias("p")), "parents")
+    # a run starts at the first message and at each reply to another than the message before
+    branch = F.col("p").isNotNull() & (F.col("p") != F.col("no") - 1)
+    branching = parents.filter(branch).select("conv_id").distinct()
+    inside = parents.join(branching, "conv_id", "left_semi").withColumn("s", ((F.col("no") == 0) | branch).cast("long"))
+    straight = parents.join(branching, "conv_id", "left_anti").select("uid", F.col("no").alias("position"), "reply_to", "n_linked")
+    if not branching.head(1):
+        return straight
+    counted = ordered_prefix(inside, ["conv_id"], [F.col("no")], {"prior": "s"}, "_r")
     index = cut(counted.withColumn("i", F.col("prior") + F.col("s")), "index")
-    heads = index.filter("s = 1").select(F.col("conv_id").alias("c"), F.col("i").alias("hi"), F.col("no").alias("run"))
-    return cut(index.join(heads, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("i") == F.col("hi"))).select("uid", "conv_id", "no", "run"), "run_of")
-
-
-def _keys(runs: DataFrame, whole: DataFrame) -> DataFrame:
-    """Runs with their sort keys."""
-    r, w = runs.alias("r"), whole.alias("w")
-    tree = cut(
-        r.join(w, F.col("r.conv_id").eqNullSafe(F.col("w.conv_id")) & (F.col("r.p") == F.col("w.no")), "left").select("r.conv_id", "r.no", "r.p", "r.key", F.col("w.run").alias("up")), "tree"
-    )
-    done = tree.filter("p is null").select("conv_id", "no", "key")
-    todo = tree.filter("p is not null")
-    while todo.head(1):
-        t, d = todo.alias("t"), done.alias("d")
-        on = F.col("t.conv_id").eqNullSafe(F.col("d.conv_id")) & (F.col("t.up") == F.col("d.no"))
-        found = cut(
-            t.join(d, on).select("t.conv_id", "t.no", F.concat("d.key", F.array(-F.col("t.p"), F.col("t.no"))).alias("key")), "keys"
-        )
-        todo = cut(todo.join(found.select("conv_id", "no"), ["conv_id", "no"], "left_anti"), "todo")
-        done = done.unionByName(found)
-        if not found.head(1):
-            break
-    return cut(done, "run_keys")
+    runs = index.groupBy("conv_id", "i").agg(F.min("no").alias("run"), F.count(F.lit(1)).alias("size"), F.min_by("p", "no").alias("p"))
+    r, w = runs.alias("r"), index.alias("w")
+    up = r.join(w, (F.col("r.conv_id") == F.col("w.conv_id")) & (F.col("r.p") == F.col("w.no")) & (F.col("r.i") > 1), "left")
+    tree = cut(up.select("r.conv_id", "r.i", "r.run", "r.size", "r.p", F.col("w.i").alias("up")), "tree")
+    before = _walk(tree)
+    x, b = index.alias("x"), before.alias("b")
+    inner = x.join(b, (F.col("x.conv_id") == F.col("b.conv_id")) & (F.col("x.i") == F.col("b.i")))
+    return straight.unionByName(inner.select("x.uid", (F.col("b.before") + F.col("x.no") - F.col("b.run")).alias("position"), "x.reply_to", "x.n_linked"))
+
+
+def _walk(tree: DataFrame) -> DataFrame:
+    """(conv_id, i, run, before): messages that come before each run of ``tree`` (conv_id, i, run, size, p, up) in the walk that
+    enters a run, then its children by (-p, run), and leaves it.
+
+    Each run has two stops, 2 i when it is entered, which counts its messages, and 2 i + 1 when it is left. Every stop knows the
+    next one; in each round it adds what that one has summed up and takes over its next."""
+    children = Window.partitionBy("conv_id", "up").orderBy(F.desc("p"), "run")
+    sibling = F.when(F.col("up").isNotNull(), F.lead("i").over(children))
+    first = tree.filter("up is not null").groupBy("conv_id", "up").agg(F.min_by("i", F.struct(-F.col("p"), F.col("run"))).alias("child"))
+    t, c = tree.withColumn("sibling", sibling).alias("t"), first.alias("c")
+    both = t.join(c, (F.col("t.conv_id") == F.col("c.conv_id")) & (F.col("t.i") == F.col("c.up")), "left")
+    enter = both.select("t.conv_id", (2 * F.col("t.i")).alias("stop"), F.coalesce(2 * F.col("c.child"), 2 * F.col("t.i") + 1).alias("next"), F.col("t.size").alias("total"))
+    leave = both.select("t.conv_id", (2 * F.col("t.i") + 1).alias("stop"), F.coalesce(2 * F.col("t.sibling"), 2 * F.col("t.up") + 1).alias("next"), F.lit(0).cast("long").alias("total"))
+    stops = cut(enter.unionByName(leave), "stops")
+    while stops.filter("next is not null").head(1):
+        a, b = stops.alias("a"), stops.alias("b")
+        ahead = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.next") == F.col("b.stop")), "left")
+        after = cut(ahead.select("a.conv_id", "a.stop", F.col("b.next").alias("next"), (F.col("a.total") + F.coalesce("b.total", F.lit(0))).alias("total")), "stops")
+        drop(stops)
+        stops = after
+    # a stop's total counts from it to the end; the first run's is the whole conversation
+    whole = stops.filter("stop = 2").select("conv_id", F.col("total").alias("whole"))
+    at = stops.filter("stop % 2 = 0").join(whole, "conv_id").select("conv_id", (F.col("stop") / 2).cast("long").alias("i"), (F.col("whole") - F.col("total")).alias("before"))
+    return at.join(tree.select("conv_id", "i", "run"), ["conv_id", "i"])
+
+
+def assembled(messages: DataFrame, turns: int = 256) -> DataFrame:
+    """(conv_id, part, n_turns, chat): conversations of :func:`chat`'s rows, without quotes and in order of replies, as texts of
+    ``turns`` messages each, so that a conversation of any length is no single row."""
+    part = F.floor(F.col("position") / turns).alias("part")
+    said = F.array_sort(F.collect_list(F.struct("position", "chat")))
+    return messages.groupBy("conv_id", part).agg(F.count(F.lit(1)).alias("n_turns"), F.array_join(F.transform(said, lambda x: x["chat"]), "").alias("chat"))
 
 
 def op9_chat(spark, sf_dir: str) -> DataFrame:
