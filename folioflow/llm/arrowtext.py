@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _libc = None
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _PIECE = 1 << 18
@@ -105,7 +111,14 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def blocks(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def _trim() -> None:
+    """Give freed memory back: Python workers live on between tasks, and their executor's memory is shared."""
+    pa.default_memory_pool().release_unused()
+    if _libc:
+        _libc.malloc_trim(0)
+
+
+def blocks(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Slices of the batch with some ``most`` bytes of text in each, or one longer text."""
     _, at = text_bytes(batch.column(column))
     i = 0
@@ -114,6 +127,7 @@ def blocks(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
         j = min(j, batch.num_rows)
         yield batch.slice(i, j - i)
         i = j
+    _trim()
 
 
 def repeated(keys: np.ndarray) -> np.ndarray:
@@ -127,19 +141,36 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     return same[p] == keys
 
 
+class Rolling:
+    """Hashes of windows of ids, of any lengths, from one pass of prefix sums: a window's hash is the difference of two
+    sums of id * base**place, moved back to place 0, so it rolls on by one subtraction and one product, whatever its length."""
+
+    def __init__(self, ids: np.ndarray, first: np.ndarray, longest: int):
+        self.n, self.first, self.pieces = len(ids), first, []
+        for s in range(0, len(ids), _PIECE):  # each with the ids that its last windows reach into
+            part = ids[s : s + _PIECE + longest]
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(part * powers(_PIECE + longest + 1)[0][: len(part)], out=sums[1:])
+            self.pieces.append((s, sums))
+
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all windows of ``n`` ids that lie within one text, and where they start."""
+        total = self.n - n + 1
+        if total <= 0:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        h = np.empty(total, np.uint64)
+        for s, sums in self.pieces:
+            m = min(_PIECE, total - s)
+            if m > 0:
+                h[s : s + m] = (sums[n : n + m] - sums[:m]) * powers(m)[1]
+        ok = np.ones(total, bool)
+        for k in range(1, n):  # a text that starts at p forbids the windows p-n+1 .. p-1
+            cut = self.first[1:-1] - k
+            ok[cut[(cut >= 0) & (cut < total)]] = False
+        at = np.flatnonzero(ok)
+        return mix(h[at]), at
+
+
 def windows(ids: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of ``n`` ids that lie within one text, and where they start."""
-    total = len(ids) - n + 1
-    if total <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.zeros(total, np.uint64)
-    step = np.uint64(0xD6E8FEB86659FD93)
-    for k in range(n):
-        h *= step
-        h += ids[k : k + total]
-    ok = np.ones(total, bool)
-    for k in range(1, n):  # a text that starts at p forbids the windows p-n+1 .. p-1
-        cut = first[1:-1] - k
-        ok[cut[(cut >= 0) & (cut < total)]] = False
-    at = np.flatnonzero(ok)
-    return mix(h[at]), at
+    return Rolling(ids, first, n).windows(n)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .arrowtext import Batch, blocks, hash_spans, repeated, windows
+from .arrowtext import Batch, Rolling, blocks, hash_spans, repeated
 from .common import fresh
 
 
@@ -41,8 +41,8 @@ def _per_text(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
 def measure(texts: pa.Array, lengths: tuple[int, ...]) -> dict[str, np.ndarray]:
     """Counts for each text: the base columns, chars_in_<n> for each n-gram length, dup_line_chars.
 
-    Word hashes are prefix hashes over bytes; n-gram hashes roll over word hashes; the index of the
-    text is mixed into each, so that one sort finds what repeats within a text for a whole batch.
+    Word hashes are prefix hashes over bytes; n-gram hashes of all lengths roll over the word hashes from one pass of prefix
+    sums; the index of the text is mixed into each, so that one sort finds what repeats within a text for a whole batch.
     """
     b = Batch(texts)
     n = len(b.at) - 1
@@ -56,13 +56,13 @@ def measure(texts: pa.Array, lengths: tuple[int, ...]) -> dict[str, np.ndarray]:
         "n_symbols": _per_text(_SYMBOL[b.data], b.at),
     }
 
+    rolling = Rolling(words, b.first, max(8, *lengths) if lengths else 8)
+
     def covered(length: int) -> np.ndarray:
         """Flags of the words that lie in a window of ``length`` found twice or more in its text."""
-        keys, at = windows(words, b.first, length)
-        edge = np.zeros(len(words) + 1, np.int32)
+        keys, at = rolling.windows(length)
         again = at[repeated(keys ^ owner[at])]
-        np.add.at(edge, again, 1)
-        np.add.at(edge, again + length, -1)
+        edge = np.bincount(again, minlength=len(words) + 1) - np.bincount(again + length, minlength=len(words) + 1)
         return np.cumsum(edge[:-1]) > 0
 
     flags = {k: covered(k) for k in {8, *lengths}}

@@ -42,7 +42,7 @@ _INDEX, _KEY = struct.Struct("<QII"), struct.Struct(">BQQI")
 #: Bytes of ids in a shard file.
 SHARD_BYTES = 256 << 20
 #: Pieces of text that a Python worker remembers, in two generations.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 240_000
 
 
 def key_of(doc_id: int | None, text_hash: int = 0, ordinal: int = 0) -> bytes:
