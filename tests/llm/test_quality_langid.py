@@ -1,5 +1,8 @@
+import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from folioflow.llm import langid, quality
@@ -76,3 +79,38 @@ def test_language_accuracy_on_the_tables(spark):
         pytest.skip("no tables")
     got = langid.op4_language(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.95 * len(got)
+
+
+def grams(text, longest=4):
+    """The text as bytes of lower-case letters and blanks, and all its n-grams."""
+    data = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in text.encode())
+    return {data[i : i + n] for n in range(1, longest + 1) for i in range(len(data) - n + 1)}
+
+
+def test_language_model_equals_the_exact_kernel():
+    rng = random.Random(3)
+    stock = {"aa": "the cat dog with this and that".split(), "bb": "le chat chien avec cette chose et".split(), "cc": "der hund und katze mit diese \u00fcber".split()}
+    train = [(" ".join(rng.choices(stock[c], k=12)), c) for c in stock for _ in range(20)]
+    test = [" ".join(rng.choices(stock[c], k=9)) for c in stock for _ in range(10)] + ["le hund and chat", "xyz"]
+    k = langid.Kernel(width=1 << 18)  # no two n-grams share a place, nearly
+    model = langid.Model(langid.presence(pa.array([t for t, _ in train]), k)[0], [c for _, c in train], k)
+    kernel = lambda x, y: len(grams(x) & grams(y)) / np.sqrt(len(grams(x)) * len(grams(y)))
+    # as many landmarks as rows: ridge regression in their space is kernel ridge regression
+    full = np.array([[kernel(x, y) for y, _ in train] for x, _ in train])
+    names = sorted(stock)
+    y = np.array([[1.0 if c == n else -1.0 for n in names] for _, c in train])
+    alpha = np.linalg.solve(full + k.ridge * len(train) * np.eye(len(train)), y - y.mean(axis=0))
+    margins = np.array([[kernel(x, t) for t, _ in train] for x in test]) @ alpha + y.mean(axis=0)
+    got, score = model.predict(pa.array(test))
+    assert got == [names[i] for i in margins.argmax(axis=1)]
+    assert np.allclose(score, np.clip((margins.max(axis=1) + 1) / 2, 0, 1), atol=2e-3)
+
+
+def test_language_sample_is_bounded_and_covers_all_labels(spark, monkeypatch):
+    rows = [(None if i % 2 else 7, f"same words {i % 3}" if i % 5 else "one text", f"l{i % 9:02d}", "s", 1) for i in range(4000)]
+    seen = []
+    init = langid.Model.__init__
+    monkeypatch.setattr(langid.Model, "__init__", lambda self, flags, labels, k: seen.append(Counter(labels)) or init(self, flags, labels, k))
+    langid.learn(H.frame(spark, rows), langid.Kernel(sample=90))
+    langid.learn(H.frame(spark, rows), langid.Kernel(sample=90, languages=3))
+    assert len(seen[0]) == 9 and max(seen[0].values()) <= 10 and len(seen[1]) == 3 and sum(seen[1].values()) <= 90

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from folioflow.llm import mixing, sharding, tokenfiles
 from folioflow.llm.common import shared_path
@@ -160,6 +161,21 @@ def test_shuffle_lays_rows_evenly(spark):
     assert moved != sorted(moved)
 
 
+def test_shuffle_deals_many_equal_rows_and_keeps_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "EQUAL_ROWS", 50)
+    rows = [(None, None, None, None, None)] * 700 + [(i, f"t{i}", None, None, None) for i in range(100)]
+    df = H.frame(spark, rows).withColumn("shard", F.lit("own")).withColumn("Slot", F.lit(-1))
+    out = sharding.two_pass_shuffle(df, sharding.size_of(F.col("text")), [F.col("doc_id"), F.xxhash64("text")])
+    assert out.columns == [*df.columns, "_shard", "_slot"]
+    got = out.collect()
+    assert Counter((r["doc_id"], r["text"], r["shard"], r["Slot"]) for r in got) == Counter((*r[:2], "own", -1) for r in rows)
+    by = Counter(r["_shard"] for r in got)
+    assert sorted(by) == list(range(40)) and set(by.values()) == {20}
+    assert {(r["_shard"], r["_slot"]) for r in got} == {(s, n) for s in range(40) for n in range(20)}
+    # the equal rows don't stand together, as those of one bucket would
+    assert all(any(r["doc_id"] is not None for r in got if r["_shard"] in (s, s + 1, s + 2)) for s in range(0, 36, 3))
+
+
 def test_shards_of_few_rows(spark):
     from pyspark.sql import functions as F
 
