@@ -10,7 +10,7 @@ from . import query, table
 
 # a sheet for each 500 orders; a merge from each line item
 _MERGES = """m AS (SELECT (l_orderkey // 500)::BIGINT AS sheet, (l_orderkey * 10 + l_linenumber)::BIGINT AS ord, (l_partkey % 60)::BIGINT AS r1, (l_suppkey % 20)::BIGINT AS c1,
-  (l_partkey % 60 + l_linenumber % 3)::BIGINT AS r2, (l_suppkey % 20 + l_orderkey % 3)::BIGINT AS c2 FROM lineitem WHERE l_linenumber <= 2)"""
+  (l_partkey % 60 + l_linenumber % 3)::BIGINT AS r2, (l_suppkey % 20 + l_orderkey % 3)::BIGINT AS c2 FROM lineitem)"""
 _CELLS = """k AS (SELECT (o_orderkey // 500)::BIGINT AS sheet, (o_custkey % 60)::BIGINT AS row, (o_orderkey % 20)::BIGINT AS col, max(o_orderkey)::VARCHAR AS value FROM orders GROUP BY 1, 2, 3)"""
 _COVER = "x AS (SELECT sheet, ord, unnest(range(r1, r2 + 1)) AS row, r1, c1, c2 FROM m), y AS (SELECT sheet, ord, row, unnest(range(c1, c2 + 1)) AS col, r1, c1 FROM x)"
 # rows and columns of each sheet with sizes and some hidden
@@ -18,7 +18,7 @@ _AXIS = "a AS (SELECT (p_partkey // 40)::BIGINT AS sheet, (p_partkey % 40)::BIGI
 
 
 def merges(spark, d):
-    li, n = table(spark, d, "lineitem").filter("l_linenumber <= 2"), F.col
+    li, n = table(spark, d, "lineitem"), F.col
     return li.select(
         F.floor(n("l_orderkey") / 500).alias("sheet"), (n("l_orderkey") * 10 + n("l_linenumber")).alias("ord"), (n("l_partkey") % 60).alias("r1"), (n("l_suppkey") % 20).alias("c1"),
         (n("l_partkey") % 60 + n("l_linenumber") % 3).alias("r2"), (n("l_suppkey") % 20 + n("l_orderkey") % 3).alias("c2"),
@@ -48,14 +48,12 @@ def q_anchor_in_merge(spark, d):
 
 
 @query(f"""WITH {_AXIS}, s AS (SELECT sheet, sheet AS ord, 0 AS r1, sheet % 7 AS r2, 3 + sheet % 5 AS c1, 6 + sheet % 9 AS c2 FROM (SELECT DISTINCT sheet FROM a))
-SELECT s.sheet, s.ord, greatest(1, (SELECT count(*) FROM a WHERE a.sheet = s.sheet AND a.i BETWEEN r1 AND r2 AND NOT hidden))::BIGINT AS rowspan,
-  greatest(1, (SELECT count(*) FROM a WHERE a.sheet = s.sheet AND a.i BETWEEN c1 AND c2 AND NOT hidden))::BIGINT AS colspan
-FROM s WHERE 40 = (SELECT count(*) FROM a WHERE a.sheet = s.sheet)""")
+SELECT s.sheet, s.ord, greatest(1, r2 - r1 + 1 - (SELECT count(*) FROM a WHERE a.sheet = s.sheet AND a.i BETWEEN r1 AND r2 AND hidden))::BIGINT AS rowspan,
+  greatest(1, c2 - c1 + 1 - (SELECT count(*) FROM a WHERE a.sheet = s.sheet AND a.i BETWEEN c1 AND c2 AND hidden))::BIGINT AS colspan FROM s""")
 def q_span_count(spark, d):
     """AGG16: visible rows and columns of a merge."""
     a = axis(spark, d)
-    whole = a.groupBy("sheet").count().filter("count = 40").select("sheet")
-    s = whole.select("sheet", F.col("sheet").alias("ord"), F.lit(0).cast("long").alias("r1"), (F.col("sheet") % 7).alias("r2"), (F.col("sheet") % 5 + 3).alias("c1"), (F.col("sheet") % 9 + 6).alias("c2"))
+    s = a.select("sheet").distinct().select("sheet", F.col("sheet").alias("ord"), F.lit(0).cast("long").alias("r1"), (F.col("sheet") % 7).alias("r2"), (F.col("sheet") % 5 + 3).alias("c1"), (F.col("sheet") % 9 + 6).alias("c2"))
     return grid.spans(s, a, a, ["sheet"])
 
 
@@ -84,15 +82,15 @@ def q_used_range(spark, d):
     return grid.used_range([cells(spark, d), m], ["sheet"])
 
 
-@query(f"""WITH {_CELLS}, c AS (SELECT sheet, row, col, CASE WHEN col > 12 OR row > 40 THEN ' ' ELSE value END AS value FROM k),
+@query(f"""WITH {_CELLS}, c AS (SELECT sheet, row, col, CASE WHEN col > 15 THEN chr(10) || chr(160) WHEN col > 12 OR row > 40 THEN ' ' ELSE value END AS value FROM k),
 e AS (SELECT sheet, 45 AS row, 3 AS col, sheet % 5 = 0 AS absolute FROM (SELECT DISTINCT sheet FROM k) WHERE sheet % 2 = 0),
-u AS (SELECT sheet, CASE WHEN trim(value) <> '' THEN row END AS row, CASE WHEN trim(value) <> '' THEN col END AS col, row AS ar, col AS ac, false AS ab FROM c
+u AS (SELECT sheet, CASE WHEN trim(value, ' ' || chr(10) || chr(160)) <> '' THEN row END AS row, CASE WHEN trim(value, ' ' || chr(10) || chr(160)) <> '' THEN col END AS col, row AS ar, col AS ac, false AS ab FROM c
   UNION ALL SELECT sheet, row, col, row, col, absolute FROM e)
 SELECT sheet, CASE WHEN bool_or(ab) THEN max(ar) ELSE max(row) END::BIGINT AS last_row, CASE WHEN bool_or(ab) THEN max(ac) ELSE max(col) END::BIGINT AS last_col, NOT bool_or(ab) AS trimmed FROM u GROUP BY 1""")
 def q_trim_tail(spark, d):
-    """AGG02, LAY05: the range without blank rows and columns at its end."""
+    """AGG02: the range without blank rows and columns at its end; blanks of every kind."""
     k = cells(spark, d)
-    c = k.withColumn("value", F.when((F.col("col") > 12) | (F.col("row") > 40), " ").otherwise(F.col("value")))
+    c = k.withColumn("value", F.when(F.col("col") > 15, "\n\u00a0").when((F.col("col") > 12) | (F.col("row") > 40), " ").otherwise(F.col("value")))
     e = k.select("sheet").distinct().filter("sheet % 2 = 0").select("sheet", F.lit(45).cast("long").alias("row"), F.lit(3).cast("long").alias("col"), (F.col("sheet") % 5 == 0).alias("absolute"))
     return grid.trimmed_range(c, e, ["sheet"])
 
@@ -106,18 +104,20 @@ def q_full_grid(spark, d):
 
 
 @query("""
-WITH b AS (SELECT 'style ' || n_name AS bn FROM nation WHERE n_nationkey = 0)
-SELECT c_custkey AS xf, coalesce('style ' || n.n_name, (SELECT bn FROM b)) AS font, r_name AS fill, s_name AS border FROM customer
-LEFT JOIN nation n ON n.n_nationkey = c_custkey % 30 LEFT JOIN region ON r_regionkey = c_custkey % 7 LEFT JOIN supplier ON s_suppkey = c_custkey % 13
+SELECT c_custkey AS xf, c_nationkey % 2 AS book, CASE WHEN c_nationkey % 2 = 0 THEN coalesce('style ' || n.n_name, 'style ' || b.n_name) WHEN n.n_nationkey > 0 THEN 'other ' || n.n_name END AS font, r_name AS fill, s_name AS border FROM customer
+LEFT JOIN nation n ON n.n_nationkey = c_custkey % 30 LEFT JOIN nation b ON b.n_nationkey = 0 LEFT JOIN region ON r_regionkey = c_custkey % 7 LEFT JOIN supplier ON s_suppkey = c_custkey % 13
 """)
 def q_style_cascade(spark, d):
-    """JON06: a format's font (or the first font), fill and border by position."""
+    """JON06: a format's font (or its workbook's first font, if there is one), fill and border by position, in two workbooks."""
     c = F.col("c_custkey")
-    xfs = table(spark, d, "customer").select(c.alias("xf"), (c % 30).alias("font_id"), (c % 7).alias("fill_id"), (c % 13).alias("border_id"))
-    fonts = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("font_id"), F.concat(F.lit("style "), "n_name").alias("font"))
+    book = F.col("c_nationkey") % 2
+    xfs = table(spark, d, "customer").select(c.alias("xf"), book.alias("book"), (c % 30).alias("font_id"), (c % 7).alias("fill_id"), (c % 13).alias("border_id"))
+    n, books = table(spark, d, "nation"), lambda t: t.withColumn("book", F.explode(F.array(F.lit(0), F.lit(1))))
+    fonts = books(n.select(F.col("n_nationkey").cast("long").alias("font_id"), "n_name")).filter("book = 0 or font_id > 0")  # the second has no first font
+    fonts = fonts.select("book", "font_id", F.concat(F.when(F.col("book") == 0, "style ").otherwise("other "), "n_name").alias("font"))
     fills = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("fill_id"), F.col("r_name").alias("fill"))
     borders = table(spark, d, "supplier").select(F.col("s_suppkey").alias("border_id"), F.col("s_name").alias("border"))
-    return grid.style_of(xfs, fonts, fills, borders).select("xf", "font", "fill", "border")
+    return grid.style_of(xfs, fonts, books(fills), books(borders), ["book"]).select("xf", "book", "font", "fill", "border")
 
 
 @query("""
@@ -137,7 +137,7 @@ SELECT p_partkey, trunc(((256 * (p_size + 0.43) + 18) / 256) * 7)::BIGINT AS col
   floor((-p_size / 4.0::DOUBLE) + 0.5)::BIGINT AS half, p_size::DOUBLE AS lead FROM part
 """)
 def q_units(spark, d):
-    """NUM03, NUM04, NUM08, NUM11."""
+    """NUM03, NUM04, NUM11."""
     s = F.col("p_size").cast("double")
     return table(spark, d, "part").select(
         "p_partkey", N.column_px(s + 0.43, F.lit(7)).alias("col_px"), N.points_px(s).alias("row_px"), N.emu_px(F.col("p_retailprice") * 1000).alias("emu_px"),

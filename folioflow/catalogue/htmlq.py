@@ -136,7 +136,7 @@ def q_magic_sniff(spark, d):
 
 @query(name="q_sanitize")
 def q_sanitize(spark, d):
-    """FLT03-09: sanitised pages. Tree repair is beyond SQL; tested by properties."""
+    """FLT03-09: sanitised pages. Tree repair of any page is beyond SQL; q_sanitize_made has pages whose result is known."""
     from ..sources.html import sanitize
 
     return sanitize(table(spark, d, "pages"), "page_id", "html").select("page_id", F.length("html").cast("long").alias("n_chars"), F.crc32(F.col("html").cast("binary")).alias("crc"))
@@ -159,6 +159,58 @@ def q_translate_html(spark, d):
     return out.select("doc_id", "n_batches", "doc_failed", F.length("html").cast("long").alias("n_chars"))
 
 
+def _made(spark, d, html):
+    """A page for each nation."""
+    return table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), html.alias("html"))
+
+
+@query("""SELECT n_nationkey::BIGINT AS doc_id, '<p class="k" style="color: red">' || n_name || '<b>c</b></p><a rel="noopener noreferrer">z</a><img alt="i"><style>.a{top:1px}</style><ul><li>1</li><li>2</li></ul>' AS html FROM nation""")
+def q_sanitize_made(spark, d):
+    """FLT03-09: attributes, styles, links, unwrapped and dropped elements, open and overlapping tags."""
+    from ..sources.html import sanitize
+
+    head = F.lit('<form onsubmit=x><p onclick="y" class="k" style="color: red; foo:1; background:url(x)">')
+    tail = F.lit('<b>c</form><script>alert(1)</script><a href="javascript:1" target="_top">z</a><svg><p>x</p></svg><!-- c --><img src="http://a/x.png" alt="i"><style>/* c */.a{top:1px}.b{behavior:y}</style><ul><li>1<li>2</ul>')
+    return sanitize(_made(spark, d, F.concat(head, "n_name", tail)), "doc_id", "html")
+
+
+@query("""
+WITH v(idx, parent, depth, node_type, tag, text, in_skip) AS (VALUES (0, -1, 0, 'element', 'p', NULL, false), (1, 0, 1, 'text', NULL, '@ & ', false), (2, 0, 1, 'element', 'b', NULL, false),
+  (3, 2, 2, 'text', NULL, 'x&copy;', false), (4, -1, 0, 'element', 'pre', NULL, false), (5, 4, 1, 'text', NULL, '1', true), (6, 4, 1, 'element', 'i', NULL, true), (7, 6, 2, 'text', NULL, '2', true), (8, -1, 0, 'text', NULL, ' end', false))
+SELECT n_nationkey::BIGINT AS doc_id, idx::BIGINT AS idx, parent::BIGINT AS parent, depth, node_type, tag, replace(text, '@', n_name) AS text, in_skip FROM nation, v
+""")
+def q_nodes_made(spark, d):
+    """FLT01, WIN08, STR04, BLD: nodes in document order; entities are decoded once, six of them by name."""
+    from ..sources.html import nodes
+
+    page = F.concat(F.lit("<p>"), "n_name", F.lit(" &amp; <b>x&copy;</b></p><pre>&#49;<i>2</i></pre> end"))
+    return nodes(_made(spark, d, page), "doc_id", "html").drop("attrs")
+
+
+@query("""
+SELECT n_nationkey::BIGINT AS doc_id, CASE WHEN n_nationkey % 3 = 0 THEN '<p>2024-01-01</p>' ELSE '<p> 【JA】 ' || n_name || ' &amp; co </p><pre>code</pre>12<b>【JA】x</b>' END AS html,
+  (n_nationkey % 3 <> 0)::BIGINT AS n_batches, 0::BIGINT AS n_failed, false AS doc_failed, NULL::VARCHAR AS first_error FROM nation
+""")
+def q_translate_made(spark, d):
+    """UDF06, AGG17, FLT13: text nodes translated in place; a page without any comes back as it is."""
+    from ..plans.translate import translate_html
+
+    page = F.concat(F.lit("<p> "), "n_name", F.lit(" &amp; co </p><pre>code</pre>12<b>x</b>"))
+    return translate_html(_made(spark, d, F.when(F.col("n_nationkey") % 3 == 0, "<p>2024-01-01</p>").otherwise(page)), "ja")
+
+
+@query("""
+SELECT n_nationkey::BIGINT AS doc_id, '<h1>' || n_name || '</h1><ul><li>a</li><li><strong>b</strong></li></ul><ol><li>c</li></ol><p>text ' || n_name || '<br/>----</p><hr/><pre><code>&lt;x&gt;' || chr(10) || '# no</code></pre>'
+  || '<table class="doc-datatable"><thead><tr><th>a</th><th>b</th></tr></thead><tbody><tr><td>1</td><td>2</td></tr></tbody></table><blockquote>q</blockquote><h2>全角</h2>' AS html FROM nation
+""")
+def q_markdown_made(spark, d):
+    """SRC19, STR11-14, WIN04, WIN06-07: blocks of every kind."""
+    from ..sources.markdown import markdown_html
+
+    text = F.concat(F.lit("# "), "n_name", F.lit("\n\n- a\n* **b**\n1. c\ntext "), "n_name", F.lit("\n----\n\n- - -\n```\n<x>\n# no\n```\n|a|b|\n|-|:-|\n|1|2|\n> q\n##\u3000全角"))
+    return markdown_html(_made(spark, d, text).withColumnRenamed("html", "text"), "doc_id", "text")
+
+
 @query(name="q_markdown_html")
 def q_markdown_html(spark, d):
     """SRC19: Markdown to HTML; the line machine is beyond SQL, its rules are queried above."""

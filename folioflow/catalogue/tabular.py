@@ -82,17 +82,84 @@ def q_codepage(spark, d):
 
 
 @query("""
-WITH RECURSIVE n AS (SELECT p_partkey // 50 AS doc, p_partkey AS i, row_number() OVER (PARTITION BY p_partkey // 50 ORDER BY p_partkey) AS k, (p_size * 400)::BIGINT AS h FROM part),
+WITH RECURSIVE n AS (SELECT p_partkey // 50 AS doc, p_partkey AS i, row_number() OVER (PARTITION BY p_partkey // 50 ORDER BY p_partkey) AS k, (CASE WHEN p_size % 5 = 0 THEN 0 WHEN p_size % 9 = 0 THEN 60000 ELSE p_size * 400 END)::BIGINT AS h FROM part),
 r AS (SELECT doc, k, i, h AS t, 0 AS chunk FROM n WHERE k = 1 UNION ALL
-  SELECT n.doc, n.k, n.i, CASE WHEN r.t + n.h > 50000 THEN n.h ELSE r.t + n.h END, CASE WHEN r.t + n.h > 50000 THEN r.chunk + 1 ELSE r.chunk END FROM r JOIN n ON n.doc = r.doc AND n.k = r.k + 1)
+  SELECT n.doc, n.k, n.i, CASE WHEN r.t > 0 AND r.t + n.h > 50000 THEN n.h ELSE r.t + n.h END, CASE WHEN r.t > 0 AND r.t + n.h > 50000 THEN r.chunk + 1 ELSE r.chunk END FROM r JOIN n ON n.doc = r.doc AND n.k = r.k + 1)
 SELECT doc::BIGINT AS doc, i, chunk::BIGINT AS chunk FROM r
 """)
 def q_chunks(spark, d):
-    """AGG09, AGG10, LAY06: blocks or table rows in chunks of bounded height."""
-    p = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 50).alias("doc"), F.col("p_partkey").alias("i"), (F.col("p_size") * 400).cast("long").alias("height"))
+    """AGG10: blocks in chunks of bounded height; some have none, some are taller than a chunk."""
+    size = F.col("p_size")
+    height = F.when(size % 5 == 0, 0).when(size % 9 == 0, 60_000).otherwise(size * 400)
+    p = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 50).alias("doc"), F.col("p_partkey").alias("i"), height.cast("long").alias("height"))
     return layout.height_chunks(p, ["doc"], ["i"]).select("doc", "i", "chunk")
 
 
+@query("""
+WITH RECURSIVE n AS (SELECT p_partkey // 50 AS tab, p_partkey AS i, row_number() OVER (PARTITION BY p_partkey // 50 ORDER BY p_partkey) AS k,
+  (CASE WHEN p_size % 5 = 0 THEN 20 ELSE p_size * 300 END)::BIGINT AS h, (CASE WHEN (p_partkey // 50) % 3 = 0 THEN 50000 ELSE 120000 END) AS whole FROM part),
+r AS (SELECT tab, k, i, h AS t, 0 AS grp, whole FROM n WHERE k = 1 UNION ALL
+  SELECT n.tab, n.k, n.i, CASE WHEN r.t + n.h > 50000 THEN n.h ELSE r.t + n.h END, CASE WHEN r.t + n.h > 50000 THEN r.grp + 1 ELSE r.grp END, n.whole FROM r JOIN n ON n.tab = r.tab AND n.k = r.k + 1)
+SELECT tab::BIGINT AS tab, i, CASE WHEN whole > 50000 THEN grp ELSE 0 END::BIGINT AS "group", whole > 100000 AS chunked FROM r
+""")
+def q_row_groups(spark, d):
+    """AGG09, LAY06: rows of tall tables in groups; a row without height counts 20. Whether a document is printed in chunks."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    tab = F.floor(key / 50)
+    height = F.when(size % 5 == 0, 0).otherwise(size * 300).cast("long")
+    p = table(spark, d, "part").select(tab.alias("tab"), key.alias("i"), height.alias("height"), F.when(tab % 3 == 0, 50_000).otherwise(120_000).alias("table_height"))
+    return layout.row_groups(p, ["tab"], ["i"]).select("tab", "i", "group", layout.in_chunks(F.col("table_height")).alias("chunked"))
+
+
+@query("""
+WITH r AS (SELECT o_custkey AS tab, o_orderkey AS i, o_orderkey % 4 = 0 AS has_text, o_orderkey % 9 = 0 AS has_img FROM orders),
+l AS (SELECT tab, max(i) FILTER (WHERE has_text OR has_img) AS last FROM r GROUP BY 1)
+SELECT r.tab, r.i FROM r JOIN l ON r.tab = l.tab AND r.i <= l.last
+""")
+def q_empty_tail(spark, d):
+    """LAY05: table rows without the empty ones at the end."""
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("tab"), k.alias("i"), F.when(k % 4 == 0, "x").when(k % 4 == 1, "\u00a0\n").alias("text"), F.when(k % 9 == 0, 1).otherwise(0).alias("n_images"))
+    return layout.without_empty_tail(rows, ["tab"], ["i"]).select("tab", "i")
+
+
+@query("SELECT p_size AS doc, ceil(max(p_retailprice))::BIGINT AS content_width FROM part GROUP BY 1")
+def q_widest(spark, d):
+    """AGG13: the widest element of a document."""
+    return layout.widest(table(spark, d, "part").select(F.col("p_size").alias("doc"), F.col("p_retailprice").alias("width")), ["doc"])
+
+
+@query("""
+WITH m AS (SELECT l_orderkey AS doc, list(l_returnflag || l_linenumber ORDER BY l_linenumber, l_returnflag) FILTER (WHERE l_linestatus = 'O') AS w FROM lineitem GROUP BY 1)
+SELECT doc, array_to_string(w[1:5], ';') AS warnings, coalesce(len(w), 0)::BIGINT AS n FROM m
+""")
+def q_first_warnings(spark, d):
+    """FLT15, LIM03: the messages of type warning, the first five of each document."""
+    li = table(spark, d, "lineitem")
+    m = li.groupBy(F.col("l_orderkey").alias("doc")).agg(F.collect_list(F.struct(F.col("l_linenumber").alias("i"), F.col("l_linestatus").alias("type"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("message"))).alias("m"))
+    some = votes.warnings_of(F.transform(F.array_sort("m"), lambda x: F.struct(F.when(x["type"] == "O", "warning").otherwise("info").alias("type"), x["message"].alias("message"))))
+    return m.select("doc", F.nullif(F.array_join(votes.first_warnings(some), ";"), F.lit("")).alias("warnings"), F.size(some).cast("long").alias("n"))
+
+
+@query("SELECT event_id, [200, 429, 404, 500, 503, 529, 401][event_id % 7 + 1] IN (429, 500, 503, 529) AS retry FROM events")
+def q_retryable(spark, d):
+    """FLT16: answers after which a call is tried again."""
+    status = F.element_at(F.array(*map(F.lit, (200, 429, 404, 500, 503, 529, 401))), (F.col("event_id") % 7 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", votes.retryable(status).alias("retry"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN text IS NULL OR text = '' OR doc_id % 4 = 0 THEN 'no text' END AS error FROM documents
+""")
+def q_required(spark, d):
+    """FLT12: rows without a required field are rejected with a message."""
+    from ..plans.importing import required
+
+    docs = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 8 == 0, "").when(F.col("doc_id") % 4 != 0, F.col("text")).alias("text"))
+    good, bad = required(docs, "text")
+    return good.select("doc_id", F.lit(None).cast("string").alias("error")).unionByName(bad.select("doc_id", "error"))
+
+
 @query("""
 WITH o AS (SELECT p_partkey, ['A4', 'A3', 'A5', 'Letter', 'B5'][p_partkey % 5 + 1] AS pg, ['normal', 'narrow', 'wide', 'x'][p_partkey % 4 + 1] AS mg, p_retailprice AS w, p_size / 25.0::DOUBLE AS sc FROM part),
 v AS (SELECT p_partkey, CASE WHEN pg <> 'B5' THEN pg END AS page, CASE WHEN mg <> 'x' THEN mg END AS margin, CASE WHEN sc BETWEEN 0.5 AND 1.5 AND sc <> 1 THEN sc END AS scale, w FROM o),
@@ -129,7 +196,7 @@ WITH c AS (SELECT source, count(*) FILTER (WHERE quality = 0) AS poor, count(*)
 SELECT source, array_to_string(list_filter([CASE WHEN poor > 0 THEN 'poor:' || poor END, CASE WHEN toxic > 0 THEN 'toxic:' || toxic END, CASE WHEN unlabelled > 0 THEN 'unlabelled:' || unlabelled END], lambda x: x IS NOT NULL), ';') AS warnings FROM c
 """)
 def q_warning_counts(spark, d):
-    """AGG03, FLT10, FLT15: counters become warnings in a fixed order, if above 0."""
+    """AGG03: counters become warnings in a fixed order, if above 0."""
     j = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").withColumnRenamed("doc_id", "lid"), F.col("doc_id") == F.col("lid"), "left")
     c = j.groupBy("source").agg(F.count_if(F.col("quality") == 0).alias("poor"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("lid").isNull()).alias("unlabelled"))
     return c.select("source", F.array_join(votes.warning_list([("poor", "poor"), ("toxic", "toxic"), ("unlabelled", "unlabelled")]), ";").alias("warnings"))
@@ -137,7 +204,7 @@ def q_warning_counts(spark, d):
 
 @query("SELECT event_id, user_id, left(props, 300) AS props FROM events WHERE event_type = (SELECT min(event_type) FROM events) ORDER BY ts DESC, event_id DESC LIMIT 20")
 def q_last_errors(spark, d):
-    """LIM01, LIM05, FLT16: the last twenty, newest first; a limit that is the feature."""
+    """LIM01, LIM05: the last twenty, newest first; a limit that is the feature."""
     e = table(spark, d, "events")
     kind = e.agg(F.min("event_type").alias("k"))
     return e.join(F.broadcast(kind), F.col("event_type") == F.col("k")).orderBy(F.desc("ts"), F.desc("event_id")).limit(20).select("event_id", "user_id", F.left("props", F.lit(300)).alias("props"))
@@ -182,23 +249,22 @@ def q_rel_lookup(spark, d):
 
 
 @query("""
-SELECT c_custkey, 'ppt/slides/slide' || c_custkey || '.xml' AS name, row_number() OVER (ORDER BY c_custkey)::BIGINT AS place FROM (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50)
+SELECT c_custkey, 'ppt/slides/slide' || c_custkey || '.xml' AS name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)::BIGINT AS place FROM customer
 """)
 def q_slide_files(spark, d):
-    """SRT02: slide files sort by their number; here the fifty customers of highest balance."""
+    """SRT02: slide files of a package sort by their number; a package for each nation."""
     from pyspark.sql import Window
 
-    top = table(spark, d, "customer").orderBy(F.desc("c_acctbal"), "c_custkey").limit(50)
-    named = top.select("c_custkey", F.concat(F.lit("ppt/slides/slide"), F.col("c_custkey").cast("string"), F.lit(".xml")).alias("name"))
+    named = table(spark, d, "customer").select("c_nationkey", "c_custkey", F.concat(F.lit("ppt/slides/slide"), F.col("c_custkey").cast("string"), F.lit(".xml")).alias("name"))
     number = F.regexp_extract("name", r"(\d+)\.xml$", 1).cast("int")
-    return named.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(number)).cast("long"))
+    return named.withColumn("place", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(number)).cast("long")).drop("c_nationkey")
 
 
 @query("""
-SELECT doc_id, trim(replace(regexp_replace(CASE WHEN doc_id % 3 = 0 THEN '<p>&nbsp; </p>' ELSE '<p>' || left(text, 50) || '</p>' END, '<[^>]+>', '', 'g'), '&nbsp;', ' '), ' ' || chr(10)) <> '' AS visible,
+SELECT doc_id, trim(replace(regexp_replace(CASE WHEN doc_id % 3 = 0 THEN '<p>&nbsp; </p>' ELSE '<p>' || text || '</p>' END, '<[^>]+>', '', 'g'), '&nbsp;', ' '), ' ' || chr(10)) <> '' AS visible,
   length(text) <= 3500000 AS fits FROM documents
 """)
 def q_visible_draft(spark, d):
-    """FLT12, FLT14, SNK07, LIM04: drafts with something to see and within the limit."""
-    html = F.when(F.col("doc_id") % 3 == 0, F.lit("<p>&nbsp; </p>")).otherwise(F.concat(F.lit("<p>"), F.left("text", F.lit(50)), F.lit("</p>")))
+    """FLT14, SNK07, LIM04: drafts with something to see and within the limit."""
+    html = F.when(F.col("doc_id") % 3 == 0, F.lit("<p>&nbsp; </p>")).otherwise(F.concat(F.lit("<p>"), "text", F.lit("</p>")))
     return table(spark, d, "documents").select("doc_id", X.visible(html).alias("visible"), (X.utf16_length(F.col("text")) <= 3_500_000).alias("fits"))

@@ -94,3 +94,44 @@ FONT_FALLBACKS = "'Noto Sans', 'Noto Sans CJK JP', sans-serif"
 PAGES = {"A4": (210.0, 297.0), "A3": (297.0, 420.0), "A5": (148.0, 210.0), "Letter": (215.9, 279.4)}
 MARGINS = {"normal": (14.0, 12.0), "narrow": (6.0, 6.0), "wide": (22.0, 20.0)}
 IMAGE_MIMES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "webp": "image/webp"}
+
+# --- fixed values: Markdown. Inline marks in their order, with $n for groups; line forms in their order; blanks are those of any script
+MD_INLINE = (
+    ("`([^`]+)`", "<code>$1</code>"),
+    (r"(?i)!\[([^\]]*)\]\((data:image/[a-z]+;base64,[A-Za-z0-9+/=]+)\)", '<img alt="$1" src="$2"/>'),
+    (r"\[([^\]]+)\]\((https?://[^\s)]+)\)", '<a href="$2" target="_blank">$1</a>'),
+    (r"\*\*([^*]+)\*\*", "<strong>$1</strong>"),
+    (r"(^|[^*])\*([^*\n]+)\*", "$1<em>$2</em>"),
+    ("~~([^~]+)~~", "<s>$1</s>"),
+)
+MD_LINES = {
+    "heading": r"(#{1,6})\s+(.*)",
+    "hr": r"\s*([-*_])\s*\1\s*\1\s*",
+    "quote": r">\s?(.*)",
+    "ul": r"\s*[-*+]\s+(.*)",
+    "ol": r"\s*[0-9]+[.)]\s+(.*)",
+}
+MD_SEPARATOR = r"\s*\|?[\s:-]*-[\s|:-]*"
+MD_FENCE = "```"
+
+# --- fixed values: what URLs and styles may hold
+SAFE_IMAGE = r"(?i)data:image/(?:png|jpe?g|gif|webp|bmp);base64,[a-z0-9+/=\s]+"
+SAFE_URL = r"(?i)(?:https?:|mailto:|tel:|#|/(?!/))"
+UNSAFE_VALUE = r"(?i)expression\s*\(|javascript:|url\s*\("
+UNSAFE_RULE = r"(?i)javascript:|expression\s*\(|url\s*\(|behavior\s*:|-moz-binding"
+
+# --- fixed values: entities that are decoded by name, and forms of API keys
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0"}
+KEY_FORMS = r"(AQ\.[A-Za-z0-9_.-]{20,}|AIza[A-Za-z0-9_-]{30,}|sk-ant-[A-Za-z0-9_-]{30,})"
+
+# --- fixed values: calls of services; chunks of a long print; warnings and stored errors
+CALLS_AT_ONCE, ATTEMPTS, RETRY_SECONDS = 3, 3, 2.5
+CHUNK_TRIGGER, CHUNK_PX, NO_HEIGHT_PX = 100_000, 50_000, 20
+MOST_WARNINGS = 5
+
+# --- fixed values: number formats of a spreadsheet by id, where the workbook has none of its own
+FORMATS = {
+    1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00", 12: "# ?/?", 13: "# ??/??", 14: "m/d/yy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy",
+    18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss", 22: "m/d/yy h:mm", 37: "#,##0 ;(#,##0)", 38: "#,##0 ;[Red](#,##0)", 39: "#,##0.00;(#,##0.00)",
+    40: "#,##0.00;[Red](#,##0.00)", 45: "mm:ss", 46: "[h]:mm:ss", 47: "mmss.0", 48: "##0.0E+0", 49: "@",
+}

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed import MAX_COLS, MAX_ROWS
+from ..functions.text import trim
 
 
 def merge_cells(merges: DataFrame, sheet: list[str]) -> DataFrame:
@@ -78,7 +79,7 @@ def used_range(sources: list[DataFrame], sheet: list[str]) -> DataFrame:
 def trimmed_range(cells: DataFrame, extents: DataFrame, sheet: list[str]) -> DataFrame:
     """(sheet, last_row, last_col, trimmed): last row and column with a value that isn't blank, extended by
     ``extents`` (sheet, row, col, absolute); an absolute extent forbids trimming. No content: nulls."""
-    v = F.trim(F.coalesce("value", F.lit(""))) != ""
+    v = trim(F.coalesce("value", F.lit(""))) != ""
     a = cells.select(*sheet, F.when(v, F.col("row")).alias("row"), F.when(v, F.col("col")).alias("col"), F.col("row").alias("all_row"), F.col("col").alias("all_col"), F.lit(False).alias("absolute"))
     b = extents.select(*sheet, "row", "col", F.col("row").alias("all_row"), F.col("col").alias("all_col"), "absolute")
     g = a.unionByName(b).groupBy(*sheet).agg(
@@ -88,18 +89,15 @@ def trimmed_range(cells: DataFrame, extents: DataFrame, sheet: list[str]) -> Dat
 
 
 def spans(merges: DataFrame, rows: DataFrame, cols: DataFrame, sheet: list[str]) -> DataFrame:
-    """(sheet, ord, rowspan, colspan): visible rows and columns of each merge, 1 at least. Counts of
-    visible lines up to each line make it two lookups a side instead of a range join."""
-
-    def upto(axis: DataFrame, name: str) -> DataFrame:
-        order = Window.partitionBy(*sheet).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return axis.select(*sheet, F.col("i").alias(name), F.sum(F.when(F.col("hidden"), 0).otherwise(1)).over(order).alias(f"n_{name}"), F.when(F.col("hidden"), 0).otherwise(1).alias(f"v_{name}"))
-
+    """(sheet, ord, rowspan, colspan): visible rows and columns of each merge, 1 at least. Lines that the sheet doesn't describe are
+    visible, so only hidden ones are looked up, by line."""
     m = merges
-    for axis, a, b in ((rows, "r1", "r2"), (cols, "c1", "c2")):
-        m = m.join(upto(axis, a), [*sheet, a], "left").join(upto(axis, b), [*sheet, b], "left")
-    count = lambda a, b: F.greatest(F.lit(1), F.coalesce(F.col(f"n_{b}") - F.col(f"n_{a}") + F.col(f"v_{a}"), F.lit(1))).cast("long")
-    return m.select(*sheet, "ord", count("r1", "r2").alias("rowspan"), count("c1", "c2").alias("colspan"))
+    for axis, a, b, limit in ((rows, "r1", "r2", MAX_ROWS), (cols, "c1", "c2", MAX_COLS)):
+        end = F.least(F.col(b), F.lit(limit - 1))
+        lines = merges.filter(F.col(a) <= end).select(*sheet, "ord", F.explode(F.sequence(F.col(a).cast("long"), end.cast("long"))).alias("i"))
+        gone = lines.join(axis.filter("hidden").select(*sheet, F.col("i").cast("long").alias("i")), [*sheet, "i"]).groupBy(*sheet, "ord").agg(F.count(F.lit(1)).alias(f"_{a}"))
+        m = m.join(gone, [*sheet, "ord"], "left").withColumn(f"_{a}", F.greatest(F.lit(1), end - F.col(a) + 1 - F.coalesce(f"_{a}", F.lit(0))).cast("long"))
+    return m.select(*sheet, "ord", F.col("_r1").alias("rowspan"), F.col("_c1").alias("colspan"))
 
 
 def full_grid(rows: DataFrame, cols: DataFrame, cells: DataFrame, sheet: list[str]) -> DataFrame:
@@ -110,10 +108,23 @@ def full_grid(rows: DataFrame, cols: DataFrame, cells: DataFrame, sheet: list[st
     return shown.join(wide, sheet).join(cells.select(*sheet, "row", "col", "value"), [*sheet, "row", "col"], "left").withColumn("value", F.coalesce("value", F.lit("")))
 
 
-def style_of(xfs: DataFrame, fonts: DataFrame, fills: DataFrame, borders: DataFrame) -> DataFrame:
-    """A cell format with its font (default: the first), fill and border by position. The three
-    tables are bounded by the format at 64 K styles a workbook."""
-    base = fonts.filter("font_id = 0").select([F.col(c).alias(f"base_{c}") for c in fonts.columns if c != "font_id"])
-    joined = xfs.join(fonts, "font_id", "left").join(fills, "fill_id", "left").join(borders, "border_id", "left").crossJoin(F.broadcast(base.limit(1)))
-    keep = [F.coalesce(c, f"base_{c}").alias(c) for c in fonts.columns if c != "font_id"]
-    return joined.select(*xfs.columns, *keep, *[c for c in fills.columns if c != "fill_id"], *[c for c in borders.columns if c != "border_id"])
+def style_of(xfs: DataFrame, fonts: DataFrame, fills: DataFrame, borders: DataFrame, book: list[str] | None = None) -> DataFrame:
+    """A cell format with its font (default: the first, if there is one), fill and border by position, within the workbook
+    ``book``. The format bounds the three tables at 64 K styles a workbook."""
+    book = book or []
+
+    def beside(left: DataFrame, right: DataFrame, key: str, given, prefix: str) -> DataFrame:
+        values = [c for c in right.columns if c != key and c not in book]
+        r = right.select(*[F.col(c).alias(f"_{c}") for c in (*book, key)], *[F.col(c).alias(f"{prefix}{c}") for c in values])
+        on = F.col(f"_{key}") == given
+        for c in book:
+            on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        return left.join(r, on, "left").drop(*[f"_{c}" for c in (*book, key)])
+
+    joined = xfs
+    for right, key in ((fonts, "font_id"), (fills, "fill_id"), (borders, "border_id")):
+        joined = beside(joined, right, key, F.col(key), "")
+    own = [c for c in fonts.columns if c != "font_id" and c not in book]
+    joined = beside(joined, fonts.filter("font_id = 0"), "font_id", F.lit(0), "base_")
+    others = [c for t, k in ((fills, "fill_id"), (borders, "border_id")) for c in t.columns if c != k and c not in book]
+    return joined.select(*xfs.columns, *[F.coalesce(c, f"base_{c}").alias(c) for c in own], *others)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..fixed import MARGINS, PAGES
+from ..fixed import CHUNK_PX, CHUNK_TRIGGER, MARGINS, NO_HEIGHT_PX, PAGES
 from ..functions.numbers import mm_px
+from ..functions.text import trim
 from .runs import greedy_batches
 
 
@@ -50,6 +51,33 @@ def n_pages(height: Column) -> Column:
     return F.ceil(height / 1050).cast("long")
 
 
-def height_chunks(blocks: DataFrame, keys: list[str], order: list[str], target: int = 50_000) -> DataFrame:
-    """Adds ``chunk``: blocks in order fill a chunk up to ``target`` pixels of ``height``."""
-    return greedy_batches(blocks, keys, order, "height", target, None, "chunk")
+def height_chunks(blocks: DataFrame, keys: list[str], order: list[str], target: int = CHUNK_PX) -> DataFrame:
+    """Adds ``chunk``: blocks in order fill a chunk up to ``target`` pixels of ``height``. A chunk without height
+    is never full, however many blocks it has."""
+    return greedy_batches(blocks, keys, order, "height", target, None, "chunk", sized=True)
+
+
+def row_groups(rows: DataFrame, table: list[str], order: list[str], target: int = CHUNK_PX) -> DataFrame:
+    """Adds ``group``: the rows of tables taller than ``target`` fill groups of up to ``target`` pixels, each of which becomes a
+    table with the head of the first; a row without height counts NO_HEIGHT_PX. Tables that fit, of one row, or that make
+    one group have group 0 alone. ``height`` is a row's, ``table_height`` the table's own."""
+    size = F.when(F.coalesce("height", F.lit(0)) == 0, NO_HEIGHT_PX).otherwise(F.col("height"))
+    grouped = greedy_batches(rows.withColumn("_size", size), table, order, "_size", target, None, "group").drop("_size")
+    return grouped.withColumn("group", F.when(F.col("table_height") > target, F.col("group")).otherwise(F.lit(0)).cast("long"))
+
+
+def in_chunks(height: Column) -> Column:
+    """Whether a document is printed in chunks."""
+    return F.coalesce(height > CHUNK_TRIGGER, F.lit(False))
+
+
+def without_empty_tail(rows: DataFrame, table: list[str], order: list[str]) -> DataFrame:
+    """Table rows (``text``, ``n_images``) up to the last of each table that has a text or an image."""
+    full = (trim(F.coalesce("text", F.lit(""))) != "") | (F.coalesce("n_images", F.lit(0)) > 0)
+    behind = Window.partitionBy(*table).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_full", F.max(full.cast("int")).over(behind)).filter("_full = 1").drop("_full")
+
+
+def widest(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, content_width): the widest box of a document in whole pixels."""
+    return boxes.groupBy(*keys).agg(F.ceil(F.max("width")).cast("long").alias("content_width"))

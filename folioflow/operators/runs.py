@@ -8,44 +8,57 @@ from pyspark.sql import functions as F
 from ..fixed import BATCH_CHARS, BATCH_ITEMS
 
 
+class Filling:
+    """Numbers of batches that items fill in order: a batch is full when it has ``count`` items, or when it
+    has something in it and the next item would take its size above ``most``. Something is an item, or, where ``sized``,
+    an item with a size."""
+
+    def __init__(self, most: int, count: int | None, sized: bool = False):
+        self.most, self.count, self.sized = most, count, sized
+        self.restart()
+
+    def restart(self) -> None:
+        self.batch = self.held = self.total = 0
+
+    def place(self, size: float) -> int:
+        begun = self.total > 0 if self.sized else self.held > 0
+        if (self.count is not None and self.held >= self.count) or (begun and self.total + size > self.most):
+            self.batch, self.held, self.total = self.batch + 1, 0, 0
+        self.held, self.total = self.held + 1, self.total + size
+        return self.batch
+
+
 def greedy_batches(
-    items: DataFrame, keys: list[str], order: list[str], size: str, most: int = BATCH_CHARS, count: int | None = BATCH_ITEMS, out: str = "batch_id"
+    items: DataFrame, keys: list[str], order: list[str], size: str, most: int = BATCH_CHARS, count: int | None = BATCH_ITEMS, out: str = "batch_id", sized: bool = False
 ) -> DataFrame:
     """Adds ``out``: items of a key in order fill a batch until it has ``count`` items or the next would
-    take its size above ``most``; an item larger than that has a batch of its own.
+    take its size above ``most``; an item larger than that has a batch of its own (:class:`Filling`).
 
     The sum starts again at each batch, which no window frame can say. One state per key is folded over
-    the key's rows in order, in a Python group that is streamed in Arrow batches: nothing grows with
-    the square of a document's items, and only sizes and numbers, not texts, go through.
+    the key's rows in order, in one shuffle whose rows stream through Python in Arrow batches; columns are passed on as they are.
+    Null keys are a key, rows with equal keys and order stay rows of their own, a null size counts 0.
     """
-    row = [*keys, *order]
-    schema = items.select(*row, size).schema
+    schema = items.schema
     names = [f.name for f in schema]
 
     def fold(batches):
         import pyarrow as pa
 
-        now, batch, held, total = None, 0, 0, 0
+        now, state = None, Filling(most, count, sized)
         for rb in batches:
             ids = []
-            cols = [rb.column(c).to_pylist() for c in (*keys, size)]
+            cols = [rb.column(names.index(c)).to_pylist() for c in (*keys, size)]
             for *key, n in zip(*cols, strict=True):
-                n = n or 0
                 if key != now:
-                    now, batch, held, total = key, 0, 0, 0
-                elif (count is not None and held >= count) or (held and total + n > most):
-                    batch, held, total = batch + 1, 0, 0
-                held, total = held + 1, total + n
-                ids.append(batch)
-            yield pa.RecordBatch.from_arrays([*[rb.column(c) for c in names], pa.array(ids, pa.int64())], [*names, out])
+                    now = key
+                    state.restart()
+                ids.append(state.place(n or 0))
+            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(ids, pa.int64())], [*names, out])
 
     import pyspark.sql.types as T
 
-    dealt = items.select(*row, size).repartition(*keys).sortWithinPartitions(*row)
-    numbered = dealt.mapInArrow(fold, T.StructType([*schema.fields, T.StructField(out, T.LongType())]))
-    if set(items.columns) == set(names):
-        return numbered
-    return items.join(numbered.drop(size), row)
+    dealt = items.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return dealt.mapInArrow(fold, T.StructType([*schema.fields, T.StructField(out, T.LongType())]))
 
 
 def islands(rows: DataFrame, keys: list[str], order: list[str], kind: Column, out: str = "run_id") -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed import MOST_WARNINGS, RETRYABLE
+
 
 def majority_color(samples: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, r, g, b, votes) of samples (keys, ord, r, g, b): score votes * 1000 + r + g + b, the
@@ -48,3 +50,17 @@ def batch_outcome(batches: DataFrame, keys: list[str]) -> DataFrame:
     return batches.groupBy(*keys).agg(
         n.alias("n_batches"), bad.alias("n_failed"), (n == bad).alias("doc_failed"), F.min_by("error", F.when(F.col("failed"), F.col("batch_id"))).alias("first_error")
     )
+
+
+def warnings_of(messages: Column) -> Column:
+    """Messages (type, message) of type warning."""
+    return F.transform(F.filter(messages, lambda m: m["type"] == "warning"), lambda m: m["message"])
+
+
+def first_warnings(warnings: Column) -> Column:
+    return F.slice(warnings, 1, MOST_WARNINGS)
+
+
+def retryable(status: Column) -> Column:
+    """Whether an answer of a service says that it may work later."""
+    return F.coalesce(status.isin(*RETRYABLE), F.lit(False))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed import MAX_UPLOAD, OCR_IMAGE, OCR_PDF
+from ..fixed import MAX_UPLOAD, MOST_WARNINGS, OCR_IMAGE, OCR_PDF
 from ..operators import classify
 
 IMPORTED = "doc_id long, name string, kind string, sniffed_kind string, html string, warnings array<string>, status string, error string"
@@ -25,15 +25,19 @@ External = dict[str, Callable[[bytes, str], tuple[str, list[str]]]]
 
 
 def scan(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """(doc_id, name, content, mime) of files up to the size limit; doc_id is a hash of the path."""
+    """(doc_id, name, content, mime, length) of files; doc_id is a hash of the path. Files above the size limit are rows with
+    null content, which :func:`import_files` reports."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
-    return files.filter(F.col("length") <= MAX_UPLOAD).select(
-        F.xxhash64("path").alias("doc_id"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "content", F.lit(None).cast("string").alias("mime")
+    # the reader refuses files above its own limit unless their content isn't asked for
+    fits = files.filter(F.col("length") <= MAX_UPLOAD).select("path", "length", "content")
+    large = files.filter(F.col("length") > MAX_UPLOAD).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    return fits.unionByName(large).select(
+        F.xxhash64("path").alias("doc_id"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "content", F.lit(None).cast("string").alias("mime"), "length"
     )
 
 
 def with_kind(files: DataFrame) -> DataFrame:
-    """Adds ext, sniffed and kind. Names inside zip archives come from Python, all else from expressions."""
+    """Adds ext, sniffed and kind. Names inside zip archives come from Python, all else from expressions on the first bytes."""
     from ..sources.opc import members
 
     schema = files.schema
@@ -52,6 +56,11 @@ def with_kind(files: DataFrame) -> DataFrame:
     return named.withColumn("kind", kind).drop("_members")
 
 
+def first_warnings(found: list[str]) -> list[str]:
+    """The first few of a library's warnings; a reader may have one for each paragraph."""
+    return found[:MOST_WARNINGS]
+
+
 def read(kind: str | None, ext: str, b: bytes, mime: str, external: External) -> tuple[str, list[str]]:
     """HTML, not yet sanitised, and warnings of one file."""
     from ..sources import docx, legacy, markdown, odf, plain, pptx, xlsx
@@ -62,7 +71,13 @@ def read(kind: str | None, ext: str, b: bytes, mime: str, external: External) ->
         return external[key](b, mime)
 
     if kind == "docx":
-        return docx.to_html(b)
+        if "office" in external:
+            try:
+                return outside("office")
+            except Exception:  # the own reader is the next choice
+                pass
+        html, found = docx.to_html(b)
+        return html, first_warnings(found)
     if kind == "doc":
         try:
             return legacy.doc_html(b)
@@ -79,6 +94,9 @@ def read(kind: str | None, ext: str, b: bytes, mime: str, external: External) ->
     if kind == "rtf":
         return legacy.rtf_html(b)
     if kind == "pdf":
+        if "ocr_pdf" in external and "pdf" not in external and len(b) <= OCR_PDF:
+            html, found = outside("ocr_pdf")
+            return html, [*found, "read_by_ocr"]
         return outside("pdf")
     if kind == "ppt":
         raise Unsupported("ppt")
@@ -98,12 +116,19 @@ def read(kind: str | None, ext: str, b: bytes, mime: str, external: External) ->
     return plain.text_html(text, ext), [] if kind == "text" else [f"unknown_kind:{ext or '?'}"]
 
 
+def required(rows: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with something in ``column``, the others with ``error``)."""
+    kind = dict(rows.dtypes)[column]
+    there = F.col(column).isNotNull() & (F.length(column) > 0 if kind in ("string", "binary") else F.lit(True))
+    return rows.filter(there), rows.filter(~there).withColumn("error", F.lit(f"no {column}"))
+
+
 def import_files(files: DataFrame, external: External | None = None) -> DataFrame:
     """``files`` (doc_id, name, content, mime) to rows of IMPORTED; status ok, unsupported or error.
 
-    Contents are large, so Arrow batches should be small (spark.sql.execution.arrow.maxRecordsPerBatch)."""
+    Contents go to Python in Arrow batches that Spark bounds in bytes (spark.sql.execution.arrow.maxBytesPerBatch; a file
+    larger than that is a batch of its own)."""
     outside: Any = external or {}
-    assert OCR_PDF > OCR_IMAGE
     typed = with_kind(files.select("doc_id", "name", "content", "mime"))
 
     def run(batches):
@@ -113,7 +138,9 @@ def import_files(files: DataFrame, external: External | None = None) -> DataFram
             html, warnings, status, errors = [], [], [], []
             for kind, ext, content, mime in zip(*[b.column(c).to_pylist() for c in ("kind", "ext", "content", "mime")], strict=True):
                 try:
-                    h, w = read(kind, ext, content or b"", mime or "", outside)
+                    if content is None:
+                        raise ValueError(f"no content, or more than {MAX_UPLOAD} bytes")
+                    h, w = read(kind, ext, content, mime or "", outside)
                     row = (sanitize_html(h), w, "ok", None)
                 except Unsupported as e:
                     row = (None, [], "unsupported", str(e))

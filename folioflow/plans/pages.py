@@ -30,8 +30,7 @@ def imported_html(html: Column) -> Column:
 def segments(pages: DataFrame) -> DataFrame:
     """(page_id, idx, text): text between tags outside style, script, code and pre, that is to be translated."""
     text = F.regexp_replace(body(F.col("html")), "(?is)<!--.*?-->", "")
-    for tag in ("script", "style", "pre", "code"):
-        assert tag in SKIP_TAGS
+    for tag in SKIP_TAGS:
         text = F.regexp_replace(text, f"(?is)<{tag}[^>]*>.*?</{tag}>", "")
     parts = pages.select("page_id", F.posexplode(F.split(text, "<[^>]*>")).alias("idx", "text"))
     parts = parts.filter(F.col("text").rlike(r"\S") & ~X.not_translatable(F.col("text")))
@@ -40,7 +39,5 @@ def segments(pages: DataFrame) -> DataFrame:
 
 def translate_segments(parts: DataFrame, target: str) -> DataFrame:
     """Adds batch_id and ``raw``, the translation with the source's blanks before it is escaped."""
-    sized = parts.withColumn("n", X.utf16_length(F.col("text")))
-    batched = greedy_batches(sized.select("page_id", "idx", "n"), ["page_id"], ["idx"], "n").drop("n")
-    joined = parts.join(batched, ["page_id", "idx"])
-    return joined.withColumn("raw", F.concat(F.lit(DEMO_TAGS[target]), "text"))
+    batched = greedy_batches(parts.withColumn("n", X.utf16_length(F.col("text"))), ["page_id"], ["idx"], "n").drop("n")
+    return batched.withColumn("raw", F.concat(F.lit(DEMO_TAGS[target]), "text"))

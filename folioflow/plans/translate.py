@@ -1,19 +1,24 @@
-"""Translation of HTML: select, batch, translate, put back. Text nodes travel, markup stays."""
+"""Translation of HTML: select, batch, translate, put back. A page is a task's work; nothing is shuffled."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..fixed import DEMO_TAGS, LANGUAGES
-from ..functions import text as X
-from ..operators.runs import greedy_batches
+from ..fixed import BATCH_CHARS, BATCH_ITEMS, DEMO_TAGS, LANGUAGES
+from ..functions.text import NOT_TRANSLATABLE
+from ..operators.runs import Filling
+from .services import pooled
 
 #: (texts of a batch, target) to as many texts.
 Provider = Callable[[list[str], str], list[str]]
+RESULT = "doc_id long, html string, n_batches long, n_failed long, doc_failed boolean, first_error string"
+DEMO_NOTE = '<div class="demo-note">Demonstration: register a translation provider for real translations.</div>'
+_PASS = re.compile(NOT_TRANSLATABLE)
 
 
 def demo(texts: list[str], target: str) -> list[str]:
@@ -30,89 +35,73 @@ def provider_of(name: str) -> Provider:
     return PROVIDERS[name.lower()]
 
 
-def text_nodes(pages: DataFrame) -> DataFrame:
-    """(doc_id, idx, text) of the nodes to translate in ``pages`` (doc_id, html)."""
-    from ..sources.html import nodes
-
-    n = nodes(pages, "doc_id", "html").filter("node_type = 'text' and not in_skip")
-    return n.filter((X.trim(F.col("text")) != "") & ~X.not_translatable(F.col("text"))).select("doc_id", "idx", "text")
-
-
-def batches(items: DataFrame) -> DataFrame:
-    """Adds batch_id by the limits of a request."""
-    sized = items.select("doc_id", "idx", X.utf16_length(F.col("text")).alias("n"))
-    return items.join(greedy_batches(sized, ["doc_id"], ["idx"], "n").drop("n"), ["doc_id", "idx"])
-
-
-def run_batches(batched: DataFrame, target: str, provider: Provider) -> DataFrame:
-    """Adds translated, failed and error. A batch of one document is one call; a failed one keeps its
-    texts. Speculative execution should be off where calls cost money."""
-    schema = "doc_id long, idx long, text string, batch_id long, translated string, failed boolean, error string"
-
-    def call(batches_):
-        now, held = None, []
-
-        def done():
-            texts, error = [h[2] for h in held], None
-            try:
-                out = provider(texts, target)
-                if not isinstance(out, list) or len(out) != len(texts):
-                    raise ValueError("wrong number of texts")
-            except Exception as e:  # a provider's failure is data
-                out, error = texts, str(e)
-            cols = [*zip(*held, strict=True)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64()), pa.array(out, pa.string()), pa.array([error is not None] * len(held)), pa.array([error] * len(held), pa.string())],
-                ["doc_id", "idx", "text", "batch_id", "translated", "failed", "error"],
-            )
-
-        for b in batches_:
-            for row in zip(*[b.column(c).to_pylist() for c in ("doc_id", "idx", "text", "batch_id")], strict=True):
-                if (row[0], row[3]) != now and held:
-                    yield done()
-                    held = []
-                now = (row[0], row[3])
-                held.append(row)
-        if held:
-            yield done()
-
-    dealt = batched.select("doc_id", "idx", "text", "batch_id").repartition("doc_id", "batch_id").sortWithinPartitions("doc_id", "batch_id", "idx")
-    return dealt.mapInArrow(call, schema)
-
-
-def translate_html(pages: DataFrame, target: str, provider: str | Provider = "demo") -> DataFrame:
-    """(doc_id, html, n_batches, n_failed, doc_failed, first_error) for ``pages`` (doc_id, html).
-
-    Pages with nothing to translate come back as they are. Where all batches of a page fail, the page
-    has failed and keeps its text."""
+def batches(texts: list[str]) -> list[list[int]]:
+    """Indexes of the texts by batch, by the limits of a request."""
+    filling, out = Filling(BATCH_CHARS, BATCH_ITEMS), []
+    for i, text in enumerate(texts):
+        if filling.place(len(text.encode("utf-16-le")) // 2) == len(out):
+            out.append([])
+        out[-1].append(i)
+    return out
+
+
+def _escaped(text: str) -> str:
+    return text.strip().replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+
+
+def translate_page(markup: str, target: str, provider: Provider) -> tuple[str, int, int, str | None]:
+    """(html, batches, failed batches, first error). Texts that translate keep the blanks around them; a batch that fails
+    keeps its texts, and a page with nothing to translate, or no batch that works, is as it was."""
+    from ..sources.html import decode, parse, serialize, walk
+
+    root = parse(markup)
+    nodes = [x for x, _, _, skip in walk(root) if not x.tag and not skip]
+    some = [(x, t) for x, t in ((x, decode(x.text)) for x in nodes) if t.strip() and not _PASS.fullmatch(t)]
+    parts = batches([t for _, t in some])
+
+    def call(part: list[int]) -> tuple[list[str] | None, str | None]:
+        try:
+            out = provider([some[i][1] for i in part], target)
+            if not isinstance(out, list) or len(out) != len(part):
+                raise ValueError("wrong number of texts")
+            return out, None
+        except Exception as e:  # a provider's failure is data
+            return None, str(e)
+
+    answers = pooled(call, parts)
+    errors = [e for _, e in answers if e is not None]
+    if len(errors) == len(parts):
+        return markup, len(parts), len(errors), errors[0] if errors else None
+    for part, (out, _) in zip(parts, answers, strict=True):
+        for i, new in zip(part, out or [], strict=False):
+            if isinstance(new, str):
+                node, old = some[i]
+                lead, tail = len(old) - len(old.lstrip()), len(old.rstrip())
+                node.text = old[:lead] + _escaped(new) + old[tail:]
+    return serialize(root), len(parts), len(errors), errors[0] if errors else None
+
+
+def translate_html(pages: DataFrame, target: str, provider: str | Provider = "demo", note: bool = False) -> DataFrame:
+    """Rows of RESULT for ``pages`` (doc_id, html), each page alone (:func:`translate_page`), with a few calls of its batches at once.
+
+    Where all batches of a page fail, the page has failed and keeps its text. ``note`` puts DEMO_NOTE before what the demonstration
+    translated. A null html stays null; null and repeated doc_ids are rows like others; an empty table gives no rows.
+    Speculative execution should be off where calls cost money."""
     if target not in LANGUAGES:
         raise ValueError(f"target must be one of {LANGUAGES}")
     call = provider_of(provider) if isinstance(provider, str) else provider
-    done = run_batches(batches(text_nodes(pages)), target, call)
-    per = done.groupBy("doc_id").agg(
-        F.count_distinct("batch_id").alias("n_batches"), F.count_distinct(F.when(F.col("failed"), F.col("batch_id"))).alias("n_failed"),
-        F.min_by("error", F.when(F.col("failed"), F.col("batch_id"))).alias("first_error"),
-        F.map_from_entries(F.collect_list(F.struct("idx", F.when(~F.col("failed"), X.with_edges(F.col("text"), F.col("translated"))).alias("raw")))).alias("raws"),
-    )
-    schema = "doc_id long, html string, n_batches long, n_failed long, doc_failed boolean, first_error string"
-    joined = pages.select(F.col("doc_id").cast("long").alias("doc_id"), "html").join(per, "doc_id", "left").select(
-        "doc_id", "html", F.coalesce("n_batches", F.lit(0)).alias("n_batches"), F.coalesce("n_failed", F.lit(0)).alias("n_failed"),
-        F.coalesce(F.col("n_batches") == F.col("n_failed"), F.lit(False)).alias("doc_failed"), "first_error", "raws",
-    )
-
-    def put_back(batches_):
-        from ..sources.html import parse, serialize, walk
-
-        for b in batches_:
+    lead = DEMO_NOTE if note and call is demo else ""
+
+    def run(rows):
+        for b in rows:
             out = []
-            for markup, raws in zip(b.column("html").to_pylist(), b.column("raws").to_pylist(), strict=True):
-                if raws:
-                    root, new = parse(markup), dict(raws)
-                    for i, (node, *_) in enumerate(walk(root)):
-                        if not node.tag and new.get(i) is not None:
-                            node.text = new[i]
-                    markup = serialize(root)
-                out.append(markup)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.string()), *[b.column(c) for c in ("n_batches", "n_failed", "doc_failed", "first_error")]], ["doc_id", "html", "n_batches", "n_failed", "doc_failed", "first_error"])
-
-    return joined.mapInArrow(put_back, schema)
+            for markup in b.column("html").to_pylist():
+                html, n, failed, error = translate_page(markup, target, call) if markup else (markup, 0, 0, None)
+                out.append((lead + html if n > failed else html, n, failed, n > 0 and n == failed, error))
+            html, n, failed, lost, error = zip(*out, strict=True) if out else ([], [], [], [], [])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(html, pa.string()), pa.array(n, pa.int64()), pa.array(failed, pa.int64()), pa.array(lost, pa.bool_()), pa.array(error, pa.string())],
+                [x.split()[0] for x in RESULT.split(", ")],
+            )
+
+    return pages.select(F.col("doc_id").cast("long").alias("doc_id"), "html").mapInArrow(run, RESULT)

@@ -26,11 +26,13 @@ def rels(*items: tuple[str, str, str]) -> str:
 
 def xlsx(title: str, n: int) -> bytes:
     rows = "".join(f'<row r="{r}"><c r="A{r}" t="s"><v>0</v></c><c r="B{r}"><v>{n * r}</v></c><c r="C{r}" t="inlineStr"><is><t>note {r}</t></is></c></row>' for r in range(1, 4))
+    rows += f'<row r="4"><c r="A4" s="1"><v>{44197 + n}</v></c><c r="B4" s="2"><v>0.{n:02d}5</v></c><c r="C4" t="s"><v>1</v></c></row><row r="5"><c r="A5" s="3"><v>-{n}234.5</v></c><c r="B5" t="b"><v>1</v></c></row>'
     sheet = f'<worksheet><cols><col min="3" max="3" width="0" hidden="1"/></cols><sheetData>{rows}</sheetData><mergeCells><mergeCell ref="A1:B1"/></mergeCells></worksheet>'
     return package({
         "xl/workbook.xml": '<workbook xmlns:r="r"><sheets><sheet name="Main" r:id="rId1"/><sheet name="Old" state="hidden" r:id="rId2"/></sheets></workbook>',
         "xl/_rels/workbook.xml.rels": rels(("rId1", "worksheet", "worksheets/sheet1.xml"), ("rId2", "worksheet", "worksheets/sheet2.xml")),
-        "xl/sharedStrings.xml": f"<sst><si><t>{title} &amp; co</t></si></sst>",
+        "xl/sharedStrings.xml": f"<sst><si><t>{title} &amp; co</t></si><si><r><t>plain </t></r><r><rPr><b/><i/></rPr><t>{title}</t></r></si></sst>",
+        "xl/styles.xml": '<styleSheet><numFmts><numFmt numFmtId="164" formatCode="#,##0.00;[Red]\\(#,##0.00\\)"/></numFmts><cellXfs><xf/><xf numFmtId="14"/><xf numFmtId="10"/><xf numFmtId="164"/></cellXfs></styleSheet>',
         "xl/worksheets/sheet1.xml": sheet, "xl/worksheets/sheet2.xml": "<worksheet><sheetData/></worksheet>",
     })
 

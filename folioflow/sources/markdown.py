@@ -1,16 +1,20 @@
-"""Markdown to HTML. Lines are classed by expressions elsewhere; a document is a fold over them."""
+"""Markdown to HTML: lines become blocks (kind, payload), blocks become markup."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_START = re.compile(r"#{1,6}\s|```|>\s?|\s*[-*+]\s|\s*\d+[.)]\s")
-_LIST = re.compile(r"\s*(?:([-*+])|\d+[.)])\s+(.*)", re.S)
-_SEPARATOR = re.compile(r"\s*\|?[\s:-]*-[\s|:-]*")
-_RULE = re.compile(r"\s*([-*_])\s*\1\s*\1\s*")
+from ..fixed import MD_FENCE, MD_INLINE, MD_LINES, MD_SEPARATOR
+
+_INLINE = [(re.compile(form), re.sub(r"\$(\d)", r"\\\1", to)) for form, to in MD_INLINE]
+_LINES = {kind: re.compile(form) for kind, form in MD_LINES.items()}
+_SEPARATOR = re.compile(MD_SEPARATOR)
+_LISTS = ("ul", "ol")
 
 
 def escape(s: str) -> str:
@@ -18,15 +22,9 @@ def escape(s: str) -> str:
 
 
 def inline(s: str) -> str:
-    for pattern, to, flags in (
-        (r"`([^`]+)`", r"<code>\1</code>", 0),
-        (r"!\[([^\]]*)\]\((data:image/[a-z]+;base64,[A-Za-z0-9+/=]+)\)", r'<img alt="\1" src="\2"/>', re.I),
-        (r"\[([^\]]+)\]\((https?://[^\s)]+)\)", r'<a href="\2" target="_blank">\1</a>', 0),
-        (r"\*\*([^*]+)\*\*", r"<strong>\1</strong>", 0),
-        (r"(^|[^*])\*([^*\n]+)\*", r"\1<em>\2</em>", 0),
-        (r"~~([^~]+)~~", r"<s>\1</s>", 0),
-    ):
-        s = re.sub(pattern, to, escape(s) if pattern.startswith("`") else s, flags=flags)
+    s = escape(s)
+    for form, to in _INLINE:
+        s = form.sub(to, s)
     return s
 
 
@@ -34,54 +32,76 @@ def cells(line: str) -> list[str]:
     return [c.strip() for c in line.strip().removeprefix("|").removesuffix("|").split("|")]
 
 
-def _row(tag: str, line: str) -> str:
-    return "<tr>" + "".join(f"<{tag}>{inline(c)}</{tag}>" for c in cells(line)) + "</tr>"
+def line_class(line: str, after: str | None) -> tuple[str, tuple[str, ...]]:
+    """What a line outside a fence begins, with the groups of its form; ``after`` is the next line."""
+    if line.startswith(MD_FENCE):
+        return "fence", ()
+    if "|" in line and after is not None and "|" in after and _SEPARATOR.fullmatch(after):
+        return "table", ()
+    for kind, form in _LINES.items():
+        if m := form.fullmatch(line):
+            return kind, m.groups()
+    return ("paragraph", ()) if line.strip() else ("blank", ())
+
+
+def _interrupts(line: str) -> bool:
+    """Whether the line ends a paragraph: a blank one, and what has a mark of its own (a rule's marks alone don't)."""
+    own = line.startswith(MD_FENCE) or any(_LINES[kind].fullmatch(line) for kind in ("heading", "quote", *_LISTS))
+    return own or not line.strip()
+
+
+def blocks(lines: list[str]) -> Iterator[tuple[str, object]]:
+    """(kind, payload): a fence, table or paragraph takes the lines that belong to it, others are a line each."""
+
+    def upto(start: int, stop) -> int:
+        return next((k for k in range(start, len(lines)) if stop(lines[k])), len(lines))
+
+    at = 0
+    while at < len(lines):
+        kind, groups = line_class(lines[at], lines[at + 1] if at + 1 < len(lines) else None)
+        end = at + 1
+        if kind == "fence":
+            close = upto(end, lambda x: x.startswith(MD_FENCE))
+            yield kind, lines[end:close]
+            end = close + 1
+        elif kind == "table":
+            end = upto(at + 2, lambda x: "|" not in x)
+            yield kind, [cells(x) for x in (lines[at], *lines[at + 2 : end])]
+        elif kind == "paragraph":
+            end = upto(end, _interrupts)
+            yield kind, lines[at:end]
+        else:
+            yield kind, groups
+        at = end
+
+
+def _markup(kind: str, payload) -> str:
+    row = lambda tag, values: "<tr>" + "".join(f"<{tag}>{inline(v)}</{tag}>" for v in values) + "</tr>"
+    match kind:
+        case "fence":
+            return f"<pre><code>{escape(chr(10).join(payload))}</code></pre>"
+        case "table":
+            head, *body = payload
+            return f'<table class="doc-datatable"><thead>{row("th", head)}</thead><tbody>{"".join(row("td", r) for r in body)}</tbody></table>'
+        case "heading":
+            return f"<h{len(payload[0])}>{inline(payload[1])}</h{len(payload[0])}>"
+        case "hr":
+            return "<hr/>"
+        case "quote":
+            return f"<blockquote>{inline(payload[0])}</blockquote>"
+        case "ul" | "ol":
+            return f"<li>{inline(payload[0])}</li>"
+        case "paragraph":
+            return "<p>" + inline("\n".join(payload)).replace("\n", "<br/>") + "</p>"
+    return ""
 
 
 def to_html(text: str) -> str:
-    """Blocks in order of precedence: fence, table, heading, rule, quote, list item, blank, paragraph."""
-    lines = re.sub("\r\n?", "\n", text or "").split("\n")
-    out: list[str] = []
-    todo, kind = list(reversed(lines)), ""
-
-    def block(html: str = "", list_: str = "") -> None:
-        """Put a block; an open list ends unless the block is an item of its kind."""
-        nonlocal kind
-        if kind != list_:
-            out.extend(([f"</{kind}>"] if kind else []) + ([f"<{list_}>"] if list_ else []))
-            kind = list_
-        out.append(html)
-
-    while todo:
-        line = todo.pop()
-        if line.startswith("```"):
-            held = []
-            while todo and not todo[-1].startswith("```"):
-                held.append(todo.pop())
-            del todo[-1:]
-            block(f"<pre><code>{escape(chr(10).join(held))}</code></pre>")
-        elif "|" in line and todo and "|" in todo[-1] and _SEPARATOR.fullmatch(todo[-1]):
-            todo.pop()
-            body = []
-            while todo and "|" in todo[-1]:
-                body.append(_row("td", todo.pop()))
-            block(f'<table class="doc-datatable"><thead>{_row("th", line)}</thead><tbody>{"".join(body)}</tbody></table>')
-        elif m := re.fullmatch(r"(#{1,6})\s+(.*)", line):
-            block(f"<h{len(m[1])}>{inline(m[2])}</h{len(m[1])}>")
-        elif _RULE.fullmatch(line):
-            block("<hr/>")
-        elif m := re.fullmatch(r">\s?(.*)", line):
-            block(f"<blockquote>{inline(m[1])}</blockquote>")
-        elif m := _LIST.fullmatch(line):
-            block(f"<li>{inline(m[2])}</li>", "ul" if m[1] else "ol")
-        elif not line.strip():
-            block()
-        else:
-            held = [line]
-            while todo and todo[-1].strip() and not _START.match(todo[-1]):
-                held.append(todo.pop())
-            block("<p>" + inline("\n".join(held)).replace("\n", "<br/>") + "</p>")
-    block()
+    """Blocks one after another; neighbouring items of one kind are a list."""
+    out = []
+    for kind, group in groupby(blocks(re.sub("\r\n?", "\n", text or "").split("\n")), key=lambda b: b[0]):
+        inner = "".join(_markup(*b) for b in group)
+        out.append(f"<{kind}>{inner}</{kind}>" if kind in _LISTS else inner)
     return "".join(out)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from ..fixed import BORDERS, FONT_FALLBACKS, FONT_SUBSTITUTES, H_ALIGN, INDEXED, THEME, THEME_ORDER, V_ALIGN
+from ..fixed import BORDERS, FONT_FALLBACKS, FONT_SUBSTITUTES, FORMATS, H_ALIGN, INDEXED, THEME, THEME_ORDER, V_ALIGN
 from .opc import attr, find, integer, kid, kids, number
 
 
@@ -71,8 +71,14 @@ class Styles:
         self.fills = [self._fill(f) for f in kids(kid(root, "fills"), "fill")]
         self.borders = [[(side, self._side(kid(b, side))) for side in ("top", "right", "bottom", "left")] for b in kids(kid(root, "borders"), "border")]
         self.formats = kids(kid(root, "cellXfs"), "xf")
+        own = {integer(attr(f, "numFmtId")): attr(f, "formatCode") or "" for f in kids(kid(root, "numFmts"), "numFmt")}
+        self.codes = [own.get(i) or FORMATS.get(i, "General") for i in (integer(attr(x, "numFmtId")) for x in self.formats)]
         self.known: dict = {}
 
+    def code(self, index: int | None) -> str:
+        """The number format of a cell format."""
+        return self.codes[index] if index is not None and 0 <= index < len(self.codes) else "General"
+
     def _fill(self, f) -> str | None:
         pattern, gradient = kid(f, "patternFill"), kid(f, "gradientFill")
         if gradient is not None:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from ..fixed import MAX_COLS, MAX_ROWS, ROW_PX
 from .markdown import escape
 from .opc import Package, attr, emu_px, find, find_all, integer, kid, kids, number, text_of
+from .numfmt import shown, shown_text
 from .styles import Styles
 
 
@@ -35,11 +36,25 @@ def column_px(chars: float, digit: int) -> int:
     return int((256 * chars + int(128 / digit)) / 256 * digit)
 
 
+@dataclass
+class Cell:
+    """``kind``: n, s, str, b, e or d; ``raw`` as stored, shared strings looked up; ``text`` as shown; ``rich``: markup of runs."""
+
+    kind: str
+    raw: str
+    text: str
+    style: int | None
+    rich: str = ""
+
+    def html(self) -> str:
+        return re.sub("\r\n|\r|\n", "<br/>", self.rich or escape(self.text))
+
+
 @dataclass
 class Sheet:
     no: int
     name: str
-    cells: dict = field(default_factory=dict)  # (row, col): (type, value, style)
+    cells: dict = field(default_factory=dict)  # (row, col): Cell
     cols: dict = field(default_factory=dict)  # col: (px, hidden, style)
     rows: dict = field(default_factory=dict)  # row: (px or None, hidden, style)
     merges: list = field(default_factory=list)
@@ -49,11 +64,47 @@ class Sheet:
     row_px: int = ROW_PX
 
 
-def _strings(root) -> list[str]:
-    return [text_of(si) if kid(si, "t") is not None else "".join(text_of(kid(r, "t")) for r in kids(si, "r")) for si in kids(root, "si")]
-
-
-def read_sheet(pkg: Package, part: str, no: int, name: str, digit: int, shared: list[str], counts: dict) -> Sheet | None:
+def _rich(run) -> str:
+    """Markup of a run of rich text."""
+    style, out = kid(run, "rPr"), escape(text_of(kid(run, "t")))
+    on = lambda name: (e := kid(style, name)) is not None and attr(e, "val") not in ("0", "none")
+    script = {"superscript": "sup", "subscript": "sub"}.get(attr(kid(style, "vertAlign"), "val") or "")
+    for name, tag in (("b", "b"), ("i", "i"), ("u", "u"), ("strike", "s")):
+        if out and on(name):
+            out = f"<{tag}>{out}</{tag}>"
+    return f"<{script}>{out}</{script}>" if script and out else out
+
+
+def string_item(item) -> tuple[str, str]:
+    """(text, markup of its runs or '') of a string item; phonetic readings are left out."""
+    runs = kids(item, "r")
+    if not runs:
+        return text_of(kid(item, "t")), ""
+    return "".join(text_of(kid(r, "t")) for r in runs), "".join(map(_rich, runs))
+
+
+def read_cell(c, shared: list[tuple[str, str]], styles: Styles, since_1904: bool) -> Cell:
+    kind, raw, rich = attr(c, "t") or "n", text_of(kid(c, "v")), ""
+    style = integer(attr(c, "s")) if attr(c, "s") is not None else None
+    if kind == "s":
+        i = integer(raw, -1)
+        raw, rich = shared[i] if 0 <= i < len(shared) else ("", "")
+    elif kind == "inlineStr":
+        kind, (raw, rich) = "str", string_item(kid(c, "is"))
+    elif kind == "b":
+        raw = "TRUE" if raw == "1" else "FALSE"
+    text = raw
+    if kind == "n" and raw.strip():
+        try:
+            text = shown(float(raw), styles.code(style), since_1904)
+        except (ValueError, OverflowError, ArithmeticError):  # no number after all
+            text = raw
+    elif kind in ("s", "str"):
+        text = shown_text(raw, styles.code(style))
+    return Cell(kind, raw, text, style, rich)
+
+
+def read_sheet(pkg: Package, part: str, no: int, name: str, digit: int, shared: list[tuple[str, str]], counts: dict, styles: Styles, since_1904: bool = False) -> Sheet | None:
     root = pkg.xml(part)
     if root is None:
         return None
@@ -80,15 +131,7 @@ def read_sheet(pkg: Package, part: str, no: int, name: str, digit: int, shared:
             col = at[1] if at else n
             if col >= MAX_COLS:
                 continue
-            kind, raw = attr(c, "t") or "n", text_of(kid(c, "v"))
-            if kind == "s":
-                i = integer(raw, -1)
-                raw = shared[i] if 0 <= i < len(shared) else ""
-            elif kind == "inlineStr":
-                kind, raw = "str", text_of(kid(c, "is"))
-            elif kind == "b":
-                raw = "TRUE" if raw == "1" else "FALSE"
-            s.cells[r, col] = (kind, raw, style(c, "s"))
+            s.cells[r, col] = read_cell(c, shared, styles, since_1904)
     s.merges = [b for m in kids(kid(ws, "mergeCells"), "mergeCell") if (b := box(attr(m, "ref") or ""))]
     for h in kids(kid(ws, "hyperlinks"), "hyperlink"):
         if b := box(attr(h, "ref") or ""):
@@ -133,7 +176,8 @@ def read_workbook(content: bytes) -> tuple[list[Sheet], Styles, dict]:
     theme = next((n for n in sorted(pkg.names) if re.fullmatch(r"xl/theme/theme\d*\.xml", n)), "")
     styles = Styles(pkg.xml("xl/styles.xml"), pkg.xml(theme))
     digit = max(5, min(20, int(styles.base["size"] / 11 * 7 + 0.5)))
-    shared, rels = _strings(pkg.xml("xl/sharedStrings.xml")), pkg.rels("xl/workbook.xml")
+    shared, rels = [string_item(si) for si in kids(pkg.xml("xl/sharedStrings.xml"), "si")], pkg.rels("xl/workbook.xml")
+    since_1904 = attr(find(pkg.xml("xl/workbook.xml"), "workbookPr"), "date1904") in ("1", "true")
     counts = {"charts": 0, "images_skipped": 0, "sheets_hidden": 0, "images_placed": 0}
     sheets = []
     for i, s in enumerate(find_all(pkg.xml("xl/workbook.xml"), "sheet")):
@@ -141,7 +185,7 @@ def read_workbook(content: bytes) -> tuple[list[Sheet], Styles, dict]:
             counts["sheets_hidden"] += 1
             continue
         part = rels.get(attr(s, "id"), {}).get("target") or f"xl/worksheets/sheet{i + 1}.xml"
-        if sheet := read_sheet(pkg, part, i, attr(s, "name") or f"Sheet{i + 1}", digit, shared, counts):
+        if sheet := read_sheet(pkg, part, i, attr(s, "name") or f"Sheet{i + 1}", digit, shared, counts, styles, since_1904):
             sheets.append(sheet)
     return sheets, styles, counts
 
@@ -151,7 +195,7 @@ def sheet_html(s: Sheet, styles: Styles, counts: dict) -> str:
     ends = [(a["to"] or a["from"])[:2] for a in s.anchors if a["from"]]
     extents = [m[2:] for m in s.merges] + ends
     used = [*s.cells, *extents]
-    full = [rc for rc, c in s.cells.items() if c[1].strip()]
+    full = [rc for rc, c in s.cells.items() if c.text.strip()]
     floating = any(not a["from"] and a["pos"] for a in s.anchors)
     kept = used if floating else [*full, *extents]
     if not kept:
@@ -208,11 +252,12 @@ def sheet_html(s: Sheet, styles: Styles, counts: dict) -> str:
                 wide = max(1, sum(m[1] <= k <= m[3] for k in cols))
                 high = max(1, sum(not hid_r[k] for k in range(m[0], min(m[2], last_r) + 1)))
                 span = f' colspan="{wide}"' * (wide > 1) + f' rowspan="{high}"' * (high > 1)
-            kind, value, own = s.cells.get((r, c), ("", "", None))
+            cell = s.cells.get((r, c)) or Cell("", "", "", None)
+            own = cell.style
             of_row = s.rows[r][2] if r in s.rows else None
             index = own if own is not None else of_row if of_row is not None else s.cols[c][2] if c in s.cols else None
-            css, wrap = styles.css(index, kind == "n")
-            inner = re.sub("\r\n|\r|\n", "<br/>", escape(value))
+            css, wrap = styles.css(index, cell.kind == "n")
+            inner = cell.html()
             href = s.links.get((r, c), "")
             if inner and re.match("https?:|mailto:", href, re.I):
                 inner = f'<a href="{escape(href)}" target="_blank">{inner}</a>'
@@ -248,9 +293,11 @@ def _rows(files: DataFrame, schema: str, kinds: list, emit) -> DataFrame:
 
 
 def cells(files: DataFrame) -> DataFrame:
-    schema = "doc_id long, sheet_no int, row int, col int, cell_type string, value string, style_idx int"
+    """Cells as stored (value) and as shown (text, html)."""
+    schema = "doc_id long, sheet_no int, row int, col int, cell_type string, value string, style_idx int, text string, html string"
     i, s = pa.int32(), pa.string()
-    return _rows(files, schema, [pa.int64(), i, i, i, s, s, i], lambda x: [(x.no, r, c, *v) for (r, c), v in sorted(x.cells.items())])
+    emit = lambda x: [(x.no, r, c, v.kind, v.raw, v.style, v.text, v.html()) for (r, c), v in sorted(x.cells.items())]
+    return _rows(files, schema, [pa.int64(), i, i, i, s, s, i, s, s], emit)
 
 
 def merges(files: DataFrame) -> DataFrame:

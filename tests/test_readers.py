@@ -7,10 +7,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from folioflow import fixed
-from folioflow.plans import importing, translate
+from folioflow.plans import importing, services, translate
 from folioflow.sinks import docx as docx_sink
 from folioflow.sinks import samples, tables
-from folioflow.sources import docx, html, legacy, markdown, odf, opc, plain, pptx, styles, xlsx
+from folioflow.sources import docx, html, legacy, markdown, numfmt, odf, opc, plain, pptx, styles, xlsx
 
 
 def walk_tags(markup):
@@ -68,9 +68,9 @@ def test_tolerant_xml():
 
 def test_sheets():
     page, warnings = xlsx.to_html(samples.xlsx("T", 3))
-    assert warnings == ["sheets_hidden:1"] and "note" not in page and page.count("<tr") == 3
+    assert warnings == ["sheets_hidden:1"] and "note" not in page and page.count("<tr") == 5 and ">1/4/21</td>" in page and ">3.50%</td>" in page and ">(3,234.50)</td>" in page
     assert '<td colspan="2" style="padding: 2px 4px; overflow-wrap: break-word">T &amp; co</td>' in page
-    sheet = xlsx.Sheet(0, "S", {(0, 0): ("n", "1", None), (9, 9): ("n", " ", None)}, {1: (10, True, None)}, {}, [(0, 0, 0, 2)], {}, [], 50, 20)
+    sheet = xlsx.Sheet(0, "S", {(0, 0): xlsx.Cell("n", "1", "1", None), (9, 9): xlsx.Cell("n", " ", " ", None)}, {1: (10, True, None)}, {}, [(0, 0, 0, 2)], {}, [], 50, 20)
     sheet.anchors = [{"kind": "shape", "text": "note", "from": (0, 1, 0, 0), "to": None, "pos": None, "ext": ("0", "0")}]
     page = xlsx.sheet_html(sheet, styles.Styles(None, None), {"images_placed": 0})
     assert 'colspan="2"' in page and page.count("<tr") == 1 and '1<div class="xl-shape">note</div>' in page
@@ -111,7 +111,7 @@ def test_import_of_every_kind(spark):
     assert {n: got[n]["kind"] for n in kinds} == kinds
     assert {n: got[n]["status"] for n in ("n.pdf", "o.ppt", "r", "p.docx", "s.docx", "q.bin")} == {"n.pdf": "unsupported", "o.ppt": "unsupported", "r": "unsupported", "p.docx": "error", "s.docx": "ok", "q.bin": "ok"}
     assert "Привет" in got["q.bin"]["html"] and got["q.bin"]["warnings"] == ["unknown_kind:bin"]
-    assert "onclick" not in got["j.html"]["html"] and got[None]["status"] == "ok"
+    assert "onclick" not in got["j.html"]["html"] and got[None]["status"] == "error"
     seen = importing.import_files(rows.filter("name = 'n.pdf'"), {"pdf": lambda b, m: (f"<p>{len(b)}</p>", ["fake"])}).first()
     assert (seen["status"], seen["html"], seen["warnings"]) == ("ok", "<p>13</p>", ["fake"])
 
@@ -165,3 +165,114 @@ def test_streams(spark, tmp_path):
     assert got == {"x.txt": "<p>one</p>", "c.md": "<h1>two</h1>"}
     e = spark.createDataFrame([("u", 0.0), ("u", 0.5), ("u", 5.0)], "user string, s double").selectExpr("user", "timestamp_millis(cast(s * 1000 as long)) ts")
     assert sorted(r["n_writes"] for r in streaming.draft_sessions(e, "user", "ts").collect()) == [1, 2]
+
+
+@pytest.mark.parametrize(("value", "code", "want"), [
+    (1234.5, "#,##0.00", "1,234.50"), (0.256, "0%", "26%"), (44197, "m/d/yy", "1/1/21"), (44197.75, "yyyy-mm-dd hh:mm:ss", "2021-01-01 18:00:00"), (44197.5, "h:mm AM/PM", "12:00 PM"),
+    (1.5, "[h]:mm:ss", "36:00:00"), (-3.2, "0.0;(0.0)", "(3.2)"), (0, '0;-0;"zero"', "zero"), (1234567, "0.00E+00", "1.23E+06"), (1.25, "# ??/??", "1  1/4 "), (12345678, "#,##0,", "12,346"), (5, "000", "005"),
+    (3, '0 "kg"', "3 kg"), (0.1 + 0.2, "General", "0.3"), (123456789012, "General", "1.23457E+11"), (1 / 3, "General", "0.333333333"), (60, "d mmm yyyy", "29 Feb 1900"), (61, "d mmm yyyy", "1 Mar 1900"),
+    (-0.001, "0.0", "0.0"), (2.5, "0", "3"), (150, '[>=100]"big" 0;0.0', "big 150"), (1234.5, "[$\u20ac-407] #,##0.00", "\u20ac 1,234.50"), (-1, "yyyy", "########"), (44197, "dddd, mmmm d", "Friday, January 1"), (0, "", "0"),
+])
+def test_number_formats(value, code, want):
+    assert numfmt.shown(value, code) == want
+
+
+def test_number_formats_of_texts_and_the_other_date_system():
+    assert numfmt.shown_text("a", '0;-0;0;"<"@">"') == "<a>" and numfmt.shown_text("a", "0.00") == "a" and numfmt.shown_text("a", "@ !") == "a !"
+    assert numfmt.shown(0, "yyyy-mm-dd", True) == "1904-01-01" and numfmt.shown(1, "yyyy-mm-dd") == "1900-01-01"
+
+
+def test_calls_are_retried_and_pooled_in_order():
+    waits, tries = [], []
+
+    def busy(*refusals):
+        todo = list(refusals)
+
+        def call():
+            tries.append(1)
+            if todo:
+                raise services.Refused(todo.pop(0))
+            return "done"
+
+        return call
+
+    assert services.retried(busy(429, 503), waits.append) == "done" and waits == [2.5, 5.0]
+    with pytest.raises(services.Refused):
+        services.retried(busy(500, 500, 529), waits.append)
+    tries.clear()
+    with pytest.raises(services.Refused):
+        services.retried(busy(401), waits.append)
+    assert len(tries) == 1
+    assert services.pooled(lambda x: x * 2, range(20)) == [x * 2 for x in range(20)] and services.pooled(str, []) == []
+    assert services.available("Claude", {"claude": "k"}) and not services.available("claude", {"claude": ""}) and not services.available(None, {"claude": "k"})
+
+
+def test_reconstruction_strips_fences_and_sanitises():
+    assert services.reconstructed("text", lambda t: f"```html\n<p onclick=x>{t}</p><script>y</script>\n```") == "<p>text</p>"
+    for text, reply in ((" ", "<p>x</p>"), ("text", "``` \n```")):
+        with pytest.raises(ValueError):
+            services.reconstructed(text, lambda t, reply=reply: reply)
+
+
+def test_page_translation_batches_failures_and_blanks():
+    page = "<p> one &amp; two </p><pre>code</pre><p>2024</p><b>three</b>"
+    assert translate.translate_page(page, "en", translate.demo) == ("<p> [EN] one &amp; two</p><pre>code</pre><p>2024</p><b>[EN]three</b>".replace("two</p>", "two </p>").replace("[EN] one", "[EN] one"), 1, 0, None)
+    many = "".join(f"<p>text {i}</p>" for i in range(150))
+
+    def some(texts, target):
+        if "text 60" in texts:
+            raise RuntimeError("down")
+        return [t.upper() for t in texts]
+
+    html_, n, failed, error = translate.translate_page(many, "ja", some)
+    assert (n, failed, error) == (3, 1, "down") and "<p>TEXT 0</p>" in html_ and "<p>text 60</p>" in html_ and "<p>TEXT 149</p>" in html_
+    assert translate.translate_page("<p>a</p>", "ja", lambda t, x: t[:0]) == ("<p>a</p>", 1, 1, "wrong number of texts")
+
+
+def test_translated_rows_with_null_and_repeated_ids(spark):
+    pages = spark.createDataFrame([(1, "<p>a</p>"), (1, "<p>b</p>"), (None, "<p>c</p>"), (2, None), (3, ""), (4, "<p>1</p>")], "doc_id long, html string")
+    got = sorted(((r["doc_id"] or 0, r["html"] or "", r["n_batches"], r["doc_failed"]) for r in translate.translate_html(pages, "en").collect()))
+    assert got == [(0, "<p>[EN]c</p>", 1, False), (1, "<p>[EN]a</p>", 1, False), (1, "<p>[EN]b</p>", 1, False), (2, "", 0, False), (3, "", 0, False), (4, "<p>1</p>", 0, False)]
+    noted = translate.translate_html(pages, "en", note=True).filter("doc_id = 1").collect()
+    assert all(r["html"].startswith(translate.DEMO_NOTE) for r in noted)
+
+
+def test_expressions_and_readers_follow_the_same_policy(spark):
+    from pyspark.sql import functions as F
+
+    from folioflow.functions import text as X
+    from folioflow.operators import policy
+
+    css = ["/* c */@import 'x';.a{color:1}", ".a{b:url(x)}.c{d:e}", "@media x{.c{top:1px}.d{behavior:y}}", "}x{", "@IMPORT y", "/* open", "a{b:c", ""]
+    style = ["color: red; foo:1; background:url(x)", " Color : a:b ;width: expression (1)", ";;", "margin:1px"]
+    urls = ["http://a", "/a", "//a", "javascript:x", " #f", "data:image/png;base64,AA==", "data:image/svg+xml;base64,AA", ""]
+    lines = ["# a", "#\u3000\u984c", "####### x", "> q", "- x", "1) y", "\u0661. z", "- - -", "----", "***", "a|b", "", "\u3000", "```", "text"]
+    df = lambda values: spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").orderBy("i")
+    one = lambda values, c: [r[0] for r in df(values).select(c).collect()]
+    assert one(css, policy.safe_css(F.col("v"))) == [html.safe_css(x) for x in css]
+    assert one(style, policy.safe_style(F.col("v"))) == [html.safe_style(x) for x in style]
+    for tag, name in (("a", "href"), ("img", "src")):
+        assert one(urls, policy.safe_url(F.col("v"), F.lit(tag), F.lit(name))) == [bool(x.strip()) and html.safe_url(x, tag, name) for x in urls]
+    for after in ("-|-", "x"):
+        assert one(lines, X.md_class(F.col("v"), F.lit(after))) == [markdown.line_class(x, after)[0] for x in lines]
+    inline = ["**a** `b*c*` [x](http://y) ~~z~~ <q>", "*a**b* ![i](data:image/png;base64,AA==)", "a*b*c*d*"]
+    assert one(inline, X.md_inline(F.col("v"))) == [markdown.inline(x) for x in inline]
+
+
+def test_small_text_rules(spark):
+    from pyspark.sql import functions as F
+
+    from folioflow.functions import text as X
+
+    got = spark.range(1).select(
+        X.text_align(F.lit("color:red; Text-Align : CENTER")).alias("a"), X.text_align(F.lit("x")).alias("b"), X.page_file(F.lit(7)).alias("c"), X.page_file(F.lit(123)).alias("d"),
+        X.image_file(F.lit("data:image/jpeg;base64,QUI="), F.lit(2)).alias("e"), X.image_file(F.lit("http://x"), F.lit(2)).alias("f"), X.masked(F.lit("secret"), True).alias("g"), X.masked(F.lit("secret"), False).alias("h"),
+        X.padded(F.array(F.lit("a")), F.lit(3)).alias("i"), X.padded(F.array(F.lit("a")), F.lit(0)).alias("j"), X.trim(F.lit("\u3000 a b\u00a0\n")).alias("k"), X.trim(F.lit(" \n")).alias("l"),
+    ).first()
+    assert tuple(got) == ("center", None, "page-07.png", "page-123.png", ("img2.jpg", bytearray(b"AB")), None, "An error occurred on the server.", "secret", ["a", "", ""], ["a"], "a b", "")
+
+
+def test_import_reports_files_that_are_too_large(spark):
+    rows = [(1, "a.txt", bytearray(b"x"), None), (2, "b.bin", None, None)]
+    got = {r["doc_id"]: (r["status"], r["error"]) for r in importing.import_files(spark.createDataFrame(rows, "doc_id long, name string, content binary, mime string")).collect()}
+    assert got[1] == ("ok", None) and got[2][0] == "error" and "no content" in got[2][1]
