@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, fresh, words
+from .common import cut, n_words
 
 #: A repeated run of lines counts from so many words on.
 LEAST_WORDS = 50
@@ -26,7 +26,7 @@ def _lines(documents: DataFrame, least_words: int) -> DataFrame:
         documents.filter("text is not null")
         .select(doc.alias("doc"), F.split("text", "\n").alias("lines"))  # else each line would carry its text along
         .select("doc", F.posexplode("lines").alias("at", "line"))
-        .select("doc", "at", F.xxhash64(line).alias("h"), F.size(words(F.col("line"))).cast("long").alias("n"))
+        .select("doc", "at", F.xxhash64(line).alias("h"), n_words(F.col("line")).alias("n"))
         .filter("n > 0")
     )
     repeated = documents.filter("text is not null").groupBy(doc.alias("doc")).count().filter("count > 1")

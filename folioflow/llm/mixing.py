@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,6 +137,8 @@ def tilts(sizes: DataFrame, targets: DataFrame, cap: int = CAP, steps: int = 60,
         state = after
         if not state.filter(~F.col("done")).head(1):
             break
+    else:  # the bracket is halved in each step, so this means that rates can't be told apart any more
+        warnings.warn(f"rates of some sources are not within {tolerance} of their targets after {steps} steps", stacklevel=2)
     return state.select("source", "tilt", "mean")
 
 
