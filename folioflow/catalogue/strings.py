@@ -161,3 +161,69 @@ def q_fallback_fonts(spark, d):
     """STR21."""
     s = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("color: red; font-family: "), "event_type", F.lit(" ; top: 1px"))).otherwise("font-family: Noto Sans")
     return table(spark, d, "events").select("event_id", X.with_fallback_fonts(s).alias("style"))
+
+
+@query("""
+SELECT p_partkey, replace(replace(replace(replace(replace('&lt;' || p_brand || '&amp;lt; &nbsp;&quot;', '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"') AS decoded,
+  ['left', 'center', 'right', NULL][p_partkey % 4 + 1] AS align, CASE WHEN p_partkey % 3 > 0 THEN 'img' || p_partkey || CASE p_partkey % 3 WHEN 1 THEN '.jpg' ELSE '.svgxml' END END AS file,
+  CASE WHEN p_partkey % 3 > 0 THEN p_brand END AS content, 'page-' || CASE WHEN p_size < 10 THEN '0' ELSE '' END || p_size || '.png' AS page,
+  list_concat([p_brand]::VARCHAR[], list_transform(range(1, p_size % 5), lambda x: '')) AS cells, 'An error occurred on the server.' AS masked FROM part
+""")
+def q_tex_parts(spark, d):
+    """STR05, STR19, STR20, STR27, ARR05, SNK03: parts of LaTeX and of replies."""
+    p = F.col("p_partkey")
+    style = F.element_at(F.array(*map(F.lit, ("text-align:left", "a:b; TEXT-ALIGN : Center", "text-align: right", "color:red"))), (p % 4 + 1).cast("int"))
+    mime = F.element_at(F.array(*map(F.lit, ("x", "jpeg", "svg+xml"))), (p % 3 + 1).cast("int"))
+    uri = F.when(p % 3 == 0, "http://x").otherwise(F.concat(F.lit("data:image/"), mime, F.lit(";base64,"), F.base64(F.col("p_brand").cast("binary"))))
+    file = X.image_file(uri, p)
+    return table(spark, d, "part").select(
+        "p_partkey", X.decode_tex_entities(F.concat(F.lit("&lt;"), "p_brand", F.lit("&amp;lt; &nbsp;&quot;"))).alias("decoded"), X.text_align(style).alias("align"),
+        file["file"].alias("file"), file["content"].cast("string").alias("content"), X.page_file(F.col("p_size")).alias("page"), X.padded(F.array("p_brand"), F.col("p_size") % 5).alias("cells"), X.masked(F.col("p_name"), True).alias("masked"),
+    )
+
+
+@query("""
+SELECT n_nationkey::BIGINT AS doc_id, chr(10) || chr(10) || '{\\centering\\LARGE\\bfseries ' || replace(n_name, '_', '\\_') || '\\par}\\vspace{6pt}' || chr(10) || chr(10) || chr(10) || chr(10) || 'a \\& \\textbf{b}\\par' || chr(10) || chr(10)
+  || chr(10) || '\\begin{center}' || chr(10) || '\\begin{tabular}{|l|l|}' || chr(10) || '\\hline' || chr(10) || '1 & 2 \\\\ \\hline' || chr(10) || '3 &  \\\\ \\hline' || chr(10) || '\\end{tabular}' || chr(10) || '\\end{center}' || chr(10)
+  || '\\includegraphics[max width=\\linewidth,max height=0.4\\textheight]{img0.png}' AS body, 'img0.png:' || n_name AS image FROM nation
+""")
+def q_latex(spark, d):
+    """BLD11, AGG04, ARR05: HTML as LaTeX source, with its images."""
+    from ..sinks.latex import latex
+
+    image = F.concat(F.lit('<img src="data:image/png;base64,'), F.base64(F.col("n_name").cast("binary")), F.lit('"/>'))
+    html = F.concat(F.lit("<h1>"), "n_name", F.lit("</h1><p>a &amp; <b>b</b></p><table><tr><td>1</td><td>2</td></tr><tr><td>3</td></tr></table>"), image)
+    out = latex(table(spark, d, "nation").select(F.col("n_nationkey").alias("doc_id"), html.alias("html")))
+    inside = F.split_part(F.split_part("tex", F.lit("\\begin{document}\n"), F.lit(2)), F.lit("\n\\end{document}"), F.lit(1))
+    return out.select("doc_id", inside.alias("body"), F.concat(F.col("images")[0]["file"], F.lit(":"), F.col("images")[0]["content"].cast("string")).alias("image"))
+
+
+def _px(x: str) -> str:
+    return f"regexp_replace(printf('%.2f', {x}), '\\.?0+$', '')"
+
+
+@query(f"""
+WITH b AS (SELECT p_partkey, p_size, p_size::DOUBLE AS s, p_retailprice::DOUBLE AS x, replace(p_name || ' <' || p_brand, '<', '&lt;') AS t FROM part)
+SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN '' ELSE '<span class="pdf-text" style="position:absolute; left:' || {_px('floor(x * 100 + 0.5) / 100')} || 'px; top:' || {_px('200 - s')} || 'px; width:' || {_px('2 * s')} || 'px; font-size:' || {_px('s')}
+  || 'px; line-height:1.05; font-family:' || CASE WHEN p_partkey % 2 = 0 THEN 'serif' ELSE 'sans-serif' END || '; white-space:pre; transform-origin:left top;">' || t || '</span>' END AS html FROM b
+""")
+def q_text_spans(spark, d):
+    """NUM08, NUM09, BLD12: text items of a page at their places."""
+    from ..functions import numbers as N
+
+    s, zero = F.col("p_size").cast("double"), F.lit(0.0)
+    box = N.text_box(F.lit(1.0), zero, zero, s, F.col("p_retailprice"), F.lit(200.0), s, F.lit(2.0))
+    text = F.when(F.col("p_size") % 7 == 0, " ").otherwise(F.concat("p_name", F.lit(" \n <"), "p_brand"))
+    return table(spark, d, "part").select("p_partkey", N.text_span(text, box, F.col("p_partkey") % 2 == 0).alias("html"))
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '#1F497D' WHEN 2 THEN ['#000000', '#FFFFFF', '#FF0000', '#00FF00', '#0000FF', '#FFFF00', '#FF00FF', '#00FFFF'][p_size % 8 + 1] ELSE '#ABCDEF' END AS color FROM part
+""")
+def q_cell_colors(spark, d):
+    """NUM07: automatic, theme, indexed and given colours of a cell."""
+    from ..functions import numbers as N
+
+    p = F.col("p_partkey") % 4
+    color = N.cell_color(F.when(p == 0, "1"), F.when(p == 3, "FFABCDEF"), F.when(p == 1, F.lit(3)), F.lit(0.0), F.when(p == 2, F.col("p_size") % 8))
+    return table(spark, d, "part").select("p_partkey", color.alias("color"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..fixed import INDEXED, THEME
+from .text import collapse_blanks, escape_html, trim
 
 
 def half_up(x: Column) -> Column:
@@ -91,6 +92,17 @@ def text_box(a: Column, b: Column, c: Column, d: Column, e: Column, f: Column, w
     )
 
 
+def text_span(text: Column, box: Column, serif: Column) -> Column:
+    """A text item of a page at its place (:func:`text_box`), as it can be edited and translated; '' for blank texts."""
+    clean = collapse_blanks(F.coalesce(text, F.lit("")))
+    number = lambda c: F.regexp_replace(F.format_string("%.2f", c), r"\.?0+$", "")
+    style = F.concat(
+        F.lit("position:absolute; left:"), number(box["left"]), F.lit("px; top:"), number(box["top"]), F.lit("px; width:"), number(box["width"]), F.lit("px; font-size:"), number(box["font_size"]),
+        F.lit("px; line-height:1.05; font-family:"), F.when(serif, "serif").otherwise("sans-serif"), F.lit("; white-space:pre; transform-origin:left top;"),
+    )
+    return F.when(trim(clean) == "", F.lit("")).otherwise(F.concat(F.lit('<span class="pdf-text" style="'), style, F.lit('">'), escape_html(clean), F.lit("</span>")))
+
+
 # --- colours
 
 

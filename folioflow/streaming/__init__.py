@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..fixed import MAX_UPLOAD
 from ..plans.importing import External, import_files
 
 
 def file_stream(spark: SparkSession, folder: str, glob: str = "*", per_trigger: int = 100) -> DataFrame:
-    """Files as they arrive in a folder: (doc_id, name, content, mime, modificationTime)."""
+    """Files as they arrive in a folder: (doc_id, name, content, mime, modificationTime); content is null above the size limit."""
     raw = (
         spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
         .option("pathGlobFilter", glob).option("maxFilesPerTrigger", per_trigger).load(folder)
     )
-    return raw.select(F.xxhash64("path").alias("doc_id"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "content", F.lit(None).cast("string").alias("mime"), "modificationTime")
+    return raw.select(F.xxhash64("path").alias("doc_id"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.when(F.col("length") <= MAX_UPLOAD, F.col("content")).alias("content"), F.lit(None).cast("string").alias("mime"), "modificationTime")
 
 
 def first_copies(files: DataFrame, delay: str = "1 day") -> DataFrame:

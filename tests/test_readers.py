@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from folioflow import fixed
-from folioflow.plans import importing, services, translate
+from folioflow.plans import importing, printing, services, translate
 from folioflow.sinks import docx as docx_sink
 from folioflow.sinks import samples, tables
 from folioflow.sources import docx, html, legacy, markdown, numfmt, odf, opc, plain, pptx, styles, xlsx
@@ -276,3 +276,72 @@ def test_import_reports_files_that_are_too_large(spark):
     rows = [(1, "a.txt", bytearray(b"x"), None), (2, "b.bin", None, None)]
     got = {r["doc_id"]: (r["status"], r["error"]) for r in importing.import_files(spark.createDataFrame(rows, "doc_id long, name string, content binary, mime string")).collect()}
     assert got[1] == ("ok", None) and got[2][0] == "error" and "no content" in got[2][1]
+
+
+def test_services_build_requests_and_read_replies():
+    import json
+    from urllib.parse import parse_qsl
+
+    sent = []
+
+    def post(reply, status=200):
+        return lambda url, headers, body: sent.append((url, headers, body.decode())) or (status, reply if isinstance(reply, str) else json.dumps(reply))
+
+    model = services.message_model("k", "m", "http://x/messages", {"v": "1"}, post({"content": [{"text": "```json\n[\"A\", "}, {"text": "2]\n```"}]}))
+    assert services.json_array_provider(model)(["a", "b"], "en") == ["A", "2"]
+    assert json.loads(json.loads(sent[-1][2])["messages"][0]["content"]) == ["a", "b"] and sent[-1][1]["x-api-key"] == "k" and sent[-1][1]["v"] == "1"
+    with pytest.raises(ValueError):
+        services.json_array_provider(lambda task, text: "[1]")(["a", "b"], "en")
+    form = services.form_provider("k", "http://y/translate", {"ja": "JA"}, post({"translations": [{"text": "\u3042"}, {"text": "&"}]}))
+    assert form(["a", "b&c"], "ja") == ["\u3042", "&"] and parse_qsl(sent[-1][2]) == [("text", "a"), ("text", "b&c"), ("target_lang", "JA")]
+    query = services.query_provider("k", "http://z", {"en": "en"}, post({"data": {"translations": [{"translatedText": "&amp;lt; &#39;q&#39;"}]}}))
+    assert query(["x"], "en") == ["< 'q'"] and sent[-1][0] == "http://z?key=k" and json.loads(sent[-1][2])["q"] == ["x"]
+    with pytest.raises(services.Refused) as e:
+        services.query_provider("k", "http://z", {"en": "en"}, post("busy", 429))(["x"], "en")
+    assert e.value.status == 429 and "busy" in str(e.value)
+
+
+def test_ways_to_a_service_configuration_and_health():
+    tried = []
+
+    def way(name, status=None):
+        def call():
+            tried.append(name)
+            if status:
+                raise services.Refused(status)
+            return name
+
+        return call
+
+    call = services.first_that_answers(way("header", 401), way("bearer"), way("other"))
+    assert call() == call() == "bearer" and tried == ["header", "bearer", "bearer"]
+    with pytest.raises(services.Refused):
+        services.first_that_answers(way("a", 500), way("b"))()
+    known = services.configuration(None, "x", "1")
+    assert known["provider"] == "demo" and known["formats"][:2] == ["docx", "docm"] and "key" not in str(known)
+    assert services.health(None)["ok"] is False and services.health(lambda h: b"p")["ok"] is True
+
+    def broken(markup):
+        raise RuntimeError("down")
+
+    assert services.health(broken)["error"] == "down"
+
+
+def test_printing_in_chunks(spark):
+    import io
+    import zipfile
+
+    high = lambda markups: [sum(int(x) for x in re.findall(r"h=\"?(\d+)", m)) for m in markups]
+    assert printing.chunks("<p>a</p>b", lambda m: [10] * len(m)) == ["<p>a</p>b"]
+    flat = '<p title="h=0">0</p><p title="h=60000">1</p><p title="h=10">2</p><p title="h=50000">3</p>'
+    got = printing.chunks(flat, high)
+    assert ["".join(re.findall(r">(\d)<", c)) for c in got] == ["01", "2", "3"]
+    rows = "".join(f'<tr title="h=20000"><td>{i}</td></tr>' for i in range(6))
+    got = printing.chunks(f'<table class="t"><colgroup><col></colgroup><thead><tr><th>h</th></tr></thead><tbody>{rows}</tbody></table>', high)
+    assert len(got) == 3 and all(c.startswith('<table class="t"><colgroup><col></colgroup><thead><tr><th>h</th></tr></thead><tbody><tr') for c in got)
+    assert ["".join(re.findall(r"<td>(\d)", c)) for c in got] == ["01", "23", "45"]
+    renderer = printing.Renderer(lambda m: [100] * len(m), lambda m: [m.encode()] * m.count("<p>"))
+    pages = spark.createDataFrame([(1, "<p onclick=x>a</p>"), (2, "<p>a</p><p>b</p>"), (None, " "), (3, None)], "doc_id long, html string")
+    out = {r["doc_id"] or 0: r for r in printing.print_images(pages, renderer).collect()}
+    assert (out[1]["ext"], bytes(out[1]["content"])) == ("png", b"<p>a</p>") and out[0]["status"] == out[3]["status"] == "error"
+    assert out[2]["ext"] == "zip" and zipfile.ZipFile(io.BytesIO(out[2]["content"])).namelist() == ["page-01.png", "page-02.png"]
