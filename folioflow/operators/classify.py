@@ -41,8 +41,8 @@ def sniff(content: Column, members: Column | None = None) -> Column:
 
 def cfb_kind(content: Column) -> Column:
     """Which old office file a compound file is, by stream names in its first MiB."""
-    head = F.hex(F.substring(content, 1, 1 << 20))
-    has = lambda name: head.contains("00".join(f"{ord(c):02X}" for c in name))
+    head = F.substring(content, 1, 1 << 20)
+    has = lambda name: F.contains(head, F.unhex(F.lit("00".join(f"{ord(c):02X}" for c in name))))
     return F.when(has("WordDocument"), "doc").when(has("Workbook") | has("Book"), "xls").when(has("PowerPoint"), "ppt").otherwise("xls")
 
 

@@ -34,8 +34,8 @@ def cyrillic_share(bytes_: DataFrame, keys: list[str]) -> DataFrame:
     at or above 0xC0, or 0xA8 or 0xB8; else windows-1252."""
     high = F.col("b") >= 0x80
     hit = high & ((F.col("b") >= 0xC0) | F.col("b").isin(0xA8, 0xB8))
-    share = F.sum(hit.cast("int")) / F.sum(high.cast("int"))
-    return bytes_.groupBy(*keys).agg(F.when(F.coalesce(share, F.lit(0.0)) >= 0.5, "windows-1251").otherwise("windows-1252").alias("codepage"))
+    most = (F.count_if(high) > 0) & (2 * F.count_if(hit) >= F.count_if(high))
+    return bytes_.groupBy(*keys).agg(F.when(most, "windows-1251").otherwise("windows-1252").alias("codepage"))
 
 
 def warning_list(counts: list[tuple[str, str]]):

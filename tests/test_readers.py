@@ -345,3 +345,25 @@ def test_printing_in_chunks(spark):
     out = {r["doc_id"] or 0: r for r in printing.print_images(pages, renderer).collect()}
     assert (out[1]["ext"], bytes(out[1]["content"])) == ("png", b"<p>a</p>") and out[0]["status"] == out[3]["status"] == "error"
     assert out[2]["ext"] == "zip" and zipfile.ZipFile(io.BytesIO(out[2]["content"])).namelist() == ["page-01.png", "page-02.png"]
+
+
+def test_expressions_equal_the_readers_own_rules(spark):
+    from pyspark.sql import functions as F
+
+    from folioflow.functions import numbers as N
+    from folioflow.functions import text as X
+    from folioflow.operators import votes
+
+    def both(values, column, own):
+        got = spark.createDataFrame([(i, *v) for i, v in enumerate(values)], ["i", *(f"v{k}" for k in range(len(values[0])))]).orderBy("i").select(column).collect()
+        assert [r[0] for r in got] == [own(*v) for v in values]
+
+    both([(f"#{c}", a / 10) for c in ("000000", "FFFFFF", "4F81BD", "1F497D", "808080", "FF0000") for a in range(-9, 10, 3)], N.tint(F.col("v0"), F.col("v1")), styles.tint)
+    both([(n,) for n in ("Calibri", " 'Arial' ", "Unknown Sans", "TIMES NEW ROMAN")], X.font_stack(F.col("v0")), styles.font_stack)
+    both([(x,) for x in ("a\nb\n\nc", "", " \n\n ", "x\r\n\r\ny <&>\"", "\u3000one\u00a0\n\n\n\ntwo ")], X.text_to_html(F.col("v0")), plain.text_html)
+    both([(c, 8.43 + c / 7, 7) for c in range(5)], N.column_px(F.col("v1"), F.col("v2")), lambda c, w, d: xlsx.column_px(w, d))
+    both([(x,) for x in ("  ```html\n<b>x</b>\n``` ", "```json\n[1]```", "plain", "``` x")], X.strip_fences(F.col("v0")), services.without_fences)
+    texts = ["\u041f\u0440\u0438\u0432\u0435\u0442".encode("cp1251"), "caf\u00e9 \u201cx\u201d".encode("cp1252"), b"ascii", "\u0451\u0401".encode("cp1251"), b"\x80\xc0"]
+    rows = spark.createDataFrame([(i, b) for i, t in enumerate(texts) for b in t], "doc int, b int")
+    got = dict(votes.cyrillic_share(rows, ["doc"]).collect())
+    assert got == {i: {"cp1251": "windows-1251", "cp1252": "windows-1252"}[legacy.codepage([t])] for i, t in enumerate(texts)}
