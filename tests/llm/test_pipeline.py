@@ -110,3 +110,18 @@ def test_large_sides_of_the_mix_give_the_same(spark, monkeypatch):
     large = few()
     assert large[1] == small[1] and [r[:2] for r in large[0]] == [r[:2] for r in small[0]]
     assert all(a[2] == pytest.approx(b[2]) for a, b in zip(*(x[0] for x in (small, large)), strict=True))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from folioflow.llm import common
+
+    def session(master, **given):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: given.get(k.replace(".", "_"), d), set=lambda k, v: given.update({k.replace(".", "_"): v})), sparkContext=SimpleNamespace(master=master))
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]", "k8s://x"):
+        with pytest.raises(ValueError):
+            common.shared_dir(session(master))
+        assert common.shared_dir(session(master, spark_checkpoint_dir="hdfs:///x")) == "hdfs:///x"
+    assert common.shared_dir(session("local[4]")).startswith("file:///")
