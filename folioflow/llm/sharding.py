@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from .common import cut, fresh, shared_path
 
-SHARDS, SEED, BUCKET_BYTES = 40, 20240607, 32 << 20
+SHARDS, SEED = 40, 20240607
 #: Rows of one key that share a bucket.
 EQUAL_ROWS = 4096
 
@@ -18,14 +18,21 @@ def size_of(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long")
 
 
+def bucket_size(spark) -> int:
+    """Bytes of a bucket: 1/256 of a task's share of an executor's memory, 4 to 64 MB. A bucket is held as objects,
+    sorted, shuffled and written at once, by each of an executor's tasks, beside what they fetch."""
+    memory = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.executor.memory", "1g"))
+    return min(64 << 20, max(4 << 20, memory // int(spark.conf.get("spark.executor.cores", "1")) // 256))
+
+
 def two_pass_shuffle(
-    rows: DataFrame, size: Column, key: list[Column], shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES
+    rows: DataFrame, size: Column, key: list[Column], shards: int = SHARDS, seed: int = SEED, bucket_bytes: int | None = None
 ) -> DataFrame:
     """``rows`` with ``shard`` (0 to shards-1) and ``slot`` (gapless from 0 in each shard); where columns of these names are
     there, ours have underscores before them.
 
     Pass one scatters whole rows over buckets by a seeded hash of ``key``: it is an exchange, whose map tasks write a row into
-    its bucket's part of their files, and there are as many buckets as keep a bucket near ``bucket_bytes``, and ``shards`` at
+    its bucket's part of their files, and there are as many buckets as keep a bucket near ``bucket_bytes`` (:func:`bucket_size`), and ``shards`` at
     least. Pass two takes a bucket a task, puts it in an order that depends only on its rows, applies a
     Fisher-Yates shuffle (``shuffle`` with a seed) in memory, and lays buckets one after
     another; that order is cut into shards whose counts differ by one at most. So the permutation is a function of seed, bucket
@@ -43,7 +50,7 @@ def two_pass_shuffle(
         hashed = hashed.join(hot, h, "left").withColumn(h, F.when(F.col(share).isNull(), F.col(h)).otherwise(F.xxhash64(h, place))).drop(share)
         hashed = cut(hashed, "scatter")  # the places are drawn once
     total = rows.agg(F.sum(size).alias("b")).first()["b"] or 0
-    buckets = max(shards, -(-int(total) // bucket_bytes))
+    buckets = max(shards, -(-int(total) // (bucket_bytes or bucket_size(rows.sparkSession))))
     scattered = hashed.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed + 1), h), F.lit(buckets)).cast("int"))
     counts = scattered.groupBy(bucket).agg(F.count(F.lit(1)).alias(n_col))
     # one row a bucket: its first place in the whole order, and the number of rows in all
@@ -81,7 +88,7 @@ def _sortable(rows: DataFrame) -> bool:
     return not any("map<" in kind or kind == "variant" for _, kind in rows.dtypes)
 
 
-def write_shards(rows: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> None:
+def write_shards(rows: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int | None = None) -> None:
     """Write whole ``rows`` (doc_id, text, ...) as Parquet folders ``shard=0`` ... in slot order.
 
     A bucket holds consecutive slots of one shard or of neighbours, so its task writes them as they are and
