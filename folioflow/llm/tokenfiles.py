@@ -34,15 +34,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtext import blocks
-from .common import cut, drop, shared_path, shuffle_partitions, small_batches
+from .common import cut, shared_path, shuffle_partitions, small_batches
 
 MAGIC, RESTART, BLOCK, BLOOM_BITS, BLOOM_HASHES = b"FSST", 16, 64 << 10, 10, 7
 _FOOTER = struct.Struct("<QIQIQQI4s")
 _INDEX, _KEY = struct.Struct("<QII"), struct.Struct(">BQQI")
-#: Bytes of ids in a shard file.
-SHARD_BYTES = 256 << 20
+#: Bytes of text for which there is a shard file; ids take about half of that.
+TEXT_BYTES = 512 << 20
 #: Pieces of text that a Python worker remembers, in two generations.
-CACHE_PIECES = 240_000
+CACHE_PIECES = 400_000
 
 
 def key_of(doc_id: int | None, text_hash: int = 0, ordinal: int = 0) -> bytes:
@@ -339,21 +339,39 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 MANIFEST = "shard int, path string, documents long, ids long, first_key binary, last_key binary"
 
 
-def encoded(documents: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
-    """(doc_id, h, n, value): a hash of the text, the number of ids and the ids, packed. Null text: only the end id."""
+def _sort_keys(doc_ids: pa.Array, hashes: pa.Array) -> np.ndarray:
+    """Flag, doc_id and hash of each row as 17 bytes that sort as keys do."""
+    out = np.zeros(len(doc_ids), np.dtype([("given", "u1"), ("doc_id", ">u8"), ("hash", ">u8")]))
+    flip = np.uint64(1 << 63)
+    out["given"] = doc_ids.is_valid().to_numpy(zero_copy_only=False)
+    out["doc_id"] = doc_ids.fill_null(0).to_numpy().view(np.uint64) ^ flip
+    out["hash"] = hashes.to_numpy().view(np.uint64) ^ flip
+    return out.view("S17")
+
+
+def key_ranges(rows: DataFrame, n: int) -> np.ndarray:
+    """The least sort keys of some ``n`` ranges of (doc_id, h) with about as many rows each; equal keys are in one range. Only
+    keys are moved, and a row a range goes to the driver."""
+    dealt = rows.select("doc_id", "h").repartitionByRange(n, "doc_id", "h").groupBy(F.spark_partition_id().alias("p"))
+    least = F.min(F.struct(F.col("doc_id").isNotNull().alias("given"), "doc_id", "h")).alias("k")
+    found = [r["k"] for r in dealt.agg(least).collect()]
+    keys = _sort_keys(pa.array([k["doc_id"] for k in found], pa.int64()), pa.array([k["h"] for k in found], pa.int64()))
+    return np.sort(keys)
+
+
+def encoded(rows: DataFrame, ranges: np.ndarray, tokenizer: str, end_id: int = 0) -> DataFrame:
+    """(doc_id, h, range, value) of ``rows`` (doc_id, h, text): the range of the key, and the ids, packed. Null text: only the end id."""
+    shared = rows.sparkSession.sparkContext.broadcast(ranges)  # 17 bytes a shard
 
     def run(batches):
         ids_of = encoder(tokenizer)
         for whole in batches:
-            for batch in blocks(whole, "text", 1 << 20):
-                ids = [np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)) for x in ids_of.encode(batch.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("h"), pa.array([len(x) for x in ids], pa.int64()), pa.array([packed(x) for x in ids], pa.binary())], ["doc_id", "h", "n", "value"]
-                )
+            for batch in blocks(whole, "text"):
+                ids = [packed(np.append(np.frombuffer(x, "<u4"), np.uint32(end_id))) for x in ids_of.encode(batch.column("text").to_pylist())]
+                place = np.searchsorted(shared.value, _sort_keys(batch.column("doc_id"), batch.column("h")), "right") - 1
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(place.astype(np.int32)), pa.array(ids, pa.binary())], ["doc_id", "h", "range", "value"])
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
-    with small_batches(documents.sparkSession, 8):
-        return cut(rows.mapInArrow(run, "doc_id long, h long, n long, value binary"), "encoded")
+    return rows.mapInArrow(run, "doc_id long, h long, range int, value binary")
 
 
 def write_tables(
@@ -363,14 +381,15 @@ def write_tables(
     documents, ids, first_key, last_key), whose order is the order of ids.
 
     Texts are encoded where they are read and only their ids move, dealt in ranges of (doc_id, hash of the text), one range a
-    shard file of some SHARD_BYTES. A file gets its name, which no other attempt uses, when it is whole; the manifest
+    shard file, for some TEXT_BYTES of text each. A file gets its name, which no other attempt uses, when it is whole; the manifest
     names the files that count. Rows with one doc_id are stored each, in the order of their text's hash, and equal
     rows are told apart by an ordinal. Null doc_ids come first. No rows: no shard and an empty manifest.
     """
-    ids = encoded(documents, tokenizer, end_id)
-    size = ids.agg(F.sum(F.octet_length("value")).alias("b")).first()["b"] or 0
-    n = shards or max(shuffle_partitions(documents.sparkSession), -(-size // SHARD_BYTES))
-    dealt = ids.select("doc_id", "h", "value").repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
+    size = documents.agg(F.sum(F.octet_length(F.col("text").cast("string"))).alias("b")).first()["b"] or 0
+    ranges = key_ranges(rows, shards or max(shuffle_partitions(documents.sparkSession), -(-size // TEXT_BYTES)))
+    n = max(1, len(ranges))
+    dealt = encoded(rows, ranges, tokenizer, end_id).repartitionById(n, F.col("range")).sortWithinPartitions("doc_id", "h")
 
     def write(batches):
         fs, base = filesystem(folder)
@@ -401,9 +420,7 @@ def write_tables(
             )
 
     with small_batches(documents.sparkSession, 8):
-        manifest = cut(dealt.mapInArrow(write, MANIFEST), "manifest")
-    drop(ids)
-    return manifest
+        return cut(dealt.select("doc_id", "h", "value").mapInArrow(write, MANIFEST), "manifest")
 
 
 def lookup(manifest: DataFrame, folder: str, doc_id: int | None) -> list[np.ndarray]:
