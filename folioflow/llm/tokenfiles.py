@@ -41,8 +41,8 @@ _FOOTER = struct.Struct("<QIQIQQI4s")
 _INDEX, _KEY = struct.Struct("<QII"), struct.Struct(">BQQI")
 #: Bytes of text for which there is a shard file; ids take about half of that.
 TEXT_BYTES = 512 << 20
-#: Pieces of text that a Python worker remembers, in two generations.
-CACHE_PIECES = 400_000
+#: Pieces of text that a Python worker remembers during a task, in two generations, and between tasks.
+CACHE_PIECES, REST_PIECES = 800_000, 200_000
 
 
 def key_of(doc_id: int | None, text_hash: int = 0, ordinal: int = 0) -> bytes:
@@ -296,6 +296,12 @@ class Encoder(dict):
         self[piece] = ids
         return ids
 
+    def rest(self) -> None:
+        """Keep little between tasks: workers live on, and other stages need their memory."""
+        self.old, self.parts = {}, {}
+        if len(self) > REST_PIECES:
+            self.clear()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self) > self.most:
             self.old = dict(self)
@@ -364,12 +370,13 @@ def encoded(rows: DataFrame, ranges: np.ndarray, tokenizer: str, end_id: int = 0
     shared = rows.sparkSession.sparkContext.broadcast(ranges)  # 17 bytes a shard
 
     def run(batches):
-        ids_of = encoder(tokenizer)
+        ids_of, end = encoder(tokenizer), array("I", [end_id]).tobytes()
         for whole in batches:
             for batch in blocks(whole, "text"):
-                ids = [packed(np.append(np.frombuffer(x, "<u4"), np.uint32(end_id))) for x in ids_of.encode(batch.column("text").to_pylist())]
+                ids = [packed(np.frombuffer(x + end, "<u4")) for x in ids_of.encode(batch.column("text").to_pylist())]
                 place = np.searchsorted(shared.value, _sort_keys(batch.column("doc_id"), batch.column("h")), "right") - 1
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(place.astype(np.int32)), pa.array(ids, pa.binary())], ["doc_id", "h", "range", "value"])
+        ids_of.rest()
 
     return rows.mapInArrow(run, "doc_id long, h long, range int, value binary")
 
