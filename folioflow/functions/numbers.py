@@ -125,14 +125,15 @@ def tint(color: Column, amount: Column) -> Column:
     """Lightness in HSL scaled towards black (amount < 0) or white (> 0).
 
     Hue and saturation stay, so each channel keeps its place between the extremes: with lightness l
-    and chroma d, channel v becomes l2 + (v - l) * d2 / d, with d2 from the same saturation."""
-    r, g, b = (x / 255.0 for x in rgb(color))
+    and chroma d, channel v becomes l2 + (v - l) * d2 / d, with d2 from the same saturation. Lightness
+    is taken from the bytes: taken from fractions, its last bit turns some halves the other way."""
+    r, g, b = rgb(color)
     top, low = F.greatest(r, g, b), F.least(r, g, b)
-    light, d = (top + low) / 2, top - low
+    light, d = (top + low) / F.lit(2.0) / 255, top - low
     full = F.lit(1.0) - F.abs(light * 2 - 1)
     after = F.when(amount < 0, light * (amount + 1)).otherwise(light * (F.lit(1.0) - amount) + amount)
     scale = F.when(d == 0, F.lit(0.0)).otherwise((F.lit(1.0) - F.abs(after * 2 - 1)) / full)
-    return F.when(F.coalesce(amount, F.lit(0.0)) == 0, color).otherwise(hex_of(*[(after + (v - light) * scale) * 255 for v in (r, g, b)]))
+    return F.when(F.coalesce(amount, F.lit(0.0)) == 0, color).otherwise(hex_of(*[(after + (v / F.lit(255.0) - light) * scale) * 255 for v in (r, g, b)]))
 
 
 def theme_color(index: Column, amount: Column) -> Column:
