@@ -204,29 +204,61 @@ def differences(sets: DataFrame, spokes: DataFrame, how: Near) -> DataFrame:
 _MEMBER = ["member", "component", "linked", "n", "missing", "size", "hub_size", *(f"b{i}" for i in range(BITMAP))]
 
 
+def _far(x: str, percent: int) -> Column:
+    """Shingles outside the hub that a member shares with anything it is linked with: over 0 if it has too few in the hub."""
+    return F.ceil(percent * F.col(f"{x}size") / 100) - F.col(f"{x}hub_size") + F.col(f"{x}missing")
+
+
 def postings(found: DataFrame, how: Near) -> DataFrame:
-    """(hub, element, rank, member and what is known of it): the differences by which members of one hub, in different
-    components, may meet.
+    """(hub, element, rank, extra_rank, member and what is known of it): the differences by which members of one hub, in
+    different components, may meet.
 
     With A_x = hub less x and E_x = x less hub, two members share |hub| - |A_x| - |A_y| + |A_x & A_y| +
     |E_x & E_y| shingles, so a link needs so many common differences (:func:`_need`). Members that are both linked
     with the hub are in one component; what remains are pairs with an unlinked member. ``rank`` counts a member's differences,
     those first that no member of another component has, then the rarest in the hub's group: the first common difference of a
-    pair leaves need - 1 others behind it in both, which bounds its rank in both."""
-    e = found.select("hub", *_MEMBER, F.explode("elements").alias("element"))
+    pair leaves need - 1 others behind it in both, which bounds its rank in both.
+
+    A member that has little of the hub (:func:`_far`) can't be linked by that alone: it meets others by E only, counted by
+    ``extra_rank``, so what it lacks of the hub, as all such members do, makes no rows."""
+    p, whole = how.percent, 100 + how.percent
+    extras, far = F.col("n") - F.col("missing"), _far("", p)
+    met = F.when(far > 0, F.slice("elements", F.lit(1), extras.cast("int"))).otherwise(F.col("elements"))  # extras lead
+    e = found.select("hub", *_MEMBER, F.posexplode(met).alias("pos", "element")).withColumn("extra", F.col("pos") < extras).drop("pos")
     often = e.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("often"), F.min("component").alias("c0"), F.max("component").alias("c1"))
     useful = e.join(often.filter("c0 <> c1").drop("c0", "c1"), ["hub", "element"])
     own = Window.partitionBy("hub", "member")
-    rank = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("often", "element"))
-    p, whole = how.percent, 100 + how.percent
-    weight = 100 * F.col("missing") + p * (F.col("n") - F.col("missing"))
+    upto = own.orderBy("often", "element").rowsBetween(Window.unboundedPreceding, 0)
+    rank = F.col("n") - F.count(F.lit(1)).over(own) + F.count(F.lit(1)).over(upto)
+    is_extra = F.when(F.col("extra"), F.lit(1))
+    extra_rank = F.when(F.col("extra"), extras - F.count(is_extra).over(own) + F.count(is_extra).over(upto))
+    weight = 100 * F.col("missing") + p * extras
     # with an unlinked partner more than weight / whole are common; the least that an unlinked one may share with any
-    sent = F.col("rank") <= F.col("n") - F.floor(weight / whole)
-    asked = ~F.col("linked") & (F.col("rank") <= F.col("n") - F.greatest(F.lit(1), F.ceil((weight - (100 - p) * F.col("hub_size")) / whole)) + 1)
-    rows = useful.withColumn("rank", rank).drop("often").withColumn("sent", sent).withColumn("asked", asked)
+    near_sent = (far <= 0) & (F.col("rank") <= F.col("n") - F.floor(weight / whole))
+    near_asked = (far <= 0) & ~F.col("linked") & (F.col("rank") <= F.col("n") - F.greatest(F.lit(1), F.ceil((weight - (100 - p) * F.col("hub_size")) / whole)) + 1)
+    by_extra = F.col("extra") & (F.col("extra_rank") <= extras - F.greatest(F.lit(1), far) + 1)
+    rows = useful.select("*", rank.alias("rank"), extra_rank.alias("extra_rank")).drop("often")
+    rows = rows.withColumn("sent", near_sent | by_extra).withColumn("asked", near_asked | (by_extra & (far > 0)))
     return cut(rows.filter("sent or asked"), "postings")
 
 
+def _may_meet(x: str, y: str, percent: int) -> Column:
+    """Whether the element at which x and y meet can be the first that they share. Without a far one, x or y is unlinked and all
+    differences count; else y is far and extras count, of which they share what their parts of the hub leave open."""
+    of = lambda m, c: F.col(f"{m}.{c}")
+    far = {m: _far(f"{m}.", percent) > 0 for m in (x, y)}
+    least = of(x, "member") < of(y, "member")
+    need = _need(x, y, percent)
+    near = ~far[x] & ~far[y] & ~of(y, "linked") & (of(x, "linked") | least)
+    for m in (x, y):
+        near = near & (of(m, "rank") <= of(m, "n") - need + 1)
+    extras = need - F.least(of(x, "missing"), of(y, "missing"))
+    away = far[y] & (~far[x] | least) & of(x, "extra") & of(y, "extra")
+    for m in (x, y):
+        away = away & (of(m, "extra_rank") <= of(m, "n") - of(m, "missing") - extras + 1)
+    return near | away
+
+
 def _need(x: str, y: str, percent: int) -> Column:
     """Differences that two members have to share for a link."""
     shared = F.ceil(percent * (F.col(f"{x}.size") + F.col(f"{y}.size")) / (100 + percent))
@@ -317,10 +349,8 @@ def _around_hubs(keys: DataFrame, links: Links) -> None:
         pairs = both if pairs is None else pairs.unionByName(both)
     now = cut(_placed(meet.drop("component"), "member", links.groups), "postings") if links.test(pairs) else meet
     x, y = now.filter("sent").alias("x"), now.filter("asked").alias("y")
-    need = _need("x", "y", how.percent)
     on = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.component") != F.col("y.component"))
-    on = on & (F.col("x.linked") | (F.col("x.member") < F.col("y.member")))
-    on = on & (F.col("x.rank") <= F.col("x.n") - need + 1) & (F.col("y.rank") <= F.col("y.n") - need + 1) & _plausible("x", "y", how.percent)
+    on = on & _may_meet("x", "y", how.percent) & _plausible("x", "y", how.percent)
     links.test(x.join(y, on).select(F.col("x.member").alias("a"), F.col("y.member").alias("b")))
     drop(meet, now, found, spokes)
 

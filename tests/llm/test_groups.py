@@ -168,6 +168,46 @@ def test_families_within_a_group_become_one_component(spark):
     assert got == brute_groups(rows) and len(set(got.values())) == 3
 
 
+def with_one_passage(families, each=4, seed=6):
+    """Families of near copies, some just linked and some just not, that have one long passage in common: all collide in
+    some table key, and none is near another family."""
+    rng, rows = random.Random(seed), []
+    passage = [f"p{i}" for i in range(70)]
+    for family in range(families):
+        own = [f"f{family}x{i}" for i in range(50)]
+        for _ in range(each):
+            copy, rest = list(own), passage[: rng.randrange(56, 71)]
+            for _ in range(rng.randrange(0, 9)):
+                copy[rng.randrange(50)] = f"r{rng.randrange(400)}"
+            rows.append((len(rows), " ".join(rest + copy), "en", "s", 1))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_what_members_far_from_a_hub_lack_of_it_makes_no_rows(spark, monkeypatch):
+    rows, made, met = with_one_passage(60), [], []
+    postings, pairs = neardup.postings, neardup.Links.test
+
+    def counted(found, how):
+        store = spark._jsparkSession.sharedState().statusStore()
+        before, out = store.executionsCount(), postings(found, how)
+        for i in range(before, store.executionsCount()):
+            x = store.executionsList().apply(i)
+            values, nodes = store.executionMetrics(x.executionId()), store.planGraph(x.executionId()).allNodes()
+            for node in (nodes.apply(k) for k in range(nodes.size())):
+                if "Join" in node.name() and "element" in node.desc():
+                    found_ids = [m.accumulatorId() for m in (node.metrics().apply(k) for k in range(node.metrics().size())) if m.name() == "number of output rows"]
+                    made.extend(int(values.apply(k).replace(",", "")) for k in found_ids if values.contains(k))
+        met.append(found.selectExpr("sum(n)").head()[0])
+        return out
+
+    monkeypatch.setattr(neardup, "postings", counted)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_groups(H.frame(spark, rows)).collect()}
+    want = brute_groups(rows)
+    assert got == want and 60 <= len(set(want.values())) < 240
+    assert made and sum(made) < 0.3 * sum(met)
+
+
 def test_planted_pairs_just_above_the_threshold_are_found(spark):
     rng, rows, n = random.Random(8), [], 0
     while n < 400:
